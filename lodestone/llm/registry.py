@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: The modules that offer QUERIES (and, where SQL can say it, ORACLE_SQL).
-MODULES = ("op1_query", "op3_query", "op8_query")
+MODULES = ("op1_query", "op2_query", "op3_query", "op8_query")
 
 
 def _load() -> list:
