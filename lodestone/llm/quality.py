@@ -58,16 +58,22 @@ def _covered_words(window_hashes: Column) -> Column:
     return let(placed, covered)
 
 
-def base_features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts that the rules use; one row a document."""
+def base_features(docs: DataFrame, stratum: str = "lang", with_row: bool = False) -> DataFrame:
+    """doc_id, stratum and the counts that the rules use; one row a document.
+
+    With ``with_row`` the whole row comes along, as the struct ``row``.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), text.alias("text"), word_array(text).alias("w"))
+    carried = ["row"] if with_row else []
+    docs = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", stratum) if with_row else docs
+    words = docs.select(*carried, "doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), text.alias("text"), word_array(text).alias("w"))
     n = F.size("w")
     windows = F.when(
         n >= 4,
         F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))),
     )
     counted = words.select(
+        *carried,
         "doc_id",
         "stratum",
         n.cast("long").alias("n_words"),
@@ -79,6 +85,7 @@ def base_features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     )
     repeats = F.when(F.size("h") > F.size(F.array_distinct("h")), _covered_words(F.col("h"))).otherwise(F.lit(0).cast("long"))
     return counted.select(
+        *carried,
         "doc_id",
         "stratum",
         "n_words",
@@ -177,11 +184,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Two passes over the texts: counts alone are written for the cutoffs, then the
-    kept rows are filtered where they are read, so that no text is shuffled.
+    Rows and counts are written once, as the cutoffs need the counts of all rows
+    before any row can be judged; no text is shuffled.
     """
-    features = materialize(base_features(docs, stratum), "quality-features")
+    features = materialize(base_features(docs, stratum, with_row=True), "quality-rows")
     cutoffs = quality_cutoffs(features, labels, alpha, delta)
-    keys = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.col("text"), F.col(stratum).alias("own_stratum"))
-    rows = keys.select(F.struct("row", "own_id").alias("doc_id"), "text", F.col("own_stratum").alias(stratum))
-    return apply_cutoffs(base_features(rows, stratum), cutoffs).where("kept").select("doc_id.row.*")
+    return apply_cutoffs(features, cutoffs).where("kept").select("row.*")
