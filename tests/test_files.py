@@ -1,0 +1,209 @@
+"""Scanning a tree, retrieval, search, outlines and symbols, held against small plain versions."""
+
+from __future__ import annotations
+
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.functions.paths import is_text_file, skipped, suffix
+from lodestone.operators import files as files_ops
+from lodestone.operators.retrieve import retrieve, retrieval_notes, score_files
+from lodestone.operators.symbols import symbol_report, symbols
+from lodestone.plans.repo_index import RepoIndex, as_context, snapshot
+from lodestone.sources.repo import links_of, scan_entries, scan_repo
+
+FILES = "path string, content string"
+
+
+def column(spark, values, expression):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x string")
+    return [r.y for r in df.select("i", expression(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def write(root, files):
+    for path, content in files.items():
+        target = root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(content if isinstance(content, bytes) else content.encode())
+
+
+@pytest.fixture(scope="module")
+def repo(tmp_path_factory):
+    root = tmp_path_factory.mktemp("repo")
+    write(
+        root,
+        {
+            "AGENT.md": "# Rules\nMake small changes.\n",
+            "calc.py": "def plus(a, b):\n    return a + b\n\n\ndef minus(a, b):\n    return a - b\n",
+            "tests/test_calc.py": "from calc import minus\n\n\ndef test_minus():\n    assert minus(3, 1) == 2\n",
+            "pkg/__init__.py": "",
+            ".hidden/x.txt": "hidden words",
+            "_under/y.md": "under\r\nscore\r",
+            "bad.txt": b"ok \xff\xfe end",
+            "credentials.json": '{"needle": 1}',
+            **{f"{d}/no.py": "needle" for d in (".git", ".venv", "node_modules", "a/build", "__pycache__")},
+        },
+    )
+    outside = tmp_path_factory.mktemp("outside")
+    (outside / "secret.py").write_text("needle")
+    (root / "link.py").symlink_to(outside / "secret.py")
+    (root / "linked").symlink_to(outside)
+    return root
+
+
+def test_scan(spark, repo):
+    rows = {r.path: r.content for r in scan_repo(spark, str(repo)).collect()}
+    assert sorted(rows) == [".hidden/x.txt", "AGENT.md", "_under/y.md", "bad.txt", "calc.py", "credentials.json", "pkg/__init__.py", "tests/test_calc.py"]
+    assert rows["_under/y.md"] == "under\nscore\n" and rows["pkg/__init__.py"] == ""
+    assert rows["bad.txt"] == b"ok \xff\xfe end".decode(errors="replace")
+    entries = scan_entries(spark, str(repo))
+    assert spark.range(1).select(links_of(entries).alias("l")).first().l == ["link.py", "linked"]
+    assert "credentials.json" not in {r.path for r in scan_repo(spark, str(repo), skipped(F.col("path"))).collect()}
+    with pytest.raises(ValueError, match="does not exist"):
+        scan_repo(spark, str(repo / "nothing"))
+
+
+def test_many_folders_are_dealt_to_tasks(spark, tmp_path):
+    write(tmp_path, {f"d{i}/e{j}/f.txt": f"{i} {j}" for i in range(12) for j in range(12)})
+    assert scan_repo(spark, str(tmp_path)).count() == 144
+
+
+def test_terms(spark):
+    texts = ["def add_one(x2): 42", "検索 retrieval 4a", "A a A", "", None, "٣ three"]
+    assert column(spark, texts, T.terms) == [T.query_terms(t) for t in texts]
+    assert T.query_terms("def add_one(x2): 42") == ["def", "add_one", "x2", "42"]
+
+
+def test_python_string_functions(spark):
+    texts = ["a\nb\r\nc\rd", "a\n", "\n", "", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i", "x\n\ny\n\n", " \xa0\u3000 a \x1f\x1c", "\t"]
+    assert column(spark, texts, T.lines) == [t.splitlines() for t in texts]
+    assert column(spark, texts, T.strip) == [t.strip() for t in texts]
+    assert column(spark, ["aaaa", "abab", "", "xaax"], lambda c: T.occurrences(c, "aa")) == ["aaaa".count("aa"), 0, 0, 1]
+    names = ["a.py", ".env", "a.", "a.tar.gz", "noext", "d.d/x", "d/.b.c"]
+    assert column(spark, names, suffix) == [".py", "", "", ".gz", "", "", ".c"]
+
+
+def test_definitions(spark):
+    texts = ["def foo(): class foo", "async  def foo", "def\u00a0foo", "undef foo", "def foobar", "class foo:\ndef foo_"]
+    want = [len(re.findall(r"\b(?:async\s+def|def|class)\s+foo\b", t)) for t in texts]
+    assert column(spark, texts, lambda c: T.definitions(c, "foo")) == want
+
+
+def plain_score(terms, path, text):
+    low, total = text.lower(), 0.0
+    for t in terms:
+        counts = (low.count(t), path.lower().count(t), len(re.findall(rf"\b(?:async\s+def|def|class)\s+{re.escape(t)}\b", low)))
+        total += sum(w + math.log1p(n) for w, n in zip((1, 3, 4), counts, strict=True) if n)
+    return total
+
+
+CORPUS = [
+    ("src/minus.py", "def minus(a):\n    minus = other\n"), ("b.md", "the other minus"), ("a.md", "the other minus"), ("none.txt", "nothing"), ("x.bin", "minus"),
+    ("null.txt", None), ("cjk.md", "検索 minus"), ("long.txt", "pad " * 900 + "MINUS end " + "tail " * 900),
+]
+
+
+def test_scores(spark):
+    files = spark.createDataFrame(CORPUS, FILES)
+    for query in ("minus", "the minus The", "検索 42", "MINUS a"):
+        got = {r.path: r.score for r in score_files(files, query).collect()}
+        assert got == pytest.approx({p: plain_score(T.query_terms(query), p, t or "") for p, t in CORPUS if p != "x.bin"})
+
+
+def test_retrieval_order_excerpts_and_messages(spark):
+    files = spark.createDataFrame(CORPUS, FILES)
+    rows = retrieve(files, "minus", 10).collect()
+    assert [r.path for r in rows] == ["src/minus.py", "a.md", "b.md", "cjk.md", "long.txt"]
+    text = CORPUS[-1][1]
+    at = text.lower().find("minus")
+    assert rows[-1].excerpt == text[at - 1400 // 3 : at - 1400 // 3 + 1400].strip()
+    assert [r.path for r in retrieve(files, "minus", 2).collect()] == ["src/minus.py", "a.md"]
+    notes = retrieval_notes(files, "minus", 2).first().output
+    assert notes.startswith(f"## src/minus.py score={rows[0].score:.2f}\n```\ndef minus(a):") and "\n\n## a.md score=" in notes
+    assert retrieval_notes(files, " ?! ").first().output == "No retrieval query terms available."
+    assert retrieval_notes(files, "absent_word").first().output.startswith("No relevant files found")
+    with pytest.raises(ValueError, match="top_k"):
+        retrieval_notes(files, "minus", 0)
+
+
+def test_top_k_is_taken_in_each_task(spark):
+    plan = retrieve(spark.createDataFrame(CORPUS, FILES), "minus", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_grep(spark):
+    files = spark.createDataFrame([("b/a.py", "x\nhit 1\n"), ("b-c.py", "hit 2"), ("skip.bin", "hit"), ("build/x.py", "hit"), ("id_rsa", "hit")], FILES)
+    # By components, b comes before b-c.py; by text it is the other way round.
+    assert files_ops.grep_report(files, "^hit").first().output == "b/a.py:2: hit 1\nb-c.py:1: hit 2"
+    assert files_ops.grep_report(files, "nowhere").first().output == "No matches found."
+    assert files_ops.grep_report(files, "hit", base="b").first().output == "b/a.py:2: hit 1"
+    for pattern in ("[", "", None):
+        with pytest.raises(ValueError):
+            files_ops.grep(files, pattern)
+    many = spark.createDataFrame([("m.txt", "hit\n" * 80)], FILES)
+    assert files_ops.grep_report(many, "hit").first().output.endswith("m.txt:80: hit\n... matches truncated")
+
+
+def test_list_and_read(spark):
+    files = spark.createDataFrame([(f"d{i:03}.txt", "x" * i) for i in range(120)], FILES)
+    out = files_ops.list_report(files).first().output.split("\n")
+    assert len(out) == 121 and out[-1] == "... output truncated"
+    assert files_ops.list_report(files, base="d007.txt").first().output == "d007.txt"
+    assert files_ops.list_report(files, base="nope").first().output == "No files found."
+    got = {r.path: r.output for r in files_ops.read_text(files, 5).collect()}
+    assert got["d005.txt"] == "xxxxx" and got["d006.txt"] == "xxxxx\n... file truncated"
+    for limit in (0, True, "3"):
+        with pytest.raises(ValueError):
+            files_ops.read_text(files, limit)
+
+
+def test_tree(spark):
+    files = spark.createDataFrame([(p, "") for p in ("a.py", "a/b.py", "a/c/d.py", "a-b/c.py", "z.md")], FILES)
+    want = "- a-b/\n  - c.py\n- a.py\n- a/\n  - b.py\n  - c/\n    - d.py\n- z.md"
+    assert files_ops.tree_report(files).first().output == want
+    assert files_ops.tree_report(files, 1).first().output == "- a-b/\n  - c.py\n... 4 more files omitted"
+    assert files_ops.tree_report(files.limit(0)).first().output == "(empty repository)"
+
+
+def test_previews_and_rules(spark):
+    files = spark.createDataFrame([("a.md", "  text  "), ("b.md", " \n "), ("c.bin", "x"), ("CLAUDE.md", "second")], FILES)
+    assert files_ops.preview_report(files).first().output == "## CLAUDE.md\n```\nsecond\n```\n\n## a.md\n```\ntext\n```"
+    assert files_ops.preview_report(files.limit(0)).first().output == "No text file previews available."
+    rules = lambda rows: files_ops.rules_report(spark.createDataFrame(rows, FILES)).first().output
+    assert rules([("CLAUDE.md", "second"), ("AGENT.md", "first")]) == "first"
+    assert rules([("CLAUDE.md", "second"), ("AGENT.md", None)]) == "second"
+    assert rules([("AGENT.md", None)]).startswith("Project rules file exists")
+    assert rules([("sub/AGENT.md", "x")]).startswith("No project-specific")
+    assert rules([("AGENT.md", "")]) == ""
+
+
+def test_symbols(spark):
+    source = "class A:\n    def inner(self):\n        class B: pass\n\n@dec\nasync def last(): pass\n"
+    files = spark.createDataFrame([("m.py", source), ("broken.py", "def ("), ("m.PY", source), ("nul.py", "a\x00b"), ("null.py", None)], FILES)
+    rows = [(r.path, r.kind, r.name, r.line) for r in symbols(files).orderBy("path", "ord").collect()]
+    assert rows == [("m.py", "class", "A", 1), ("m.py", "function", "last", 6), ("m.py", "function", "inner", 2), ("m.py", "class", "B", 3)]
+    assert symbol_report(files, 2).first().output == "m.py:1: class A\nm.py:6: function last"
+    assert symbol_report(files.limit(0)).first().output == "No Python symbols found."
+
+
+def test_snapshot(spark, repo):
+    index = RepoIndex(spark, str(repo))
+    got = index.snapshot("minus")
+    assert got["notes"].startswith("## calc.py score=6.39\n")
+    assert got["rules"] == "# Rules\nMake small changes.\n"
+    assert got["symbols"].split("\n")[0] == "calc.py:1: function plus"
+    assert "no.py" not in got["tree"] and "link.py" not in got["tree"]
+    assert index.snapshot()["notes"] == "No task-specific retrieval query provided."
+    assert index.snapshot("")["notes"] == "No retrieval query terms available."
+    context = as_context(snapshot(index.files, "minus")).first().output
+    assert [x for x in context.split("\n") if x in ("# Repository tree", "# Symbol index", "# Retrieval notes", "# Important file previews", "# Project rules")] == [
+        "# Repository tree", "# Symbol index", "# Retrieval notes", "# Important file previews"
+    ]
+
+
+def test_text_suffixes(spark):
+    assert column(spark, ["a.PY", "a.tar.md", "md", ".md", "x.html"], is_text_file) == [True, True, False, False, True]
