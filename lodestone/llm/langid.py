@@ -12,7 +12,7 @@ most ``REFERENCE_CHARS`` characters a language and ``ALL_CHARS`` in all, of the
 ``MAX_LANGUAGES`` most frequent languages.  Every prediction reads the whole text.
 
 Texts are lower-cased, and what is no letter becomes one space.  They are parsed
-in segments of ``SEGMENT`` characters, each from the automaton's root, many
+in segments of ``SEGMENT`` characters, each beginning a phrase, many
 segments side by side in arrays: a step moves all segments of a block by one
 character in all automata.
 
@@ -89,14 +89,14 @@ class Parser:
     """The automata of all languages as one table of transitions.
 
     ``table[state * width + symbol]`` is twice the (scaled) next state, plus one
-    if a phrase ends before the symbol.  Symbol 0 matches nothing, the last one
-    pads and changes nothing.
+    if a phrase begins with the symbol.  Symbol 0 matches nothing and is a phrase of
+    its own, the last one pads and changes nothing.
     """
 
     languages: list[str]
     symbols: dict[int, int]
     width: int
-    roots: np.ndarray
+    starts: np.ndarray
     table: np.ndarray
     log_lengths: np.ndarray
 
@@ -106,30 +106,29 @@ class Parser:
         seen = Counter("".join(references.values()))
         common = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
         symbols = {ord(c): i + 1 for i, c in enumerate(common)}
-        width, tables, roots, at = len(symbols) + 2, [], [], 0
+        width, tables, starts, at = len(symbols) + 2, [], [], 0
         for language in languages:
             move = suffix_automaton([symbols.get(ord(c), 0) for c in references[language]])
-            states = len(move)
+            # The last state is the one between phrases, where any symbol begins a phrase.
+            states, between = len(move) + 1, len(move)
             table = np.full((states, width), -1, np.int64)
             for s, out in enumerate(move):
                 table[s, list(out)] = list(out.values())
             table[:, 0] = -1
-            root = table[0].copy()
-            restart = np.where(root < 0, 0, root)
-            ended = table < 0
-            table = np.where(ended, restart, table)
-            table = 2 * (table + at) * width + ended
+            begun = np.where(table[0] < 0, between, table[0])
+            begins = table < 0
+            table = 2 * (np.where(begins, begun, table) + at) * width + begins
             table[:, -1] = 2 * (np.arange(states) + at) * width
             tables.append(table.reshape(-1))
-            roots.append(at * width)
+            starts.append((at + between) * width)
             at += states
         lengths = np.array([max(2, len(references[x])) for x in languages], float)
-        return cls(languages, symbols, width, np.array(roots, np.int32), np.concatenate(tables).astype(np.int32), np.log2(lengths))
+        return cls(languages, symbols, width, np.array(starts, np.int32), np.concatenate(tables).astype(np.int32), np.log2(lengths))
 
     def phrases(self, symbols: np.ndarray) -> np.ndarray:
         """Phrases by language and segment, of a (position, segment) array of symbols."""
-        state = np.repeat(self.roots[:, None], symbols.shape[1], axis=1)
-        count = np.ones_like(state)
+        state = np.repeat(self.starts[:, None], symbols.shape[1], axis=1)
+        count = np.zeros_like(state)
         for row in symbols:
             step = self.table.take(state + row)
             count += step & 1
