@@ -93,15 +93,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     place = F.struct("id", "th", "idx")
     spans = places.groupBy("key", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("not first <=> last")
     firsts = materialize(spans.select("key", "bytes", "first"), "line-firsts")
-    again = places.join(firsts, ["key", "bytes"]).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "idx", "key", "bytes")
 
     wanted = firsts.select("first.id", "first.th", F.struct("first.idx", "key", "bytes").alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("wanted"))
     holders = _keyed(docs.select("doc_id", "text")).withColumnRenamed("th", "own_th")
-    cut = holders.join(wanted, _same_row(wanted)).select("wanted", chunk_array(F.col("text")).alias("chunks"))
-    texts = cut.select("chunks", F.explode("wanted").alias("w")).select("w.key", "w.bytes", F.get("chunks", F.col("w.idx")).text.alias("first_text"))
-    # A repeated row gives its texts twice.  Written, so that the join below only joins and a frequent chunk can be split.
-    texts = materialize(texts.groupBy("key", "bytes").agg(F.any_value("first_text").alias("first_text")), "line-texts")
-    return again.join(texts, ["key", "bytes"]).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("idx", "first_text"))).alias("repeats"))
+    cut = holders.join(wanted, _same_row(wanted)).select("id", "th", "wanted", chunk_array(F.col("text")).alias("chunks"))
+    texts = cut.select("id", "th", "chunks", F.explode("wanted").alias("w")).select("w.key", "w.bytes", F.struct("id", "th", "w.idx").alias("first"), F.get("chunks", F.col("w.idx")).text.alias("first_text"))
+    # A repeated row gives its texts twice.  Written, so that the join below is all that deals by chunk and a frequent one can be split.
+    texts = materialize(texts.groupBy("key", "bytes").agg(F.any_value("first").alias("first"), F.any_value("first_text").alias("first_text")), "line-texts")
+    again = places.join(texts, ["key", "bytes"]).where(~place.eqNullSafe(F.col("first")))
+    return again.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("idx", "first_text"))).alias("repeats"))
 
 
 def _runs(chunks: Column, repeats: Column) -> Column:
