@@ -33,6 +33,8 @@ SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+#: Slots that a task makes.
+TASK_SLOTS = 1 << 18
 #: Documents of a bucket of the stream order, on average.
 BUCKET_DOCS = 4096
 #: Modulus and multipliers of the round function (fixed values of a known generator).
@@ -95,9 +97,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 def slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row a slot of the mixture: shard, slot, sid, block, epoch."""
     chunk = 4096
+    total = targets.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
     chunks = targets.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk).cast("long"))).alias("c"))
-    # A source with most of the slots is one row up to here.
-    spread = chunks.repartition("sid", "c")
+    # A source with most of the slots is one row up to here; a given number of parts is not coalesced again.
+    spread = chunks.repartition(1 + total // TASK_SLOTS, "sid", "c")
     last = F.least(F.col("n_slots"), (F.col("c") + 1) * chunk) - 1
     each = spread.select("*", F.explode(F.sequence(F.col("c") * chunk, last)).alias("j"))
     placed = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(1).cast("long"))
@@ -135,7 +138,8 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     sizes = materialize(document_sizes(docs), "mixing-sizes")
     targets = materialize(source_targets(sizes, block_words=block_words), "mixing-targets")
     pieces = block_pieces(placed_documents(sizes, targets), block_words)
-    return slots(targets).join(pieces, ["sid", "block"]).select("shard", "slot", "epoch", "doc_id", "from_word", "n_words")
+    # Slots grow with the words of the corpus, which the size of the targets does not tell: never broadcast.
+    return slots(targets).hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "epoch", "doc_id", "from_word", "n_words")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -143,7 +147,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     sizes = materialize(document_sizes(docs), "mixing-sizes")
     targets = materialize(source_targets(sizes, block_words=block_words), "mixing-targets")
     placed = materialize(placed_documents(sizes, targets), "mixing-placed")
-    times = slots(targets).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = slots(targets).groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = (
         block_pieces(placed, block_words)
         .join(times, ["sid", "block"], "left")
