@@ -98,6 +98,11 @@ def initial_states(tasks: DataFrame) -> DataFrame:
     )
 
 
+def test_output(status: Column, out: Column, err: Column) -> Column:
+    """What a test run printed, as the text of its result."""
+    return F.concat(F.lit("exit_status: "), status.cast("string"), F.lit("\nstdout:\n"), strip(out), F.lit("\nstderr:\n"), strip(err))
+
+
 def trace_event_error(event: Column, run_id: Column) -> Column:
     return F.when(_blank(event), F.lit("TraceEvent.event must be non-empty.")).when(_blank(run_id), F.lit("TraceEvent.run_id must be non-empty."))
 

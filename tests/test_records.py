@@ -56,6 +56,11 @@ def test_results_and_events_as_json(spark):
     assert json.loads(row.b) == {"call": json.loads(row.c), "result": json.loads(row.r)}
 
 
+def test_output_of_a_test_run(spark):
+    row = spark.range(1).select(records.test_output(F.lit(1), F.lit(" a\n"), F.lit("b ")).alias("o")).first()
+    assert row.o == "exit_status: 1\nstdout:\na\nstderr:\nb"
+
+
 def test_event_and_state_checks(spark):
     df = spark.createDataFrame([("e", "r"), (" ", "r"), ("e", "")], "event string, run_id string")
     assert [r.x for r in df.select(records.trace_event_error(F.col("event"), F.col("run_id")).alias("x")).collect()] == [None, "TraceEvent.event must be non-empty.", "TraceEvent.run_id must be non-empty."]
