@@ -36,7 +36,7 @@ SHARD_SLOTS = 4096
 #: Slots that a task makes.
 TASK_SLOTS = 1 << 18
 #: Documents of a bucket of the stream order, on average.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 #: Modulus and multipliers of the round function (fixed values of a known generator).
 PRIME, MULT_A, MULT_B = 2147483647, 48271, 69621
 ROUNDS_SEED = 7919
