@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from lodestone import queries
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="the tables are not
 
 
 def rows_of(frame, columns) -> list[tuple]:
-    plain = lambda v: "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
+    plain = lambda v: "null" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(plain, r)) for r in frame[columns].itertuples(index=False))
 
 
