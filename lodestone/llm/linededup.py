@@ -13,6 +13,15 @@ ones count as repeated.  A run of adjacent repeated chunks is removed if it has
 ``PASSAGE_WORDS`` words, or at least two lines and ``RUN_WORDS`` words; shorter
 runs, such as a single licence line, stay.
 
+These disjoint chunks, whose result the query's SQL fixes, miss a passage that has
+too few boundaries within, and the lines at its edges.  With ``whole`` a chunk is
+taken at every line that has a word instead: the line itself if it has
+``LONG_LINE`` words or more, and the line together with the next that has a word
+(and the wordless lines between them), unless both are long.  A passage that
+occurs twice then has the same chunks in both places, whatever surrounds it, and
+is found up to its edges.  A pair of lines that overlaps its own first place, as
+in three equal lines, stays.
+
 Defined results: null text stays null; rows that repeat id and text count as
 one document and get the same result; lines without a word form no chunk and go
 only with a run on both sides of them; an empty table gives an empty result;
@@ -22,6 +31,8 @@ unique.  A text that loses all its lines becomes empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +83,27 @@ def chunk_array(text: Column) -> Column:
     return F.filter(let(_line_structs(text), lambda lines: let(_starts(lines), lambda starts: cut(lines, starts))), lambda c: c.n_words > 0)
 
 
+def pair_array(text: Column) -> Column:
+    """Two places for each line with a word, in order: the line if it is long, and the line with the next.
+
+    Each is start, n_lines, n_words, text, or null.
+    """
+
+    def struct(start: Column, n_lines: Column, n_words: Column, own: Column) -> Column:
+        return F.struct(start.alias("start"), n_lines.alias("n_lines"), n_words.alias("n_words"), own.alias("text"))
+
+    def at_line(lines: Column, at: Column, after: Column) -> Column:
+        line, following = F.get(lines, at), F.get(lines, after)
+        pair = F.array_join(F.slice(lines, at + 1, after - at + 1).line, "\n")
+        alone = F.when(line.w >= LONG_LINE, struct(at, F.lit(1), line.w, line.line))
+        # A null for the line after the last makes the condition null.
+        return F.array(alone, F.when((line.w < LONG_LINE) & after.isNotNull() | (following.w < LONG_LINE), struct(at, after - at + 1, line.w + following.w, pair)))
+
+    worded = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.w > 0, i)), lambda i: i.isNotNull())
+    cut = lambda lines, own: F.flatten(F.transform(own, lambda at, k: at_line(lines, at, F.get(own, k + 1))))
+    return let(_line_structs(text), lambda lines: let(worded(lines), lambda own: cut(lines, own)))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """th: a hash that tells the rows of one id apart."""
     return docs.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
@@ -81,26 +113,29 @@ def _same_row(other: DataFrame) -> Column:
     return F.col("doc_id").eqNullSafe(other.id) & (F.col("own_th") == other.th)
 
 
-def chunk_places(docs: DataFrame) -> DataFrame:
+def chunk_places(docs: DataFrame, chunks: Callable[[Column], Column]) -> DataFrame:
     """(id, th, idx, key, bytes) of each chunk."""
-    cut = _keyed(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), "th", F.posexplode(chunk_array(F.col("text"))).alias("idx", "c"))
+    cut = _keyed(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), "th", F.posexplode(chunks(F.col("text"))).alias("idx", "c")).where("c is not null")
     return cut.select("id", "th", "idx", F.xxhash64("c.text").alias("key"), F.octet_length("c.text").alias("bytes"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, whole: bool) -> DataFrame:
     """(id, th, repeats): the chunks of a text that occur earlier by hash, as (idx, text of the first place)."""
-    places = materialize(chunk_places(docs), "line-places")
+    array = pair_array if whole else chunk_array
+    places = materialize(chunk_places(docs, array), "line-places")
     place = F.struct("id", "th", "idx")
     spans = places.groupBy("key", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("not first <=> last")
     firsts = materialize(spans.select("key", "bytes", "first"), "line-firsts")
 
     wanted = firsts.select("first.id", "first.th", F.struct("first.idx", "key", "bytes").alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("wanted"))
     holders = _keyed(docs.select("doc_id", "text")).withColumnRenamed("th", "own_th")
-    cut = holders.join(wanted, _same_row(wanted)).select("id", "th", "wanted", chunk_array(F.col("text")).alias("chunks"))
+    cut = holders.join(wanted, _same_row(wanted)).select("id", "th", "wanted", array(F.col("text")).alias("chunks"))
     texts = cut.select("id", "th", "chunks", F.explode("wanted").alias("w")).select("w.key", "w.bytes", F.struct("id", "th", "w.idx").alias("first"), F.get("chunks", F.col("w.idx")).text.alias("first_text"))
     # A repeated row gives its texts twice.  Written, so that the join below is all that deals by chunk and a frequent one can be split.
     texts = materialize(texts.groupBy("key", "bytes").agg(F.any_value("first").alias("first"), F.any_value("first_text").alias("first_text")), "line-texts")
     again = places.join(texts, ["key", "bytes"]).where(~place.eqNullSafe(F.col("first")))
+    if whole:
+        again = again.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") % 2 == 1) & (F.col("idx") == F.col("first.idx") + 2)))
     return again.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("idx", "first_text"))).alias("repeats"))
 
 
@@ -119,6 +154,33 @@ def _runs(chunks: Column, repeats: Column) -> Column:
     return F.aggregate(equal, none, lambda runs, r: let(F.get(chunks, r.idx), lambda c: grown(runs, r.idx, c)))
 
 
+def _pair_runs(chunks: Column, repeats: Column) -> Column:
+    """The same of :func:`pair_array`, as (start, end, upto)."""
+    equal = F.filter(repeats, lambda r: F.get(chunks, r.idx).text == r.first_text)
+
+    def grown(runs: Column, idx: Column, c: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        # The number of the line among those with a word, and of the one after the chunk.
+        line = F.floor(idx / 2).cast("int")
+        end, upto = c.start + c.n_lines, line + 1 + idx % 2
+        alone = F.struct(c.start.alias("start"), end.alias("end"), upto.alias("upto"))
+        joined = F.struct(last.start.alias("start"), F.greatest(last.end, end).alias("end"), F.greatest(last.upto, upto).alias("upto"))
+        return F.when(last.upto >= line, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(joined))).otherwise(F.concat(runs, F.array(alone)))
+
+    none = F.array().cast("array<struct<start:int,end:int,upto:int>>")
+    return F.aggregate(equal, none, lambda runs, r: let(F.get(chunks, r.idx), lambda c: grown(runs, r.idx, c)))
+
+
+def _sized(text: Column, runs: Column) -> Column:
+    """The runs with their n_lines and n_words."""
+
+    def sized(lines: Column, r: Column) -> Column:
+        words = F.aggregate(F.slice(lines, r.start + 1, r.end - r.start), F.lit(0), lambda acc, x: acc + x.w)
+        return F.struct(r.start.alias("start"), r.end.alias("end"), (r.end - r.start).alias("n_lines"), words.alias("n_words"))
+
+    return let(_line_structs(text), lambda lines: F.transform(runs, lambda r: sized(lines, r)))
+
+
 def _kept(text: Column, runs: Column) -> Column:
     def cut(lines: Column) -> Column:
         def part(k: Column) -> Column:
@@ -130,14 +192,18 @@ def _kept(text: Column, runs: Column) -> Column:
     return let(F.split(text, "\n"), cut)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and n_removed_lines, n_removed_words."""
-    repeats = materialize(repeated_chunks(docs), "line-repeats")
+    repeats = materialize(repeated_chunks(docs, whole), "line-repeats")
     own_columns = docs.columns
     rows = docs.select(F.struct(*own_columns).alias("row"), "doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_th"))
     found = rows.join(repeats, _same_row(repeats), "left").select("row", "repeats")
     text = F.col("row.text")
-    with_runs = found.select("row", F.when(F.col("repeats").isNotNull(), let(chunk_array(text), lambda chunks: _runs(chunks, F.col("repeats")))).alias("runs"))
+    if whole:
+        runs = let(let(pair_array(text), lambda chunks: _pair_runs(chunks, F.col("repeats"))), lambda own: _sized(text, own))
+    else:
+        runs = let(chunk_array(text), lambda chunks: _runs(chunks, F.col("repeats")))
+    with_runs = found.select("row", F.when(F.col("repeats").isNotNull(), runs).alias("runs"))
     large = with_runs.select("row", F.filter("runs", lambda r: (r.n_words >= PASSAGE_WORDS) | ((r.n_lines >= 2) & (r.n_words >= RUN_WORDS))).alias("runs"))
     count = lambda field: F.coalesce(F.aggregate(F.col("runs")[field], F.lit(0), lambda acc, n: acc + n), F.lit(0)).cast("long")
     new_text = F.when(F.size("runs") > 0, _kept(text, F.col("runs"))).otherwise(text)

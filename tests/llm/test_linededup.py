@@ -11,9 +11,9 @@ def passage(seed: int) -> str:
     return "\n".join(prose(seed + i, 9) for i in range(12))
 
 
-def dedup(spark, texts):
+def dedup(spark, texts, whole=False):
     rows = [(i, t, "en", "web", 0) for i, t in enumerate(texts)]
-    return {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    return {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS), whole).collect()}
 
 
 def test_a_repeated_passage_stays_once(spark):
@@ -28,6 +28,26 @@ def test_a_repeated_passage_stays_once(spark):
         assert len(set(got[i].text.split("\n")) & set(shared.split("\n"))) <= 4
 
 
+def test_short_passages_go_up_to_their_edges(spark):
+    """51 to 80 words in 3 to 8 short lines, with 2 and with 9 sharers."""
+    texts, want = [], []
+    for n_lines, n_words in ((3, 17), (3, 18), (4, 13), (4, 15), (4, 19), (5, 11), (5, 16), (6, 9), (6, 13), (7, 8), (8, 7), (8, 10)):
+        for sharers in (2, 9):
+            seed = 10_000 * len(texts)
+            shared = "\n".join(prose(seed + i, n_words) for i in range(n_lines))
+            for k in range(sharers):
+                around = ["\n".join(prose(seed + 100 * k + 1000 * side + i, 9) for i in range(4)) for side in (1, 2)]
+                texts.append("\n".join([around[0], shared, around[1]]))
+                want.append((texts[-1], 0) if k == 0 else ("\n".join(around), n_lines * n_words))
+    got = dedup(spark, texts, whole=True)
+    assert [(got[i].text, got[i].n_removed_words) for i in range(len(texts))] == want
+
+
+def test_the_first_place_keeps_its_lines(spark):
+    line = prose(9, 15)
+    assert dedup(spark, ["\n".join([line] * 5)], whole=True)[0].text == f"{line}\n{line}"
+
+
 def test_boundaries_resist_shifts(spark):
     lines = [prose(300 + i, 6) for i in range(120)]
     got = dedup(spark, ["\n".join(lines), "\n".join(["a new first line", *lines[:60], "an inserted line", *lines[60:]])])
