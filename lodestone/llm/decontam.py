@@ -1,22 +1,20 @@
 """Operator 4: documents that contain a benchmark item.
 
 Words are the runs between white space and ASCII punctuation of the lower-cased
-text.  For each benchmark item the SimHash of its five-word shingles is looked
-for among the SimHashes of the windows of the same number of words at every
-position of every text.  Item sizes are rounded down to a ladder of sizes
-(exact below 17 words, steps of about six per cent above); where that cuts an
-item, its first and its last words of that size are both looked for.
-
-A window's fingerprint is cut into four blocks of 16 bits.  For each block an
-index holds the least distance of each of the 65,536 values to that block of any
-item of the size.  The sum over the four blocks never exceeds the distance to
-any item, so windows whose sum is above ``RADIUS`` are none's neighbour and all
-others are compared in full: every fingerprint within the radius is found.
-
-Each such window is then verified: the weighted Jaccard similarity of the
-shingles of the item and of the item-sized window there must be ``SIMILARITY``
-or more.  A shingle counts as often as it occurs, times log(1 + items / items
-that have it), so that wording which many items share weighs less.
+text.  For each benchmark item every window of the same number of words, at every
+position of every text, is a candidate; at both ends of a text windows overhang
+it by any number of words, so that a part of an item at an edge, or a text that is
+shorter than the item, is compared with what is there.
+
+A shingle is a run of five words.  It counts as often as it occurs, times
+log(1 + items / items that have it), so that wording which many items share
+weighs less.  The weighted Jaccard similarity of the shingles of the item and of
+the window must be ``SIMILARITY`` or more.
+
+Similarity is bounded from above by sums over a text: the weight of the window's
+shingles that any item has (then: that the item has) holds what they share.  A
+window whose bound is below ``SIMILARITY`` cannot match and is passed over; all
+others are verified.  No window that is similar enough is lost.
 
 Texts run through in pieces of ``PIECE_WORDS`` words that overlap by the largest
 window, so memory does not grow with a text.  A benchmark of more than
@@ -47,12 +45,12 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Of the fingerprint search before the bound; only its test reads it.
 RADIUS = 12
-SIZE_RATIO = 1.06
+#: What sums of floats may be off.
+SLACK = 1e-6
 PART_CHARS = 1_000_000
 PIECE_WORDS = 1 << 15
-#: Items of a size whose distances share an index; more items have more indexes.
-INDEX_ITEMS = 64
 
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -77,31 +75,6 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def window_fingerprints(shingles: np.ndarray, counts: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each window length in shingles, the SimHash at every position."""
-    kind = np.uint8 if max(counts, default=0) < 256 else np.uint32
-    sums = {1: np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(kind, copy=False)}
-    for count in counts:
-        if count > len(shingles):
-            continue
-        rows, ones, at = len(shingles) - count + 1, None, 0
-        for power in (1 << b for b in range(count.bit_length()) if count >> b & 1):
-            for step in (1 << b for b in range(1, power.bit_length())):
-                if step not in sums:
-                    half = sums[step >> 1]
-                    sums[step] = half[: len(half) - (step >> 1)] + half[step >> 1 :]
-            part = sums[power][at : at + rows]
-            ones, at = part if ones is None else ones + part, at + power
-        yield count, np.packbits((ones > count // 2).reshape(-1), bitorder="little").view("<u8")
-
-
-def _ladder(size: int) -> int:
-    step = float(SHINGLE)
-    while (up := max(step + 1, step * SIZE_RATIO)) < size + 1:
-        step = up
-    return int(step)
-
-
 @dataclass
 class Probes:
     """The items of a part of the benchmark, by window length in shingles."""
@@ -111,7 +84,11 @@ class Probes:
     sizes: list[int] = field(default_factory=list)
     weights: dict[int, float] = field(default_factory=dict)
     default_weight: float = 1.0
-    by_count: dict[int, list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]] = field(default_factory=dict)
+    values: list[np.ndarray] = field(default_factory=list)
+    totals: list[float] = field(default_factory=list)
+    by_size: dict[int, list[int]] = field(default_factory=dict)
+    known: np.ndarray = field(default_factory=lambda: np.empty(0, "<u8"))
+    known_weights: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     @classmethod
     def build(cls, items: list[tuple[int, str | None]], n_items: int, frequency: dict[int, int]) -> Probes:
@@ -122,24 +99,17 @@ class Probes:
             h = shingles_of(word_hashes(words_of(text)))
             if not len(h):
                 continue
-            count = _ladder(len(h) + SHINGLE - 1) - SHINGLE + 1
-            for at in sorted({0, len(h) - count}):
-                (_, fps), *_ = window_fingerprints(h[at : at + count], [count])
-                found[count].append((int(fps[0]), len(own.ids), at))
+            found[len(h)].append(len(own.ids))
             own.ids.append(item_id)
             own.sizes.append(len(h))
             values, n = np.unique(h, return_counts=True)
+            own.values.append(values)
             own.shingles.append(dict(zip(values.tolist(), n.tolist(), strict=True)))
-        values = np.arange(1 << 16, dtype=np.uint16)
-        for count, probes in sorted(found.items()):
-            groups = []
-            for i in range(0, len(probes), INDEX_ITEMS):
-                part = probes[i : i + INDEX_ITEMS]
-                fps = np.array([p[0] for p in part], "<u8")
-                blocks = fps.view("<u2").reshape(-1, 4)
-                index = np.stack([reduce(np.minimum, (np.bitwise_count(values ^ x) for x in set(blocks[:, b].tolist()))) for b in range(4)])
-                groups.append((fps, index, [(p[1], p[2]) for p in part]))
-            own.by_count[count] = groups
+            own.totals.append(sum(own.weights.get(v, own.default_weight) * c for v, c in own.shingles[-1].items()))
+        own.by_size = dict(sorted(found.items()))
+        if own.ids:
+            own.known = np.unique(np.concatenate(own.values))
+            own.known_weights = np.array([own.weights.get(v, own.default_weight) for v in own.known.tolist()])
         return own
 
     @property
@@ -155,36 +125,48 @@ class Probes:
             both, either = both + w * min(a, b), either + w * max(a, b)
         return both / either if either else 0.0
 
-    def search(self, shingles: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(row, item, position, similarity) in shingles of rows that lie at starts..stops."""
-        for count, fps in window_fingerprints(shingles, list(self.by_count)):
-            blocks = fps.view("<u2").reshape(-1, 4)
-            for items, index, places in self.by_count[count]:
-                bound = index[0].take(blocks[:, 0])
-                for b in (1, 2, 3):
-                    bound += index[b].take(blocks[:, b])
-                near = np.flatnonzero(bound <= RADIUS)
+    def shared_weights(self, shingles: np.ndarray) -> np.ndarray:
+        """The weight of each shingle, 0 if no item has it."""
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[at] == shingles, self.known_weights[at], 0.0)
+
+    def search(self, shingles: np.ndarray, shared: np.ndarray, opens: bool, closes: bool) -> Iterator[tuple[int, int, int, float]]:
+        """(item, start, stop, similarity) in shingles of a part of a text, which begins or ends the text or not."""
+        n, sums = len(shingles), lambda w: np.concatenate(([0.0], np.cumsum(w)))
+        in_any, in_all = sums(shared), sums(np.where(shared > 0, shared, self.default_weight))
+        least = SIMILARITY - SLACK
+        for size, items in self.by_size.items():
+            items = [i for i in items if in_any[-1] >= least * self.totals[i]]
+            begins = np.arange(1 - size if opens else 0, n if closes else n - size + 1)
+            if not items or not len(begins):
+                continue
+            start, stop = np.maximum(begins, 0), np.minimum(begins + size, n)
+            bound = in_any[stop] - in_any[start]
+            for item in items:
+                total = self.totals[item]
+                near = np.flatnonzero(bound >= least * total)
                 if not len(near):
                     continue
-                at, which = np.nonzero(np.bitwise_count(fps[near][:, None] ^ items[None, :]) <= RADIUS)
-                for position, (item, offset) in {(int(near[a]), places[w]) for a, w in zip(at.tolist(), which.tolist(), strict=True)}:
-                    begin = position - offset
-                    row = int(np.searchsorted(starts, position, side="right")) - 1
-                    if begin < starts[row] or begin + self.sizes[item] > stops[row]:
-                        continue
-                    similarity = self.similarity(item, shingles[begin : begin + self.sizes[item]])
+                # Only the stretch that these windows cover is compared with the item.
+                a, b = start[near], stop[near]
+                low, high = int(a.min()), int(b.max())
+                in_item = sums(np.where(np.isin(shingles[low:high], self.values[item]), shared[low:high], 0.0))
+                both = np.minimum(in_item[b - low] - in_item[a - low], total)
+                either = total + in_all[b] - in_all[a] - both
+                for i in np.flatnonzero(both >= least * either).tolist():
+                    similarity = self.similarity(item, shingles[a[i] : b[i]])
                     if similarity >= SIMILARITY:
-                        yield row, item, begin, similarity
+                        yield item, int(a[i]), int(b[i]), similarity
 
 
-def _pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Shingles of several texts, and (row, its first word, start, stop) of each part of them."""
+def _pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int, bool]]]]:
+    """Shingles of several texts, and (row, its first word, start, stop, whether the text ends) of each part of them."""
     parts, spans, filled = [], [], 0
     for row, text in enumerate(texts):
         hashes = shingles_of(word_hashes(words_of(text)))
         for at in range(0, len(hashes), PIECE_WORDS):
             part = hashes[at : at + PIECE_WORDS + overlap]
-            spans.append((row, at, filled, filled + len(part)))
+            spans.append((row, at, filled, filled + len(part), at + len(part) == len(hashes)))
             parts.append(part)
             filled += len(part)
             if filled >= PIECE_WORDS:
@@ -194,18 +176,23 @@ def _pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(parts), spans
 
 
-def _matches(probes: Probes, texts: list[str | None]) -> dict[tuple[int, int], tuple[float, int]]:
-    """(row, item) -> (similarity, -first word) of the best window."""
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+def _matches(probes: Probes, texts: list[str | None]) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """(row, item) -> (similarity, -first word, shingles) of the best window."""
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     if not probes.ids:
         return best
+    enough = (SIMILARITY - SLACK) * min(probes.totals)
     for shingles, spans in _pieces(texts, probes.longest):
-        starts, stops = np.array([s[2] for s in spans]), np.array([s[3] for s in spans])
-        for span, item, begin, similarity in probes.search(shingles, starts, stops):
-            row, first, start, _ = spans[span]
-            key, value = (row, item), (round(similarity, 6), -(first + begin - start))
-            if key not in best or value > best[key]:
-                best[key] = value
+        shared = probes.shared_weights(shingles)
+        if shared.sum() < enough:
+            continue
+        for row, first, start, stop, closes in spans:
+            if shared[start:stop].sum() < enough:
+                continue
+            for item, a, b, similarity in probes.search(shingles[start:stop], shared[start:stop], first == 0, closes):
+                key, value = (row, item), (round(similarity, 6), -(first + a), b - a)
+                if key not in best or value > best[key]:
+                    best[key] = value
     return best
 
 
@@ -245,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ids.take(pa.array([row for (row, _), _ in found], pa.int64())),
                     pa.array([probes.ids[item] for (_, item), _ in found], pa.int64()),
                     pa.array([-v[1] for _, v in found], pa.int64()),
-                    pa.array([probes.sizes[item] + SHINGLE - 1 for (_, item), _ in found], pa.int64()),
+                    pa.array([v[2] + SHINGLE - 1 for _, v in found], pa.int64()),
                     pa.array([v[0] for _, v in found], pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "first_word", "n_words", "similarity"])

@@ -71,6 +71,29 @@ def test_leaks_equal_brute_force(spark):
     assert all(r.similarity >= 0.8 and r.first_word >= 0 and whole[r.doc_id] for r in got)
 
 
+def test_edited_items_are_found_down_to_the_least_similarity():
+    """Items with single words changed, whole and cut off at the edges of a text."""
+    rng, texts, want = random.Random(11), [], []
+    unlike = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    items = [(i, unlike(59 + 40 * (i % 4))) for i in range(40)]
+    probes = decontam.Probes.build(items, len(items), {})
+    for i, text in items:
+        words = text.split()
+        n, changed = len(words), max(1, (len(words) - 4) // 50)
+        for at in rng.sample(range(5, n - 5, 12), changed):
+            words[at] = "changed"
+        # Each changed word takes five shingles of the item and adds five.
+        if (n - 4 - 5 * changed) / (n - 4 + 5 * changed) >= 0.8:
+            texts.append(f"{unlike(30)} {' '.join(words)} {unlike(30)}")
+            want.append(i)
+        cut = text.split()[: n - n // 8]
+        texts += [f"{unlike(30)} {' '.join(cut)}", " ".join(cut), f"{' '.join(text.split()[n // 8 :])} {unlike(30)}"]
+        want += [i] * 3
+    got = decontam._matches(probes, texts)
+    assert sorted(got) == list(enumerate(want)) and len(want) >= 140
+    assert min(v[0] for v in got.values()) < 0.86
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     """The summed block distances never exceed the distance, so no neighbour is lost."""
     rng = np.random.default_rng(5)
