@@ -8,11 +8,15 @@ regression with a quadratic penalty is fitted.  Only features whose ``r`` is
 ``MIN_Z`` standard errors from zero take part, the ``MAX_FEATURES`` clearest at
 most: the mass of rare n-grams of long texts would drown the rest.
 
-The classifier is fitted on a bounded sample, the ``SAMPLE_ROWS`` labelled rows
-of up to ``SAMPLE_CHARS`` characters that come first by hash of the id; counts
-and features of the sample are made by Spark tasks, and the driver fits a few
-thousand weights.  Every score reads the whole text, in one pass of an
-Aho-Corasick automaton over the features.
+A text is scored by windows of ``WINDOW_CHARS`` characters, each half over the
+one before, and its score is the highest: chance hits add up over a window only,
+not over a very long text.
+
+The classifier is fitted on a bounded sample, the ``SAMPLE_ROWS`` labelled rows,
+of any length, that come first by hash of the id; of each the window with the
+highest sum of ratios is the training row.  Counts and features of the sample are
+made by Spark tasks, and the driver fits a few thousand weights.  Every score
+reads the whole text, in one pass of an Aho-Corasick automaton over the features.
 
 Defined results: null and empty texts get the score of no features; labels that
 are null or contradict each other for one id teach nothing; with fewer than two
@@ -27,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -38,7 +43,7 @@ from lodestone.llm.common import doc_bucket, materialize
 
 GRAMS = (3, 4, 5, 6)
 SAMPLE_ROWS = 20_000
-SAMPLE_CHARS = 20_000
+WINDOW_CHARS = 20_000
 MIN_Z = 4.0
 MIN_DOCS = 4
 MAX_FEATURES = 4000
@@ -74,7 +79,7 @@ class Model:
     def score(self, texts: list[str | None]) -> list[float]:
         finder = _finder(list(self.weights))
         values = list(self.weights.values())
-        sums = [sum(values[i] for i in _found(finder, text)) + self.bias for text in texts]
+        sums = [max(sum(values[i] for i in window) for window in _windows(finder, text)) + self.bias for text in texts]
         return _sigmoid(np.array(sums)).tolist()
 
 
@@ -87,18 +92,24 @@ def _finder(grams: list[str]):
     return finder
 
 
-def _found(finder, text: str | None) -> list[int]:
-    """Numbers of the distinct n-grams that a text has, in order."""
-    return sorted({i for _, i in finder.iter(normalized(text))}) if len(finder) else []
+def _windows(finder, text: str | None) -> list[list[int]]:
+    """Numbers of the distinct n-grams of each window of a text, in order; one window at least."""
+    if not len(finder):
+        return [[]]
+    padded, step = normalized(text), WINDOW_CHARS // 2
+    # An n-gram lies where its last character is; a window is two blocks.
+    blocks: list[set[int]] = [set() for _ in range(max(2, -(-len(padded) // step)))]
+    for end, i in finder.iter(padded):
+        blocks[end // step].add(i)
+    return [sorted(a | b) for a, b in pairwise(blocks)]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the bounded sample; contradicting labels are left out."""
     agreed = labels.where("toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("hi")).where("toxic = hi")
-    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS).select("doc_id", "text")
     # The ids of the sample come first, so that only its texts are joined.
-    chosen = short.select("doc_id").join(agreed, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("doc_id", "toxic").distinct()
-    return short.join(F.broadcast(materialize(chosen, "toxicity-ids")), "doc_id").select("text", "toxic")
+    chosen = docs.select("doc_id").join(agreed, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("doc_id", "toxic").distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(materialize(chosen, "toxicity-ids")), "doc_id").select("text", "toxic")
 
 
 def gram_ratios(sample: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
@@ -152,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _finder(grams)
         for batch in batches:
-            found = [_found(finder, text.as_py()) for text in batch.column(0)]
+            found = [max(_windows(finder, text.as_py()), key=lambda window: sum(ratios[i] for i in window)) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
 
     rows = sorted((r.found, r.toxic) for r in sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(find, "found array<int>, toxic int").collect())

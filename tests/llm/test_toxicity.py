@@ -50,6 +50,18 @@ def test_whole_texts_are_read(trained):
     assert before < 0.5 < after
 
 
+def test_hits_far_apart_do_not_add_up():
+    model, filler = toxicity.Model({"zor": 3.0, "vre": 3.0}, -4.0), "mild " * 100_000
+    near, far, late = model.score(["zor vre", f"zor {filler} vre", f"{filler} zor {'mild ' * 1500} vre"])
+    assert far < 0.5 < min(near, late)
+
+
+def test_long_rows_are_training_rows(spark):
+    docs = [(1, "x" * 300_000, "en", "web", 0), (2, "short", "en", "web", 0)]
+    own = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_sample(spark.createDataFrame(docs, DOCS), own).count() == 2
+
+
 def test_features_are_scaled_by_log_count_ratios(spark):
     rows = [("zorg", 1)] * 60 + [("mild", 0)] * 120
     got = {r.gram: r.r for r in toxicity.gram_ratios(spark.createDataFrame(rows, "text string, toxic int"), 60, 120).collect()}
