@@ -1,22 +1,33 @@
 """Operator 8: mixing sources to target weights.
 
 The words of a source form one stream, cut into blocks of ``block_words``.  A
-source with ``n`` blocks and target ``t`` gets ``round(n * t / size)`` slots of
-the mixture, at most ``2 * n``.  A pseudorandom permutation of all slots deals
-them out to output shards, so the source counts of a shard are multinomial draws
-conditioned on the totals that meet the targets.  Slot ``j`` of a source takes
-block ``perm(j mod n)`` of a permutation of its own, which uses every block once
-before any block a second time; slots and blocks are then joined by index.
-
-The stream order is (bucket of the id, id, size), so offsets are a running sum
-within small buckets plus a running sum over buckets; no source is sorted in one
-task.  Permutations are Feistel networks over a rectangle that just holds the
-index range, walked until they land in it, so an index is computed, not looked up.
+source with ``n`` blocks and target ``t`` has the quota ``round(n * t / size)`` of
+the mixture's slots, at most ``cap * n``.  The mixture is dealt in output shards
+of ``shard_slots`` slots.  For each shard the source counts are one multinomial
+draw with the quotas as weights, drawn by strata: the unit interval is cut into
+one stratum a slot with one uniform number each, a hash of shard and stratum, and
+a source gets the slots whose number falls into its part of the interval.  Drawn
+that way a source's total stays within a few slots of its quota, which
+independent numbers would not do.
+
+A running sum of the counts over the shards numbers the slots of a source.  Slot
+``j`` of a source takes block ``perm(j mod n)``, by a permutation for each pass
+over the source, so every block is used once before any block a second time;
+numbers from ``cap * n`` on, which a draw above the quota may give, take nothing.
+Slots and blocks are joined by index.
+
+The stream order is (bucket of the row, id, size), so offsets are running sums
+within small buckets, within groups of buckets and over the groups; no source is
+sorted in one task.  Rows that repeat source, id and size are counted before that
+and dealt out after it.  Permutations are Feistel networks over a rectangle that
+just holds the index range, walked until they land in it, so an index is
+computed, not looked up.
 
 Defined results: null text has size 0 and is never taken; a null source is a
-source of its own, last in order; repeated rows are documents of their own; an
-empty table gives an empty result.  Only ``doc_id``, ``text`` and ``source`` are
-read.  All draws depend on the ids and sizes alone, so reruns agree.
+source of its own, last in order; repeated rows are documents of their own; null
+ids and one id on many rows are spread by their sizes; an empty table gives an
+empty result.  Only ``doc_id``, ``text`` and ``source`` are read.  All draws
+depend on the ids and sizes alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -26,7 +37,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, word_array
+from lodestone.llm.common import let, materialize, word_array
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -35,15 +46,22 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Slots that a task makes.
 TASK_SLOTS = 1 << 18
-#: Documents of a bucket of the stream order, on average.
-BUCKET_DOCS = 1024
-#: Modulus and multipliers of the round function (fixed values of a known generator).
-PRIME, MULT_A, MULT_B = 2147483647, 48271, 69621
+#: Rows of a bucket of the stream order, on average; buckets and shards of a group, whose sums are added up together.
+BUCKET_DOCS = 32
+GROUP = 4096
+#: Hashes multiply 31 bits, so that products fit a long, and keep the highest HASH_BITS; odd multipliers (fixed values of a known hash).
+BITS, HASH_BITS = (1 << 31) - 1, 24
+MULT_A, MULT_B = 0x7FEB352D, 0x2C1B3C6D
 ROUNDS_SEED = 7919
+ROUNDS = 4
+#: Steps of a walk.  One that would need more (chance below 1e-100) stops the job, and loses nothing silently.
+WALK = 64
 
 
-def _scramble(x: Column, salt: Column) -> Column:
-    return ((x + salt) % PRIME * MULT_A % PRIME * MULT_B) % PRIME
+def hashed(x: Column, salt: Column) -> Column:
+    """A hash of HASH_BITS bits."""
+    x = ((x + salt).bitwiseAND(F.lit(BITS)) * MULT_A).bitwiseAND(F.lit(BITS))
+    return F.shiftright((x.bitwiseXOR(F.shiftright(x, 15)) * MULT_B).bitwiseAND(F.lit(BITS)), 31 - HASH_BITS)
 
 
 def permuted(x: Column, n: Column, salt: Column) -> Column:
@@ -51,18 +69,22 @@ def permuted(x: Column, n: Column, salt: Column) -> Column:
     a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     b = F.ceil(n.cast("double") / a).cast("long")
 
-    def once(v: Column) -> Column:
-        left, right = F.floor(v / b).cast("long"), v % b
-        right = (right + _scramble(left, salt + ROUNDS_SEED)) % b
-        left = (left + _scramble(right, salt + 2 * ROUNDS_SEED)) % a
-        right = (right + _scramble(left, salt + 3 * ROUNDS_SEED)) % b
-        left = (left + _scramble(right, salt + 4 * ROUNDS_SEED)) % a
-        return left * b + right
+    def once(v: Column, p: Column) -> Column:
+        def step(lr: Column, i: Column) -> Column:
+            right = (lr.r + hashed(lr.l, p.salt + i * ROUNDS_SEED)) % p.b
+            return F.struct(((lr.l + hashed(right, p.salt + (i + ROUNDS) * ROUNDS_SEED)) % p.a).alias("l"), right.alias("r"))
 
-    # The rectangle has fewer than sqrt(n) + 1 indices too many: walks are short.
-    first = once(x)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    return F.when(first < n, first).otherwise(walked)
+        start = F.struct(F.floor(v / p.b).cast("long").alias("l"), (v % p.b).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), start, step, lambda lr: lr.l * p.b + lr.r)
+
+    def walked(p: Column) -> Column:
+        # The rectangle has fewer than sqrt(n) + 1 indices too many: walks are short.
+        far = lambda first: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda v, _: F.when(v < p.n, v).otherwise(once(v, p)))
+        lost = F.raise_error(F.lit("a walk of a permutation is too long")).cast("long")
+        inside = lambda v: F.when(v < p.n, v).otherwise(lost)
+        return let(once(p.x, p), lambda first: F.when(first < p.n, first).otherwise(let(far(first), inside)))
+
+    return let(F.struct(x.alias("x"), n.alias("n"), salt.alias("salt"), a.alias("a"), b.alias("b")), walked)
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -94,31 +116,77 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     return counted.withColumn("first_slot", first).withColumn("all_slots", F.sum("n_slots").over(whole)).select("source", F.col("sid").cast("long").alias("sid"), "weight", "source_size", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
 
 
-def slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def _before(df: DataFrame, value: Column, order: list[str], name: str, total: str) -> DataFrame:
+    """Adds the sum of ``value`` over the earlier rows of a source: within (sid, grp) by ``order``, and over the groups before.
+
+    ``total`` names the sum of a group; a source has one row a group there.
+    """
+    until = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    groups = df.groupBy("sid", "grp").agg(F.sum(value).alias(total))
+    starts = groups.select("sid", "grp", F.coalesce(F.sum(total).over(until(Window.partitionBy("sid").orderBy("grp"))), none).alias("_start"))
+    within = df.withColumn("_within", F.coalesce(F.sum(value).over(until(Window.partitionBy("sid", "grp").orderBy(*order))), none))
+    return within.join(starts, ["sid", "grp"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_start", "_within")
+
+
+def shard_draws(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row a shard and source with slots in it: sid, n_blocks, shard, shard_size, at, count, first.
+
+    ``at`` is the first slot of the source in the shard, ``first`` the number of
+    the first of its ``count`` slots among all slots of the source.
+    """
+    total = targets.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
+    n_shards = -(-total // shard_slots)
+    if not n_shards:
+        return targets.where("false").select("sid", "n_blocks", *[F.lit(0).cast("long").alias(c) for c in ("shard", "shard_size", "at", "count", "first")])
+    numbers = lambda low, high: F.explode(F.sequence(low.cast("long"), high.cast("long")))
+    groups = targets.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "first_slot", "all_slots", numbers(F.lit(0), F.lit((n_shards - 1) // GROUP)).alias("grp"))
+    spread = groups.repartition(1 + n_shards // (8 * GROUP), "sid", "grp")
+    each = spread.select("*", numbers(F.col("grp") * GROUP, F.least((F.col("grp") + 1) * GROUP, F.lit(n_shards)) - 1).alias("shard"))
+    each = each.withColumn("shard_size", F.least(F.lit(shard_slots).cast("long"), F.col("all_slots") - F.col("shard") * shard_slots))
+
+    def slots_below(quota: Column) -> Column:
+        """Slots of the shard whose number is below the first ``quota`` of all slots."""
+        place = quota * F.col("shard_size")
+        rest = place % F.col("all_slots")
+        # Exact, as the division leaves nothing.
+        stratum = F.round((place - rest) / F.col("all_slots")).cast("long")
+        uniform = hashed(hashed(F.col("shard"), F.lit(ROUNDS_SEED)) + stratum, F.lit(1)) / F.lit(float(1 << HASH_BITS))
+        return stratum + (uniform < rest / F.col("all_slots")).cast("long")
+
+    drawn = each.withColumn("at", slots_below(F.col("first_slot"))).withColumn("count", slots_below(F.col("first_slot") + F.col("n_slots")) - F.col("at"))
+    numbered = _before(materialize(drawn.select("sid", "n_blocks", "grp", "shard", "shard_size", "at", "count"), "mixing-draws"), F.col("count"), ["shard"], "first", "in_group")
+    return numbered.where("count > 0").select("sid", "n_blocks", "shard", "shard_size", "at", "count", "first")
+
+
+def slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS, cap: int = CAP) -> DataFrame:
     """One row a slot of the mixture: shard, slot, sid, block, epoch."""
-    chunk = 4096
     total = targets.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
-    chunks = targets.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "first_slot", "all_slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk).cast("long"))).alias("c"))
-    # A source with most of the slots is one row up to here; a given number of parts is not coalesced again.
-    spread = chunks.repartition(1 + total // TASK_SLOTS, "sid", "c")
-    last = F.least(F.col("n_slots"), (F.col("c") + 1) * chunk) - 1
-    each = spread.select("*", F.explode(F.sequence(F.col("c") * chunk, last)).alias("j"))
-    placed = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(1).cast("long"))
-    block = permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid") + 2)
-    return each.select("sid", block.alias("block"), F.floor(F.col("j") / F.col("n_blocks")).cast("long").alias("epoch"), placed.alias("place")).select(F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), (F.col("place") % shard_slots).alias("slot"), "sid", "block", "epoch")
+    spread = shard_draws(targets, shard_slots).repartition(1 + total // TASK_SLOTS, "sid", "shard")
+    each = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i")).withColumn("j", F.col("first") + F.col("i"))
+    each = each.where(F.col("j") < cap * F.col("n_blocks")).withColumn("epoch", F.floor(F.col("j") / F.col("n_blocks")).cast("long"))
+    block = permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), cap * F.col("sid") + F.col("epoch"))
+    slot = permuted(F.col("at") + F.col("i"), F.col("shard_size"), F.col("shard"))
+    return each.select("shard", slot.alias("slot"), "sid", block.alias("block"), "epoch")
 
 
 def placed_documents(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """The documents with sid, source_size, target and the offset of their words in the source's stream."""
-    n_buckets = max(1, -(-sizes.count() // BUCKET_DOCS))
-    keyed = sizes.withColumn("own_source", F.col("source")).drop("source")
-    known = keyed.join(targets, keyed.own_source.eqNullSafe(targets.source)).select("doc_id", "size", "sid", "source_size", "target")
-    folded = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(PRIME).cast("long"))
-    bucketed = known.withColumn("bucket", _scramble(folded, F.lit(ROUNDS_SEED).cast("long")) % n_buckets)
-    sums = bucketed.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
-    starts = sums.select("sid", "bucket", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("start"))
-    within = F.coalesce(F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return bucketed.withColumn("within", within).join(starts, ["sid", "bucket"]).withColumn("offset", F.col("start") + F.col("within")).drop("start", "within", "bucket")
+    alike = materialize(sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")), "mixing-alike")
+    n_buckets = max(1, -(-alike.count() // BUCKET_DOCS))
+    keyed = alike.withColumn("own_source", F.col("source")).drop("source")
+    known = keyed.join(targets, keyed.own_source.eqNullSafe(targets.source)).select("doc_id", "size", "copies", "sid", "source_size", "target")
+    doc = F.coalesce("doc_id", F.lit(0).cast("long"))
+    folded = doc.bitwiseAND(F.lit(BITS)).bitwiseXOR(F.shiftright(doc, 31).bitwiseAND(F.lit(BITS)))
+    bucketed = known.withColumn("bucket", hashed(hashed(folded, F.lit(ROUNDS_SEED)) + F.col("size"), F.lit(2)) % n_buckets)
+
+    here = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.col("size") * F.col("copies")
+    sums = bucketed.groupBy("sid", "bucket").agg(F.sum(words).alias("in_bucket")).withColumn("grp", F.floor(F.col("bucket") / GROUP).cast("long"))
+    starts = _before(sums, F.col("in_bucket"), ["bucket"], "start", "in_group").select("sid", "bucket", "start")
+    within = bucketed.withColumn("within", F.coalesce(F.sum(words).over(here), F.lit(0).cast("long"))).join(starts, ["sid", "bucket"])
+    each = within.select("doc_id", "size", "sid", "source_size", "target", (F.col("start") + F.col("within")).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    return each.select("doc_id", "size", "sid", "source_size", "target", (F.col("start") + F.col("copy") * F.col("size")).alias("offset"))
 
 
 def block_pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -5,41 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
-from lodestone.llm.mixing import BLOCK_WORDS, BUCKET_DOCS, CAP, MULT_A, MULT_B, PRIME, ROUNDS_SEED, SHARE, WEIGHTS, mixed_documents
+from lodestone.llm.mixing import BITS, BLOCK_WORDS, BUCKET_DOCS, CAP, HASH_BITS, MULT_A, MULT_B, ROUNDS, ROUNDS_SEED, SHARD_SLOTS, SHARE, WEIGHTS, mixed_documents
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(table(spark, sf_dir, "documents"))
 
 
-def _scramble(x: str, salt: str) -> str:
-    return f"(({x} + {salt}) % {PRIME} * {MULT_A} % {PRIME} * {MULT_B} % {PRIME})"
+def _hashed(x: str, salt: str) -> str:
+    mixed = f"((({x} + {salt}) & {BITS}) * {MULT_A} & {BITS})"
+    return f"((xor({mixed}, {mixed} >> 15) * {MULT_B} & {BITS}) >> {31 - HASH_BITS})"
 
 
-def _step(name: str, source: str, x: str) -> str:
-    """CTEs that apply one pass of the permutation to column x of a relation with a, b and salt."""
-    return f"""
-{name}_0 AS (SELECT *, {x} // b AS l, {x} % b AS r FROM {source}),
-{name}_1 AS (SELECT * REPLACE ((r + {_scramble('l', f'(salt + {ROUNDS_SEED})')}) % b AS r) FROM {name}_0),
-{name}_2 AS (SELECT * REPLACE ((l + {_scramble('r', f'(salt + {2 * ROUNDS_SEED})')}) % a AS l) FROM {name}_1),
-{name}_3 AS (SELECT * REPLACE ((r + {_scramble('l', f'(salt + {3 * ROUNDS_SEED})')}) % b AS r) FROM {name}_2),
-{name}_4 AS (SELECT * REPLACE ((l + {_scramble('r', f'(salt + {4 * ROUNDS_SEED})')}) % a AS l) FROM {name}_3),
-{name} AS (SELECT * EXCLUDE (l, r) REPLACE (CASE WHEN done THEN v ELSE l * b + r END AS v) FROM {name}_4)"""
+def _permuted(name: str, source: str) -> str:
+    """CTEs that move column v of a relation with n, salt, a and b, where v is not done."""
+    rounds = [f"{name}_0 AS (SELECT *, v // b AS l, v % b AS r FROM {source})"]
+    for i in range(1, ROUNDS + 1):
+        right = f"(r + {_hashed('l', f'(salt + {i * ROUNDS_SEED})')}) % b"
+        left = f"(l + {_hashed('r', f'(salt + {(i + ROUNDS) * ROUNDS_SEED})')}) % a"
+        rounds += [f"{name}_{i}r AS (SELECT * REPLACE ({right} AS r) FROM {name}_{i - 1})", f"{name}_{i} AS (SELECT * REPLACE ({left} AS l) FROM {name}_{i}r)"]
+    moved = f"SELECT * EXCLUDE (l, r) REPLACE (CASE WHEN done THEN v ELSE l * b + r END AS v) FROM {name}_{ROUNDS}"
+    return ",\n".join([*rounds, f"{name} AS (SELECT * REPLACE (v < n AS done) FROM ({moved}))"])
 
 
-def _walks(n: int) -> str:
-    """Passes that move only what is not yet in range; so many that none is left on these tables."""
-    parts = []
-    for i in range(n):
-        parts.append(f"w{i}_in AS (SELECT * REPLACE (v < n_blocks AS done) FROM {f'w{i - 1}' if i else 'p0'})," + _step(f"w{i}", f"w{i}_in", "v"))
-    return ",\n".join(parts)
+#: Passes that move only what is not yet in range; so many that none is left on these tables.
+WALKS = 8
 
 
-WALKS = 8
+def _below(quota: str) -> str:
+    """Slots of a shard whose number is below the first ``quota`` of all slots."""
+    stratum, rest = f"(({quota}) * shard_size // all_slots)", f"(({quota}) * shard_size % all_slots)"
+    uniform = f"({_hashed(f'({_hashed(chr(107), str(ROUNDS_SEED))} + {stratum})', '1')} / {float(1 << HASH_BITS)}::DOUBLE)"
+    return f"({stratum} + CASE WHEN {uniform} < {rest}::DOUBLE / all_slots::DOUBLE THEN 1 ELSE 0 END)"
 
 
 def mixing_sql(source: str = "documents") -> str:
     weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
+    folded = f"xor(coalesce(doc_id, 0) & {BITS}, (coalesce(doc_id, 0) >> 31) & {BITS})"
+    n_buckets = f"greatest(1, ((SELECT count(*) FROM (SELECT DISTINCT source, doc_id, size FROM sizes)) + {BUCKET_DOCS - 1}) // {BUCKET_DOCS})"
     return rf"""
 sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM {source}),
@@ -58,22 +61,30 @@ targets AS (
          ceil(source_size / {BLOCK_WORDS})::BIGINT AS n_blocks FROM settled),
 slotted AS (
   SELECT *, CASE WHEN source_size > 0 THEN least({CAP} * n_blocks, floor(n_blocks * target / source_size + 0.5)::BIGINT) ELSE 0 END AS n_slots FROM targets),
+quotas AS (
+  SELECT *, coalesce(sum(n_slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot,
+         sum(n_slots) OVER ()::BIGINT AS all_slots FROM slotted),
+shards AS (
+  SELECT sid, n_blocks, n_slots, first_slot, all_slots, k, least({SHARD_SLOTS}, all_slots - k * {SHARD_SLOTS}) AS shard_size
+  FROM (SELECT *, unnest(range(0, (all_slots + {SHARD_SLOTS - 1}) // {SHARD_SLOTS})) AS k FROM quotas WHERE n_slots > 0)),
+draws AS (
+  SELECT sid, n_blocks, k, {_below('first_slot + n_slots')} - {_below('first_slot')} AS n FROM shards),
+numbered AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM draws),
 placed AS (
   SELECT doc_id, size, sid, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-  FROM (SELECT doc_id, size, sid, source_size, target,
-               {_scramble(f'(((coalesce(doc_id, 0) % {PRIME}) + {PRIME}) % {PRIME})', str(ROUNDS_SEED))} % greatest(1, -(-(SELECT count(*) FROM sizes) // {BUCKET_DOCS})) AS bucket
+         coalesce(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM (SELECT doc_id, size, sid, source_size, target, {_hashed(f"({_hashed(folded, str(ROUNDS_SEED))} + size)", '2')} % {n_buckets} AS bucket
         FROM sizes JOIN slotted ON sizes.source IS NOT DISTINCT FROM slotted.source)),
 pieces AS (
   SELECT sid, block, doc_id, off, size, source_size, target,
          least(off + size, (block + 1) * {BLOCK_WORDS}) - greatest(off, block * {BLOCK_WORDS}) AS n_words
   FROM (SELECT *, unnest(range(off // {BLOCK_WORDS}, (off + size - 1) // {BLOCK_WORDS} + 1)) AS block FROM placed WHERE size > 0)),
-p0 AS (
-  SELECT sid, n_blocks, j % n_blocks AS v, sid + 2 AS salt, false AS done,
+p AS (
+  SELECT sid, n_blocks AS n, j % n_blocks AS v, {CAP} * sid + j // n_blocks AS salt, false AS done,
          ceil(sqrt(n_blocks::DOUBLE))::BIGINT AS a, ceil(n_blocks::DOUBLE / ceil(sqrt(n_blocks::DOUBLE)))::BIGINT AS b
-  FROM (SELECT sid, n_blocks, unnest(range(0, n_slots)) AS j FROM slotted WHERE n_slots > 0)),
-q0_in AS (SELECT * FROM p0),{_step('q0', 'q0_in', 'v')},
-{_walks(WALKS).replace("FROM p0)", "FROM q0)")},
+  FROM (SELECT sid, n_blocks, unnest(range(first, first + n)) AS j FROM numbered) WHERE j < {CAP} * n_blocks),
+{",".join(_permuted(f"w{i}", f"w{i - 1}" if i else "p") for i in range(WALKS))},
 times AS (SELECT sid, v AS block, count(*) AS times FROM w{WALKS - 1} GROUP BY sid, v)"""
 
 

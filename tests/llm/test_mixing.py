@@ -60,23 +60,65 @@ def test_taken_words_come_near_the_target(mixed):
 
 
 def test_a_permutation_hits_each_index_once(spark):
-    for n in (1, 2, 3, 7, 64, 1000, 4097):
+    for n in (1, 2, 3, 5, 7, 64, 1000, 4097):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p"))
         got = sorted(r.p for r in df.collect())
         assert got == list(range(n))
 
 
 def test_slots_fill_shards(spark, mixed):
-    sizes = mixing.document_sizes(mixed[0])
-    targets = mixing.source_targets(sizes)
+    targets = mixing.source_targets(mixing.document_sizes(mixed[0]))
+    quota = {r.sid: r.n_slots for r in targets.collect()}
+    draws = mixing.shard_draws(targets, shard_slots=50).collect()
+    total, by_shard = sum(quota.values()), {}
+    for r in draws:
+        by_shard.setdefault(r.shard, []).append(r)
+    assert sorted(by_shard) == list(range(-(-total // 50)))
+    for shard, own in by_shard.items():
+        # The sources of a shard fill its slots, without a gap.
+        own.sort(key=lambda r: r["at"])
+        assert [r["at"] for r in own] == [0, *(r["at"] + r["count"] for r in own)][:-1]
+        assert own[-1]["at"] + own[-1]["count"] == own[0].shard_size == min(50, total - 50 * shard)
+    assert len({tuple(r["count"] for r in own) for own in by_shard.values()}) > 5
+    for sid, n in quota.items():
+        own = sorted((r for r in draws if r.sid == sid), key=lambda r: r.shard)
+        assert [r["first"] for r in own] == [0, *(sum(x["count"] for x in own[: i + 1]) for i in range(len(own)))][: len(own)]
+        assert abs(sum(r["count"] for r in own) - n) <= 2 * len(by_shard) ** 0.5
+
     slots = mixing.slots(targets, shard_slots=50)
-    total = targets.agg(F.sum("n_slots")).first()[0]
-    assert slots.count() == slots.select("shard", "slot").distinct().count() == total
+    assert slots.count() == slots.select("shard", "slot").distinct().count() <= total
     # No block is used a second time before all blocks were used once.
     uses = slots.groupBy("sid", "block").agg(F.count("*").alias("n"), F.max("epoch").alias("epoch"))
     assert uses.where("n > 2 or n <> epoch + 1").count() == 0
 
 
+def test_draws_follow_the_quotas(spark):
+    """Over many shards a source of a hundredth of the slots gets its share, by draws that differ."""
+    rows = [(0, 10_000_000, 9_900_000, 0), (1, 10_000_000, 99_990, 9_900_000), (2, 10_000_000, 10, 9_999_990)]
+    targets = spark.createDataFrame([(*r, 10_000_000) for r in rows], "sid long, n_blocks long, n_slots long, first_slot long, all_slots long")
+    counts = {0: [], 1: [], 2: []}
+    for r in mixing.shard_draws(targets, shard_slots=130).collect():
+        counts[r.sid].append(r["count"])
+    assert abs(sum(counts[1]) - 99_990) < 1500 and set(counts[1]) == {1, 2} or set(counts[1]) == {1, 2, 3}
+    assert 1 <= sum(counts[2]) <= 30 and abs(sum(map(sum, counts.values())) - 10_000_000) == 0
+
+
+def test_ties_of_null_and_repeated_ids(spark):
+    """Rows without ids, or all with one, and exact repeats are documents of their own."""
+    rows = [(None, prose(i % 7, 30 + i % 11), "en", "a", 0) for i in range(300)] + [(5, prose(i % 3, 64), "en", "b", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mixed_documents(docs)
+    got = out.collect()
+    assert len(got) == 400 and all(0 <= r.taken <= 2 * r.size for r in got)
+    for size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == size]
+        assert sum(r.size for r in own) == size and abs(sum(r.taken for r in own) - own[0].target) <= 4 * mixing.BLOCK_WORDS
+    placed = mixing.placed_documents(mixing.document_sizes(docs), mixing.source_targets(mixing.document_sizes(docs))).collect()
+    for sid in (0, 1):
+        own = sorted((r for r in placed if r.sid == sid), key=lambda r: r.offset)
+        assert [r.offset for r in own] == [0, *(r.offset + r["size"] for r in own)][:-1]
+
+
 def test_the_mixture_agrees_with_the_counts(spark, mixed):
     taken = {r.doc_id: r.n for r in mixing.mixture(mixed[0]).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
     assert taken == {r.doc_id: r.taken for r in mixed[1] if r.taken}
