@@ -11,19 +11,29 @@ log(1 + items / items that have it), so that wording which many items share
 weighs less.  The weighted Jaccard similarity of the shingles of the item and of
 the window must be ``SIMILARITY`` or more.
 
-Similarity is bounded from above by sums over a text: the weight of the window's
-shingles that any item has (then: that the item has) holds what they share.  A
-window whose bound is below ``SIMILARITY`` cannot match and is passed over; all
-others are verified.  No window that is similar enough is lost.
+Windows and items have SimHash fingerprints of 64 bits, summed with the same
+weights.  A fingerprint is cut into ``BLOCKS`` blocks.  Two fingerprints within
+``RADIUS`` bits are within ``RADIUS // BLOCKS`` bits in one block at least, so the
+index holds, for each block of each item, all values within that distance, in one
+sorted table with the window's size; a window looks its blocks up there and finds
+every item within the radius.  What is within the radius is verified by the exact
+similarity.  Fingerprints of texts with a similarity of 0.8 differ in about ten
+bits, and in more than ``RADIUS`` with a chance of about 1 in 100,000.
+
+A window's fingerprint is only computed where it can matter: its shingles that
+any item has hold all that it can share with one, so a window whose weight of
+those is below ``SIMILARITY`` times the item's cannot be similar enough.  This
+bound is exact and passes over nearly all of a corpus.
 
 Texts run through in pieces of ``PIECE_WORDS`` words that overlap by the largest
 window, so memory does not grow with a text.  A benchmark of more than
-``PART_CHARS`` characters is searched for in parts, each against all rows, so
-what a task holds of it is bounded.
+``PART_CHARS`` characters is searched for in parts, each against all rows; the
+driver builds the index of one part after the other and holds none, and a task
+holds one part at a time for each part's step.
 
 Defined results: null and empty texts, and items of fewer than five words, match
 nothing; equal items each match; a document matches an item once, at the best and
-then first window; repeated rows match like any other; empty tables give an
+of equals the first window; repeated rows match like any other; empty tables give an
 empty result.  Only ``doc_id``, ``text``, ``item_id`` are read; other columns of
 the documents pass through :func:`without_leaks`.
 """
@@ -31,22 +41,23 @@ the documents pass through :func:`without_leaks`.
 from __future__ import annotations
 
 import string
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Of the fingerprint search before the bound; only its test reads it.
-RADIUS = 12
+RADIUS = 23
+BLOCKS = 6
 #: What sums of floats may be off.
 SLACK = 1e-6
 PART_CHARS = 1_000_000
@@ -75,88 +86,132 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return mixed
 
 
+def _sums(weights: np.ndarray) -> np.ndarray:
+    """Running sums along the first axis, from zero."""
+    return np.concatenate((np.zeros_like(weights[:1], dtype=float), np.cumsum(weights, axis=0, dtype=float)))
+
+
+def _signed_bits(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row a shingle: its weight for each bit that is set in its hash, minus the weight for the others."""
+    mixed = (shingles ^ (shingles >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    bits = np.unpackbits((mixed ^ (mixed >> np.uint64(32))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.where(bits, weights[:, None], -weights[:, None])
+
+
+def _packed(sums: np.ndarray) -> np.ndarray:
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+#: (shift, mask, all patterns of up to RADIUS // BLOCKS bits) of each block.
+_CUTS = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+
+
+def _near(width: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in some) for n in range(RADIUS // BLOCKS + 1) for some in combinations(range(width), n)], np.int64)
+
+
+_BLOCKS = [(a, (1 << b - a) - 1, _near(b - a)) for a, b in zip(_CUTS, _CUTS[1:], strict=False)]
+#: Values of a block, at most.
+_VALUES = 1 << max(b - a for a, b in zip(_CUTS, _CUTS[1:], strict=False))
+
+
+def _block_keys(fingerprints: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    shift, mask, _ = _BLOCKS[block]
+    values = (fingerprints >> np.uint64(shift)).astype(np.int64) & mask
+    return (sizes * BLOCKS + block) * _VALUES + values
+
+
 @dataclass
 class Probes:
-    """The items of a part of the benchmark, by window length in shingles."""
-
-    ids: list[int] = field(default_factory=list)
-    shingles: list[dict[int, int]] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    weights: dict[int, float] = field(default_factory=dict)
-    default_weight: float = 1.0
-    values: list[np.ndarray] = field(default_factory=list)
-    totals: list[float] = field(default_factory=list)
-    by_size: dict[int, list[int]] = field(default_factory=dict)
-    known: np.ndarray = field(default_factory=lambda: np.empty(0, "<u8"))
-    known_weights: np.ndarray = field(default_factory=lambda: np.empty(0))
+    """The items of a part of the benchmark, and their multi-index."""
+
+    ids: list[int | None]
+    sizes: np.ndarray
+    values: list[np.ndarray]
+    counts: list[np.ndarray]
+    totals: np.ndarray
+    fingerprints: np.ndarray
+    known: np.ndarray
+    known_weights: np.ndarray
+    default_weight: float
+    keys: np.ndarray
+    key_items: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple[int, str | None]], n_items: int, frequency: dict[int, int]) -> Probes:
+    def build(cls, items: list[tuple[int | None, str | None]], n_items: int, frequency: dict[int, int]) -> Probes:
         """``frequency`` has the shingles that two items or more share."""
-        own, found = cls(default_weight=float(np.log1p(n_items))), defaultdict(list)
-        own.weights = {h: float(np.log1p(n_items / c)) for h, c in frequency.items()}
-        for item_id, text in items:
-            h = shingles_of(word_hashes(words_of(text)))
-            if not len(h):
-                continue
-            found[len(h)].append(len(own.ids))
-            own.ids.append(item_id)
-            own.sizes.append(len(h))
-            values, n = np.unique(h, return_counts=True)
-            own.values.append(values)
-            own.shingles.append(dict(zip(values.tolist(), n.tolist(), strict=True)))
-            own.totals.append(sum(own.weights.get(v, own.default_weight) * c for v, c in own.shingles[-1].items()))
-        own.by_size = dict(sorted(found.items()))
-        if own.ids:
-            own.known = np.unique(np.concatenate(own.values))
-            own.known_weights = np.array([own.weights.get(v, own.default_weight) for v in own.known.tolist()])
-        return own
+        cut = [(item_id, shingles_of(word_hashes(words_of(text)))) for item_id, text in items]
+        cut = [(item_id, h) for item_id, h in cut if len(h)]
+        known = np.unique(np.concatenate([h for _, h in cut])) if cut else np.empty(0, "<u8")
+        known_weights = np.log1p(n_items / np.array([frequency.get(v, 1) for v in known.tolist()], float))
+        weights = [known_weights[np.searchsorted(known, h)] for _, h in cut]
+        own = [np.unique(h, return_counts=True) for _, h in cut]
+        sums = [_signed_bits(h, w).sum(axis=0) for (_, h), w in zip(cut, weights, strict=True)]
+        fingerprints = _packed(np.array(sums)) if cut else np.empty(0, "<u8")
+        sizes = np.array([len(h) for _, h in cut], np.int64)
+        keys = [(_block_keys(fingerprints, sizes, b)[:, None] ^ near).reshape(-1) for b, (_, _, near) in enumerate(_BLOCKS)]
+        key_items = [np.repeat(np.arange(len(cut)), len(near)) for _, _, near in _BLOCKS]
+        keys, key_items = np.concatenate(keys), np.concatenate(key_items).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        return cls(
+            [item_id for item_id, _ in cut], sizes, [v for v, _ in own], [n for _, n in own], np.array([w.sum() for w in weights]), fingerprints,
+            known, known_weights, float(np.log1p(n_items)), keys[order], key_items[order],
+        )
 
     @property
     def longest(self) -> int:
-        return max(self.sizes, default=0)
-
-    def similarity(self, item: int, window: np.ndarray) -> float:
-        values, n = np.unique(window, return_counts=True)
-        own, both, either = self.shingles[item], 0.0, 0.0
-        there = dict(zip(values.tolist(), n.tolist(), strict=True))
-        for h in own.keys() | there.keys():
-            a, b, w = own.get(h, 0), there.get(h, 0), self.weights.get(h, self.default_weight)
-            both, either = both + w * min(a, b), either + w * max(a, b)
-        return both / either if either else 0.0
+        return int(self.sizes.max(initial=0))
 
     def shared_weights(self, shingles: np.ndarray) -> np.ndarray:
         """The weight of each shingle, 0 if no item has it."""
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         return np.where(self.known[at] == shingles, self.known_weights[at], 0.0)
 
+    def within_radius(self, size: int, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all items of a size within RADIUS bits."""
+        windows, items = [], []
+        sizes = np.full(len(fingerprints), size, np.int64)
+        for block in range(BLOCKS):
+            wanted = _block_keys(fingerprints, sizes, block)
+            low, high = np.searchsorted(self.keys, wanted, "left"), np.searchsorted(self.keys, wanted, "right")
+            n = high - low
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            windows.append(np.repeat(np.arange(len(wanted)), n))
+            items.append(self.key_items[at])
+        window, item = np.concatenate(windows), np.concatenate(items)
+        near = np.bitwise_count(fingerprints[window] ^ self.fingerprints[item]) <= RADIUS
+        pairs = np.unique(window[near] * len(self.ids) + item[near])
+        return pairs // len(self.ids), pairs % len(self.ids)
+
+    def similarity(self, item: int, window: np.ndarray, weights: np.ndarray) -> float:
+        values, first, n = np.unique(window, return_index=True, return_counts=True)
+        own = self.values[item]
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        both = float((weights[first] * np.where(own[at] == values, np.minimum(n, self.counts[item][at]), 0)).sum())
+        return both / (float(self.totals[item]) + float(weights.sum()) - both)
+
     def search(self, shingles: np.ndarray, shared: np.ndarray, opens: bool, closes: bool) -> Iterator[tuple[int, int, int, float]]:
         """(item, start, stop, similarity) in shingles of a part of a text, which begins or ends the text or not."""
-        n, sums = len(shingles), lambda w: np.concatenate(([0.0], np.cumsum(w)))
-        in_any, in_all = sums(shared), sums(np.where(shared > 0, shared, self.default_weight))
-        least = SIMILARITY - SLACK
-        for size, items in self.by_size.items():
-            items = [i for i in items if in_any[-1] >= least * self.totals[i]]
+        n, least = len(shingles), SIMILARITY - SLACK
+        in_any, weights = _sums(shared), np.where(shared > 0, shared, self.default_weight)
+        for size in np.unique(self.sizes[in_any[-1] >= least * self.totals]).tolist():
             begins = np.arange(1 - size if opens else 0, n if closes else n - size + 1)
-            if not items or not len(begins):
-                continue
             start, stop = np.maximum(begins, 0), np.minimum(begins + size, n)
             bound = in_any[stop] - in_any[start]
-            for item in items:
-                total = self.totals[item]
-                near = np.flatnonzero(bound >= least * total)
-                if not len(near):
-                    continue
-                # Only the stretch that these windows cover is compared with the item.
-                a, b = start[near], stop[near]
-                low, high = int(a.min()), int(b.max())
-                in_item = sums(np.where(np.isin(shingles[low:high], self.values[item]), shared[low:high], 0.0))
-                both = np.minimum(in_item[b - low] - in_item[a - low], total)
-                either = total + in_all[b] - in_all[a] - both
-                for i in np.flatnonzero(both >= least * either).tolist():
-                    similarity = self.similarity(item, shingles[a[i] : b[i]])
+            could = np.flatnonzero(bound >= least * self.totals[self.sizes == size].min())
+            if not len(could):
+                continue
+            # Only the stretch that these windows cover is fingerprinted.
+            start, stop, bound = start[could], stop[could], bound[could]
+            low, high = int(start.min()), int(stop.max())
+            sums = _sums(_signed_bits(shingles[low:high], weights[low:high]))
+            window, item = self.within_radius(size, _packed(sums[stop - low] - sums[start - low]))
+            for i, j in zip(window.tolist(), item.tolist(), strict=True):
+                if bound[i] >= least * self.totals[j]:
+                    a, b = int(start[i]), int(stop[i])
+                    similarity = self.similarity(j, shingles[a:b], weights[a:b])
                     if similarity >= SIMILARITY:
-                        yield item, int(a[i]), int(b[i]), similarity
+                        yield j, a, b, similarity
 
 
 def _pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int, bool]]]]:
@@ -181,7 +236,7 @@ def _matches(probes: Probes, texts: list[str | None]) -> dict[tuple[int, int], t
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     if not probes.ids:
         return best
-    enough = (SIMILARITY - SLACK) * min(probes.totals)
+    enough = (SIMILARITY - SLACK) * probes.totals.min()
     for shingles, spans in _pieces(texts, probes.longest):
         shared = probes.shared_weights(shingles)
         if shared.sum() < enough:
@@ -196,8 +251,8 @@ def _matches(probes: Probes, texts: list[str | None]) -> dict[tuple[int, int], t
     return best
 
 
-def benchmark_parts(benchmark: DataFrame) -> list[Probes]:
-    """The benchmark as probes, in parts of about PART_CHARS characters."""
+def benchmark_parts(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark as broadcast probes, in parts of about PART_CHARS characters, built one after the other."""
     size = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     n_parts = 1 + (size.chars or 0) // PART_CHARS
 
@@ -215,7 +270,8 @@ def benchmark_parts(benchmark: DataFrame) -> list[Probes]:
         rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(part_of == part)
         items = sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         mine = rows.select("text").mapInArrow(count, "h long").distinct().join(shared, "h").collect()
-        parts.append(Probes.build(items, size.n, {r.h % (1 << 64): r["count"] for r in mine}))
+        # A broadcast is a file on the driver; the probes themselves are not kept.
+        parts.append(benchmark.sparkSession.sparkContext.broadcast(Probes.build(items, size.n, {r.h % (1 << 64): r["count"] for r in mine})))
     return parts
 
 
@@ -223,8 +279,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity) of each document and item that it contains."""
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 
-    def search(probes: Probes):
+    def search(part: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            probes = part.value
             for batch in batches:
                 ids = batch.column(0)
                 found = sorted(_matches(probes, batch.column(1).to_pylist()).items())
@@ -246,12 +303,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; each is judged where it is read."""
 
-    def keep(probes: Probes, text_at: int):
+    def keep(part: Broadcast, text_at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaking = {row for row, _ in _matches(probes, batch.column(text_at).to_pylist())}
+                leaking = {row for row, _ in _matches(part.value, batch.column(text_at).to_pylist())}
                 yield batch.filter(pc.invert(pa.array([row in leaking for row in range(batch.num_rows)], pa.bool_())))
 
         return run
 
-    return reduce(lambda rows, probes: rows.mapInArrow(keep(probes, docs.columns.index("text")), docs.schema), benchmark_parts(benchmark), docs)
+    return reduce(lambda rows, part: rows.mapInArrow(keep(part, docs.columns.index("text")), docs.schema), benchmark_parts(benchmark), docs)

@@ -95,14 +95,33 @@ def test_edited_items_are_found_down_to_the_least_similarity():
 
 
 def test_every_fingerprint_within_the_radius_is_found():
-    """The summed block distances never exceed the distance, so no neighbour is lost."""
+    """By the index, as by comparing them all; only items of the window's size."""
     rng = np.random.default_rng(5)
-    items = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
-    windows = np.concatenate([items ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for n in range(0, decontam.RADIUS + 1)])
-    values, blocks = np.arange(1 << 16, dtype=np.uint16), items.view("<u2").reshape(-1, 4)
-    index = [np.min([np.bitwise_count(values ^ x) for x in blocks[:, b]], axis=0) for b in range(4)]
-    bound = sum(index[b][windows.view("<u2").reshape(-1, 4)[:, b]] for b in range(4))
-    assert (bound <= decontam.RADIUS).all()
+    items = [(i, prose(3000 + i, 30 + i % 3)) for i in range(60)]
+    probes = decontam.Probes.build(items, len(items), {})
+    flips = [sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in range(0, 40) for _ in range(20)]
+    windows = np.array([int(probes.fingerprints[i % 60]) ^ f for i, f in enumerate(flips)], "<u8")
+    for size in (26, 27, 28):
+        window, item = probes.within_radius(size, windows)
+        got = set(zip(window.tolist(), item.tolist(), strict=True))
+        want = {(w, i) for w in range(len(windows)) for i in range(60) if probes.sizes[i] == size and (int(windows[w]) ^ int(probes.fingerprints[i])).bit_count() <= decontam.RADIUS}
+        assert got == want and len(want) > 100
+
+
+def test_fingerprints_are_sums_of_weighted_shingles():
+    text = prose(1, 40) + " " + prose(1, 12)
+    probes = decontam.Probes.build([(1, text), (2, prose(2, 30))], 2, {})
+    h = decontam.shingles_of(decontam.word_hashes(decontam.words_of(text)))
+    sums = np.zeros(64)
+    for row in decontam._signed_bits(h, np.full(len(h), probes.default_weight)):
+        sums += row
+    assert int(probes.fingerprints[0]) == sum(1 << b for b in range(64) if sums[b] > 0)
+
+
+def test_of_equal_windows_the_first_is_given(spark):
+    item = prose(1, 30)
+    got = decontam.leaks(spark.createDataFrame([(1, f"{prose(2, 20)} {item} {prose(3, 20)} {item}", "en", "web", 0)], DOCS), spark.createDataFrame([(7, item)], ITEMS)).collect()
+    assert [(r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in got] == [(1, 7, 20, 30, 1.0)]
 
 
 @pytest.mark.parametrize("part_chars", [200, 1_000_000])
