@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
-from lodestone.llm.quality import ALPHA, DELTA, PENALTY, RULES, quality_rules
+from lodestone.llm.quality import ALPHA, DELTA, PATH, PENALTY, RULES, quality_rules
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -14,15 +14,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
-def _grid_sql() -> str:
-    return ",\n    ".join(f"('{rule}', {cut})" for rule, (_, grid) in RULES.items() for cut in grid)
-
-
 def features_sql(source: str = "documents") -> str:
     """CTEs up to ``feats``, over a relation with doc_id, text and lang."""
     return rf"""
 words AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+  SELECT doc_id, lang AS stratum, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM {source}),
 spread AS (
@@ -51,41 +47,36 @@ feats AS (
 
 def verdict_sql(source: str = "documents") -> str:
     """CTEs up to ``verdict``: the features with base_failed and kept."""
-    n_rules, n_cuts = len(RULES), sum(len(g) for _, g in RULES.values())
-    p = ALPHA / n_rules
-    scores = ",\n    ".join(f"('{rule}', {score})" for rule, (score, _) in RULES.items())
+    steps = ",\n               ".join(f"CASE WHEN {RULES[rule][0]} > {cut} THEN {t} END" for t, (rule, cut) in enumerate(PATH))
     return rf"""{features_sql(source)},
 agreed AS (
   SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL
   GROUP BY doc_id HAVING min(quality) = max(quality)),
-scored AS (
-  SELECT feats.*, s.rule, s.score FROM feats, LATERAL (VALUES
-    {scores}) AS s(rule, score)),
-grid(rule, cutoff) AS (VALUES
-    {_grid_sql()}),
+stepped AS (
+  SELECT *, least({steps}) AS step FROM feats),
+evidence AS (
+  SELECT stratum, doc_id, q, min(coalesce(step, {len(PATH)})) AS lo, max(coalesce(step, {len(PATH)})) AS hi
+  FROM stepped JOIN agreed USING (doc_id) GROUP BY ALL),
 counts AS (
-  SELECT stratum, rule, cutoff,
-         count(*) FILTER (q = 1) AS n_good, count(*) FILTER (q = 0) AS n_bad,
-         count(*) FILTER (q = 1 AND score > cutoff) AS n_false,
-         count(*) FILTER (q = 0 AND score > cutoff) AS n_caught
-  FROM scored JOIN agreed USING (doc_id) JOIN grid USING (rule) GROUP BY stratum, rule, cutoff),
+  SELECT stratum, t, count(*) FILTER (q = 1) AS n_good, count(*) FILTER (q = 0) AS n_bad,
+         count(*) FILTER (q = 1 AND lo <= t) AS n_false, count(*) FILTER (q = 0 AND hi <= t) AS n_caught
+  FROM evidence, range(0, {len(PATH)}) AS r(t) GROUP BY stratum, t),
 tails AS (
-  SELECT *, CASE WHEN n_false < n_good * {p}::DOUBLE THEN
+  SELECT *, CASE WHEN n_false < n_good * {ALPHA}::DOUBLE THEN
     list_sum(list_transform(range(0, n_false + 1), lambda i: exp(
       lgamma(n_good + 1.0) - lgamma(i + 1.0) - lgamma(n_good - i + 1.0)
-      + i * ln({p}::DOUBLE) + (n_good - i) * ln(1 - {p}::DOUBLE)))) ELSE 1.0 END AS tail
+      + i * ln({ALPHA}::DOUBLE) + (n_good - i) * ln(1 - {ALPHA}::DOUBLE)))) ELSE 1.0 END AS tail
   FROM counts),
 gains AS (
   SELECT *, n_caught / greatest(n_bad, 1) - {PENALTY}::DOUBLE * n_false / greatest(n_good, 1) AS gain
-  FROM tails WHERE tail <= {DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM counts) * {n_cuts})),
-cuts AS (
-  SELECT stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM gains WHERE gain > 0 GROUP BY stratum, rule),
-over AS (
-  SELECT DISTINCT doc_id FROM scored JOIN cuts USING (stratum, rule) WHERE score > cutoff),
+  FROM (SELECT *, max(tail) OVER (PARTITION BY stratum ORDER BY t) AS worst FROM tails)
+  WHERE worst <= {DELTA}::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM counts))),
+policies AS (
+  SELECT stratum, arg_max(t, (gain, -t)) AS policy FROM gains WHERE gain > 0 GROUP BY stratum),
 verdict AS (
-  SELECT feats.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND over.doc_id IS NULL AS kept
-  FROM feats LEFT JOIN over USING (doc_id))"""
+  SELECT s.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+         NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(step > policy, true) AS kept
+  FROM stepped AS s LEFT JOIN policies AS p ON s.stratum IS NOT DISTINCT FROM p.stratum)"""
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
