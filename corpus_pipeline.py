@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, table
 from lodestone.llm.decontam import without_leaks
-from lodestone.llm.linededup import dedup_lines
+from lodestone.llm.linededup import without_passages
 from lodestone.llm.mixing import mixed_documents
 from lodestone.llm.quality import keep_good
 from lodestone.llm.simhash import keep_one
@@ -28,9 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; ``n_chars`` follows the text that is left."""
-    cut = dedup_lines(docs, whole=True)
-    n_chars = F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    return without_passages(docs, length="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
