@@ -16,7 +16,8 @@ least member), and no bucket is cut off.
 Defined results: null or wordless text has fingerprint zero and links like any
 other; equal texts share a fingerprint; a repeated row gets a row of its own;
 null ids are no candidates for ``component_id`` unless a whole group has none;
-an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
+:func:`keep_one` keeps one row of each component, also where ids repeat or are
+null; an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.llm.common import materialize
 from lodestone.llm.components import connected_components
@@ -110,18 +112,45 @@ def hamming_links(fps: DataFrame) -> DataFrame:
     return small_links.union(hot_links).distinct()
 
 
+def _classes(distinct: DataFrame) -> DataFrame:
+    """``distinct``, which has each fingerprint once, with ``root``, the least fingerprint of its component."""
+    roots = materialize(connected_components(hamming_links(distinct.select("fp"))), "simhash-roots")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row."""
     own = materialize(fingerprints(docs), "simhash-fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = materialize(connected_components(hamming_links(distinct.select("fp"))), "simhash-roots")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _classes(materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(firsts, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _fingerprinted_rows(docs: DataFrame) -> DataFrame:
+    """(row, fp, rid): the rows as structs, numbered."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(text.as_py()) for text in batch.column(0).field(at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["row", "fp"])
+
+    rows = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"))
+    schema = StructType([*rows.schema.fields, StructField("fp", LongType())])
+    return rows.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the component's; one of rows that repeat id and text."""
-    dropped = near_duplicates(docs).where("not doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One row of each component of ``docs``, whatever its id: the least by id (null last), text and then all columns, by hash.
+
+    Rows that are equal in all columns count as one.  Fingerprints, ids and hashes
+    decide; texts are written once beside their fingerprints and only travel
+    where the numbers of the dropped rows are too many for a broadcast.
+    """
+    own = materialize(_fingerprinted_rows(docs), "simhash-rows")
+    order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), F.xxhash64("row.text").alias("t"), F.xxhash64("row").alias("r"), "rid")
+    rooted = _classes(materialize(own.groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
+    dropped = materialize(own.select("rid").join(kept, "rid", "left_anti"), "simhash-dropped")
+    return own.join(dropped, "rid", "left_anti").select("row.*")

@@ -86,10 +86,24 @@ def test_one_document_of_each_group_stays(spark):
     assert [(r.doc_id, r.lang) for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).orderBy("doc_id").collect()] == [(1, "en"), (3, "en")]
 
 
+def test_rows_are_kept_one_by_one_whatever_their_ids(spark):
+    """Ids that are null or name two texts, and ties that other columns decide."""
+    p, q, r = prose(1, 90), prose(2, 90), prose(3, 90)
+    rows = [(1, p, "en", "a", 0), (None, p, "en", "a", 0), (5, p, "en", "a", 0), (5, q, "en", "a", 0), (None, r, "de", "b", 1), (None, r, "de", "b", 1)]
+    got = [tuple(x) for x in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+    ties = [(7, p, lang, source, 0) for lang in ("en", "de", "fr") for source in ("a", "b")]
+    first, again = (simhash.keep_one(spark.createDataFrame(x, DOCS)).collect() for x in (ties, ties[::-1]))
+    assert first == again and len(first) == 1
+
+
 def test_messy_rows_and_empty_tables(messy, no_docs):
     rows = simhash.near_duplicates(messy).collect()
     assert len(rows) == messy.count()
     assert {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
-    assert simhash.keep_one(messy).columns == messy.columns
+    kept = simhash.keep_one(messy)
+    assert kept.columns == messy.columns
+    # One of 1, 2 and 3, of 4 and 5, and of the rows of 6; that with a null id is the only one of its text.
+    assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted([1, 4, 6, 7, 8, 9, 10, None], key=str)
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
