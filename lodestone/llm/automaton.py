@@ -86,14 +86,21 @@ class _Nondeterministic:
             self.free[self.add(part, branch)].append(end)
         return end
 
-    def closure(self, states: Iterable[int]) -> frozenset[int]:
-        seen, todo = set(states), list(states)
-        while todo:
-            for s in self.free[todo.pop()]:
-                if s not in seen:
-                    seen.add(s)
-                    todo.append(s)
-        return frozenset(seen)
+    def closures(self) -> list[int]:
+        """Of each state, what empty moves reach from it, as a bit set."""
+        found = []
+        for first in range(len(self.free)):
+            seen, todo = {first}, [first]
+            while todo:
+                new = [s for s in self.free[todo.pop()] if s not in seen]
+                seen.update(new)
+                todo += new
+            found.append(sum(1 << s for s in seen))
+        return found
+
+
+def _bits(subset: int) -> list[int]:
+    return [i for i, bit in enumerate(reversed(bin(subset))) if bit == "1"]
 
 
 @dataclass(frozen=True)
@@ -143,19 +150,27 @@ def compile_patterns(patterns: list[Pattern], anywhere: bool) -> Automaton:
         start = nfa.state()
         nfa.free[begin].append(start)
         ends[nfa.add(pattern, start)] = i
-    first = nfa.closure([begin])
+    reach = nfa.closures()
+    # Of each state, by class, all states that the class leads to.
+    moves: list[dict[int, int]] = [{} for _ in reach]
+    for s, steps in enumerate(nfa.steps):
+        for members, to in steps:
+            for c in range(width):
+                if member[c] in members:
+                    moves[s][c] = moves[s].get(c, 0) | reach[to]
+    first = reach[begin]
     numbers, order, table = {first: 0}, [first], []
     for subset in order:
-        row = []
-        for c in range(width):
-            reached = {to for s in subset for members, to in nfa.steps[s] if member[c] in members}
-            target = nfa.closure(reached | ({begin} if anywhere else set()))
+        row = [first if anywhere else 0] * width
+        for s in _bits(subset):
+            for c, to in moves[s].items():
+                row[c] |= to
+        for target in row:
             if target not in numbers:
                 numbers[target] = len(order)
                 order.append(target)
-            row.append(numbers[target])
-        table.append(row)
-    accepts = np.array([sum(1 << i for s, i in ends.items() if s in subset) for subset in order])
+        table.append([numbers[target] for target in row])
+    accepts = np.array([sum(1 << i for s, i in ends.items() if subset >> s & 1) for subset in order])
     return _minimal(classes, width, np.array(table), accepts)
 
 

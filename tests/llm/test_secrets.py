@@ -56,6 +56,11 @@ def test_an_automaton_is_minimal():
     assert len(together.accepts) == 5
 
 
+def test_all_rules_together_stay_few_states():
+    together, forward, backward = secrets.automata()
+    assert len(together.accepts) < 1500 and max(len(a.accepts) for a in forward + backward) < 200
+
+
 def test_queries_return_counts_and_hashes(spark, messy, no_docs):
     rows = secrets.scan_secrets(messy).collect()
     assert len(rows) == messy.count() and all(r.base_sha256 for r in rows)
