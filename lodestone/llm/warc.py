@@ -9,9 +9,13 @@ file, which bounds the size of a file.
 
 Reading takes one file a row, inflates it piecemeal and yields the chunk table
 (record id, chunk number, bytes of the chunk), from which a payload that is in
-one record is digested at once.  The chunks of larger payloads are brought
+one piece is digested at once.  The chunks of larger payloads are brought
 together by record id in order of their numbers and run through one incremental
-digest a record; no payload is put together in memory.
+digest a record; no payload is put together in memory.  Archives from elsewhere
+are read as well: header names in any case, one or many gzip members a file,
+blocks with or without an HTTP head, large records in one segment; records that
+are no response, resource or revisit are passed over, and pages without an
+``X-Page-ID`` header have a null id.
 
 Of records with equal payloads of ``REVISIT_BYTES`` bytes or more the one with
 the smallest page id is a response and the others revisit it; a revisit has no
@@ -30,6 +34,7 @@ import contextlib
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +48,10 @@ REVISIT_BYTES = 100
 RECORD_END = "\r\n\r\n"
 #: Compressed bytes that are inflated at once.
 INFLATE_BYTES = 1 << 18
+#: Bytes of a block that are read at once: a segment and its HTTP head.
+PIECE_BYTES = 2 * SEGMENT_BYTES
+#: Bits of a chunk number for the piece within its segment.
+PIECE_BITS = 32
 #: Rows of a batch of whole files, and of a batch of chunks.
 FILE_BATCH, CHUNK_BATCH = 1, 128
 #: The archives carry no clock, so that reruns agree.
@@ -83,8 +92,10 @@ def warc_records(pages: DataFrame) -> DataFrame:
     size = F.octet_length("p").cast("long")
     n_segments = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / SEGMENT_BYTES).cast("int")))
     body = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("p")).cast("binary")
-    segments = F.transform(F.sequence(F.lit(0), n_segments - 1), lambda i: F.substring(F.col("body"), i * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES)))
-    cut = rows.withColumn("revisit", revisit).withColumn("size", size).withColumn("body", body).select("page_id", "url", "digest", "first_id", "revisit", "size", F.posexplode(segments).alias("i", "segment"))
+    judged = rows.withColumn("revisit", revisit).withColumn("size", size).select("page_id", "url", "digest", "first_id", "revisit", "size", body.alias("body"))
+    # The numbers first, then one segment a row: a payload's segments are never there together.
+    numbered = judged.select("*", F.explode(F.sequence(F.lit(0), n_segments - 1)).alias("i"))
+    cut = numbered.select("page_id", "url", "digest", "first_id", "revisit", "size", "i", F.substring("body", F.col("i") * SEGMENT_BYTES + 1, F.lit(SEGMENT_BYTES)).alias("segment"))
 
     own, number, of_many = _record_id(F.col("page_id"), F.col("digest")), F.col("i") + 1, F.col("size") > SEGMENT_BYTES
     many = of_many & ~F.col("revisit")
@@ -128,12 +139,15 @@ def _inflated(data: bytes) -> Iterator[bytes]:
     yield inflate.flush()
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of a gzipped archive file."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+    """(headers by lower-case name, pieces of the block) of the records of a gzipped archive file.
+
+    A piece has at most PIECE_BYTES bytes; what is left of a block is passed
+    over when the next record is asked for.
+    """
     parts, buffer, at = _inflated(data), bytearray(), 0
 
     def need(end: int) -> bool:
-        nonlocal at
         while len(buffer) < end:
             part = next(parts, None)
             if part is None:
@@ -141,20 +155,33 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             buffer.extend(part)
         return True
 
+    def pieces(size: int) -> Iterator[bytes]:
+        nonlocal at
+        while size:
+            n = min(size, PIECE_BYTES)
+            if not need(at + n):
+                raise ValueError("the archive ends within a record")
+            piece = bytes(buffer[at : at + n])
+            at, size = at + n, size - n
+            if at > INFLATE_BYTES:
+                del buffer[:at]
+                at = 0
+            yield piece
+
     while True:
+        while need(at + 2) and buffer.startswith(b"\r\n", at):
+            at += 2
         while (stop := buffer.find(b"\r\n\r\n", at)) < 0:
             if not need(len(buffer) + 1):
                 return
-        lines = bytes(buffer[at:stop]).decode().split("\r\n")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        at, size = stop + 4, int(headers["Content-Length"])
-        if not need(at + size + 4):
-            raise ValueError("the archive ends within a record")
-        yield headers, bytes(buffer[at : at + size])
-        at += size + 4
-        if at > INFLATE_BYTES:
-            del buffer[:at]
-            at = 0
+        # A line that begins with a space goes on with the one before it.
+        lines = bytes(buffer[at:stop]).decode(errors="replace").replace("\r\n ", " ").replace("\r\n\t", " ").split("\r\n")
+        headers = {name.strip().lower(): value.strip() for name, found, value in (line.partition(":") for line in lines[1:]) if found}
+        at = stop + 4
+        block = pieces(int(headers["content-length"]))
+        yield headers, block
+        for _ in block:
+            pass
 
 
 @contextlib.contextmanager
@@ -175,15 +202,39 @@ _CHUNKS = pa.schema(
 _CHUNK_SCHEMA = "record_id string, page_id long, record_type string, refers_to_record string, chunk_no long, n_bytes long, digest string, chunk binary"
 
 
+def _payload_pieces(headers: dict[str, str], block: Iterator[bytes]) -> Iterator[bytes]:
+    """A block without the head of an HTTP message, if it is one."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        yield from block
+        return
+    head = b""
+    for piece in block:
+        head += piece
+        if (stop := head.find(b"\r\n\r\n")) >= 0:
+            if rest := head[stop + 4 :]:
+                yield rest
+            yield from block
+
+
 def _chunk_rows(data: bytes) -> Iterator[tuple]:
+    """Rows of the chunk table; records that are no payload of a page are passed over."""
     for headers, block in parse_records(data):
-        number = int(headers.get("WARC-Segment-Number", 0))
-        if number < 2:
-            block = block[block.index(b"\r\n\r\n") + 4 :]
-        page_id = headers.get("X-Page-ID")
-        record_id = headers.get("WARC-Segment-Origin-ID") or headers["WARC-Record-ID"]
-        whole = None if number else hashlib.sha256(block).hexdigest()
-        yield record_id, page_id and int(page_id), headers["WARC-Type"], headers.get("WARC-Refers-To"), number, len(block), whole, block if number else None
+        kind, number = headers.get("warc-type", ""), int(headers.get("warc-segment-number", 0))
+        if kind not in ("response", "resource", "revisit", "continuation"):
+            continue
+        page_id = headers.get("x-page-id")
+        record = (headers.get("warc-segment-origin-id") or headers["warc-record-id"], page_id and int(page_id), "response" if kind == "resource" else kind, headers.get("warc-refers-to"))
+        pieces = _payload_pieces(headers, block) if number < 2 else block
+        first = next(pieces, b"")
+        second = next(pieces, None)
+        if not number and second is None:
+            yield *record, 0, len(first), hashlib.sha256(first).hexdigest(), None
+            continue
+        # Pieces of a segment are numbered below it, so a large record that was not segmented is in chunks too.
+        base = max(1, number) << PIECE_BITS
+        yield *record, base, len(first), None, first
+        for i, piece in enumerate(pieces if second is None else chain([second], pieces), 1):
+            yield *record, base + i, len(piece), None, piece
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -210,7 +261,7 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
     out = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, page, size, seen, copies, digest = None, None, 0, 0, 0, hashlib.sha256()
+        current, page, size, seen, first, copies, digest = None, None, 0, 0, 0, 0, hashlib.sha256()
 
         def done() -> pa.RecordBatch:
             row = {"record_id": current, "page_id": page, "n_bytes": size, "digest": digest.hexdigest()}
@@ -222,7 +273,8 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
                     if current is not None:
                         yield done()
                     current, page, size, seen, copies, digest = record_id.as_py(), page_id.as_py(), 0, 0, 0, hashlib.sha256()
-                copies += number.as_py() == 1
+                first = number.as_py() if seen == 0 else first
+                copies += number.as_py() == first
                 # A repeated row has each of its chunks again.
                 if number.as_py() > seen:
                     data = chunk.as_buffer()
