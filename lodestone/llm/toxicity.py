@@ -4,13 +4,13 @@ Features are the distinct n-grams of ``GRAMS`` lengths of a text's lower-cased
 words, each word with a space on both sides.  A feature's value is its naive
 Bayes log-count ratio ``r = log(p / |p|) - log(q / |q|)`` over the toxic and the
 other training rows (document frequencies, plus one); on these values a logistic
-regression with a quadratic penalty is fitted.  Only features whose ``r`` is
-``MIN_Z`` standard errors from zero take part, the ``MAX_FEATURES`` clearest at
-most: the mass of rare n-grams of long texts would drown the rest.
+regression with a quadratic penalty is fitted.  Only features that ``MIN_DOCS``
+rows have and whose ``r`` is ``MIN_Z`` standard errors from zero take part: the mass
+of rare n-grams of long texts would drown the rest.
 
 A text is scored by windows of ``WINDOW_CHARS`` characters, each half over the
 one before, and its score is the highest: chance hits add up over a window only,
-not over a very long text.
+not over a long text.
 
 The classifier is fitted on a bounded sample, the ``SAMPLE_ROWS`` labelled rows,
 of any length, that come first by hash of the id; of each the window with the
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -41,12 +41,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import doc_bucket, materialize
 
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5, 6, 7, 8)
 SAMPLE_ROWS = 20_000
-WINDOW_CHARS = 20_000
-MIN_Z = 4.0
+WINDOW_CHARS = 1500
+MIN_Z = 3.0
 MIN_DOCS = 4
-MAX_FEATURES = 4000
 PENALTY = 1e-4
 STEPS = 300
 STEP_SIZE = 0.05
@@ -75,12 +74,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class Model:
     weights: dict[str, float]
     bias: float
+    #: The score of every text, where there was nothing to tell apart.
+    constant: float | None = None
 
-    def score(self, texts: list[str | None]) -> list[float]:
-        finder = _finder(list(self.weights))
-        values = list(self.weights.values())
-        sums = [max(sum(values[i] for i in window) for window in _windows(finder, text)) + self.bias for text in texts]
-        return _sigmoid(np.array(sums)).tolist()
+    def scorer(self) -> Callable[[list[str | None]], list[float]]:
+        """A function that scores texts, with the automaton built once."""
+        finder, values = _finder(list(self.weights)), list(self.weights.values())
+
+        def score(texts: list[str | None]) -> list[float]:
+            if self.constant is not None:
+                return [self.constant] * len(texts)
+            sums = [max(sum(values[i] for i in window) for window in _windows(finder, text)) + self.bias for text in texts]
+            return _sigmoid(np.array(sums)).tolist()
+
+        return score
 
 
 def _finder(grams: list[str]):
@@ -130,7 +137,7 @@ def gram_ratios(sample: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     total = counted.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= MIN_DOCS)
     p, q = F.col("p") + 1, F.col("q") + 1
     rated = total.withColumn("r", F.log(p / (n_toxic + 2)) - F.log(q / (n_other + 2))).withColumn("z", F.abs("r") / F.sqrt(1 / p + 1 / q))
-    return rated.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "gram").limit(MAX_FEATURES).select("gram", "r")
+    return rated.where(F.col("z") >= MIN_Z).select("gram", "r")
 
 
 def fit_weights(rows: list[list[int]], toxic: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
@@ -155,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sizes = dict(sample.groupBy("toxic").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
-        return Model({}, 30.0 if n_toxic else -30.0)
+        return Model({}, 0.0, constant=1.0 if n_toxic else 0.0)
     # In order of the gram, so that sums of floats are the same on every run.
     features = sorted((r.gram, r.r) for r in gram_ratios(sample, n_toxic, n_other).collect())
     grams, ratios = [g for g, _ in features], np.array([r for _, r in features])
@@ -175,8 +182,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
         for batch in batches:
-            scores = model.score(batch.column(1).to_pylist())
+            scores = score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,13 +50,13 @@ def test_held_out_rows_are_told_apart(trained):
 def test_whole_texts_are_read(trained):
     # A vocabulary of its own: random words without end have every n-gram.
     clean = " ".join([prose(9999, 60)] * 500)
-    before, after = trained[2].score([clean, clean + " " + " ".join(BAD)])
+    before, after = trained[2].scorer()([clean, clean + " " + " ".join(BAD)])
     assert before < 0.5 < after
 
 
 def test_hits_far_apart_do_not_add_up():
     model, filler = toxicity.Model({"zor": 3.0, "vre": 3.0}, -4.0), "mild " * 100_000
-    near, far, late = model.score(["zor vre", f"zor {filler} vre", f"{filler} zor {'mild ' * 1500} vre"])
+    near, far, late = model.scorer()(["zor vre", f"zor {filler} vre", f"{filler} zor {'mild ' * 100} vre"])
     assert far < 0.5 < min(near, late)
 
 
@@ -62,6 +66,56 @@ def test_long_rows_are_training_rows(spark):
     assert toxicity.training_sample(spark.createDataFrame(docs, DOCS), own).count() == 2
 
 
+def brute_windows(text: str | None) -> tuple[list[str], int]:
+    padded = " " + " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())) + " "
+    half = toxicity.WINDOW_CHARS // 2
+    return [padded[max(0, at - 8) : at + 2 * half] for at in range(0, max(1, len(padded) - half), half)], half
+
+
+def brute_score(model: toxicity.Model, text: str | None) -> float:
+    """The best window's sum over the distinct features whose last character lies in it."""
+    (windows, half), sums = brute_windows(text), []
+    for k, window in enumerate(windows):
+        own = min(8, k * half) if k else 0
+        ends = lambda g: [m.start() + len(g) - 1 for m in re.finditer(f"(?={re.escape(g)})", window)]  # noqa: B023, E731
+        sums.append(sum(w for g, w in model.weights.items() if any(e >= own for e in ends(g))))
+    return 1 / (1 + math.exp(-max(-30, min(30, max(sums) + model.bias))))
+
+
+def test_scores_equal_a_plain_sum(trained):
+    df, _, model = trained
+    texts = [r.text for r in df.limit(40).collect()] + [None, "", "!", " ".join(BAD), prose(77, 900), prose(78, 2000) + " ".join(BAD) + prose(79, 500), "é" * 4000]
+    assert model.scorer()(texts) == pytest.approx([brute_score(model, t) for t in texts], abs=1e-9)
+
+
+def brute_ratios(rows: list[tuple[str, int]]) -> dict[str, float]:
+    counts, sizes = (Counter(), Counter()), Counter(y for _, y in rows)
+    for text, y in rows:
+        words = {f" {w} " for w in re.findall(r"[^\W\d_]+", text.lower())}
+        counts[y].update({w[i : i + n] for w in words for n in range(3, 9) for i in range(len(w) - n + 1)})
+    found = {}
+    for g in counts[0].keys() | counts[1].keys():
+        p, q = counts[1][g] + 1, counts[0][g] + 1
+        r = math.log(p / (sizes[1] + 2)) - math.log(q / (sizes[0] + 2))
+        if p + q - 2 >= toxicity.MIN_DOCS and abs(r) / math.sqrt(1 / p + 1 / q) >= toxicity.MIN_Z:
+            found[g] = r
+    return found
+
+
+def test_training_equals_a_plain_one(spark, trained):
+    """The features and ratios by counting, and weights where the slope of the penalised loss is nearly flat."""
+    docs, labels = corpus()
+    toxic = {i: t for i, _, t in labels}
+    rows = [(t, toxic[i]) for i, t, *_ in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    want, model = brute_ratios(rows), trained[2]
+    assert set(model.weights) == set(want)
+    grams = sorted(want)
+    x = np.array([[want[g] * (g in " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " ") for g in grams] for t, _ in rows])
+    y, w = np.array([t for _, t in rows]), np.array([model.weights[g] / want[g] for g in grams])
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + model.bias))) - y) / len(y) + toxicity.PENALTY * w
+    assert abs(slope).max() < 2e-3
+
+
 def test_features_are_scaled_by_log_count_ratios(spark):
     rows = [("zorg", 1)] * 60 + [("mild", 0)] * 120
     got = {r.gram: r.r for r in toxicity.gram_ratios(spark.createDataFrame(rows, "text string, toxic int"), 60, 120).collect()}
@@ -82,5 +136,6 @@ def test_messy_rows_and_empty_tables(messy, no_docs, labels, trained):
     assert len({r.score for r in rows if r.doc_id in (4, 5)}) == 1
     assert toxicity.score_toxicity(no_docs, trained[2]).count() == 0
     assert toxicity.train(no_docs, labels).weights == {}
-    assert toxicity.train(messy, labels.where("toxic is null")).weights == {}
+    none = toxicity.train(messy, labels.where("toxic is null"))
+    assert none.weights == {} and {r.score for r in toxicity.score_toxicity(messy, none).collect()} == {0.0}
     assert 0 <= toxicity.score_toxicity(messy, toxicity.train(messy, labels)).agg(F.max("score")).first()[0] <= 1
