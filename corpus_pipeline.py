@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``.  Other tables come from sf_dir.
+
+Defined results: a row with null or empty text has no words, so the first stage
+drops it; rows are judged one by one, so null and repeated ids are no special
+case: of rows that repeat a text one stays, the least by id (null last), text and
+then all other columns; of passages that repeat the first stays; ties in the last
+stage follow its own order; empty tables give an empty result; further columns
+pass through to the last stage, whatever their names, which returns its own.
+``n_chars`` follows a text that was cut.
 """
 
 from __future__ import annotations

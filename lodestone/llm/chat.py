@@ -24,8 +24,8 @@ longest chain.
 Defined results: null text is empty; a null conversation id is a conversation
 of its own; null turns order first; messages of one turn are ordered by a hash
 of role and text; repeated rows are one message and get the same result; a null
-role is ``unknown``; the marks ``<|`` in contents are broken by a space; an empty
-table gives an empty result.  Only ``conv_id``, ``turn``, ``role`` and ``text``
+role is ``unknown``; the marks ``<|`` and ``|>`` in roles and contents are broken
+by a space; an empty table gives an empty result.  Only ``conv_id``, ``turn``, ``role`` and ``text``
 are read.
 """
 
@@ -196,7 +196,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     content = _contents(F.col("text"))
     n_quoted = F.regexp_count("text", F.lit(f"(?m){MARKS}")).cast("long")
     rows = messages.select("conv_id", "turn", "role", *_KEY, content.alias("content"), n_quoted.alias("n_quoted_lines"))
-    formatted = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.replace(F.col("content"), F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n"))
+    broken = lambda c: F.replace(F.replace(F.col(c), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    formatted = F.concat(F.lit("<|"), broken("role"), F.lit("|>\n"), broken("content"), F.lit("<|end|>\n"))
     return rows.join(ordered, _KEY).select(
         "conv_id", "turn", "role", "message_no", "reply_to", "branch", "position", "n_quoted_lines", "n_links", "content", formatted.alias("formatted")
     )

@@ -17,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one that ``spark.checkpoint.dir`` names.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (local
-    mode, tests) a folder under the SQL warehouse takes its place.
+    Where that is unset, local mode (tests) uses a folder under the SQL warehouse;
+    a cluster has to name one, as a folder of one machine would not do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share.")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

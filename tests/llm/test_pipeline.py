@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
 
@@ -89,3 +90,43 @@ def test_mixing_takes_from_what_is_left(steps):
 def test_run_applies_the_stages_in_order(spark, sf_dir, steps):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "source_mixing"]
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(steps["source_mixing"][1])
+
+
+@pytest.fixture(scope="module")
+def messy_dir(spark, messy, labels, tmp_path_factory):
+    """Nulls in every column, empty and long texts, repeated rows and ids, clashing columns."""
+    where = tmp_path_factory.mktemp("messy")
+    extra = messy.where("doc_id in (6, 8)").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = messy.union(extra).withColumns({"n_removed_lines": F.lit(3), "n_lines": F.lit(None).cast("int"), "rid": F.lit("x"), "policy": F.lit(1.5)})
+    docs.write.parquet(str(where / "documents.parquet"))
+    labels.write.parquet(str(where / "labels.parquet"))
+    spark.createDataFrame([(1, prose(1, 80)), (None, None), (2, "")], "item_id long, text string").write.parquet(str(where / "benchmark.parquet"))
+    return str(where), docs
+
+
+def test_messy_rows_pass_all_stages(spark, messy_dir):
+    docs = messy_dir[1]
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialize(stage(spark, docs, messy_dir[0]), "test-messy")
+        if name != "source_mixing":
+            assert after.columns == docs.columns
+        docs = after
+        if name == "quality_rules":
+            assert {r.doc_id for r in docs.collect()} == {None, 4, 5, 6, 8}
+        if name == "simhash_near_dedup":
+            kept = docs.collect()
+            # The copies of 6 and 8 without an id come first and keep their text, as does 4; one of the emptied texts stays.
+            assert sorted((r.doc_id for r in kept), key=str) == [4, 5, None, None, None] and [r.text for r in kept if r.doc_id == 5] == [""]
+            assert {(r.n_removed_lines, r.n_lines, r.rid, r.policy) for r in kept} == {(3, None, "x", 1.5)}
+        if name == "decontamination":
+            # The benchmark's text goes.
+            assert sorted((r.doc_id for r in docs.collect()), key=str) == [4, 5, None, None]
+    assert all(0 <= r.taken <= 2 * r.size for r in docs.collect())
+    assert corpus_pipeline.run(spark, messy_dir[0]).count() == docs.count()
+
+
+def test_empty_tables_pass_all_stages(spark, no_docs, tmp_path):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
