@@ -86,12 +86,18 @@ def path_verdict(path: Column, root: str, links: Column | None = None) -> Column
             .when(F.lower(last).isin(*PROTECTED_NAMES) | F.lower(suffix_of).isin(*PROTECTED_SUFFIXES), F.concat(F.lit("Refusing to access protected file: "), last))
         )
 
-    def through_link(own: Column) -> Column:
-        below = F.slice(own, len(base) + 1, F.greatest(F.size(own) - len(base), F.lit(0)))
-        prefixes = F.transform(below, lambda _, i: F.array_join(F.slice(below, 1, i + 1), "/"))
-        return F.arrays_overlap(prefixes, links)
+    def through_link(steps: Column) -> Column:
+        """Whether a walk along the raw components stands on a link, also one that ``..`` leaves again."""
+        start = F.struct(F.array().cast("array<string>").alias("at"), F.lit(False).alias("met"))
+
+        def step(walk: Column, part: Column) -> Column:
+            moved = F.when(part.isin("", "."), walk["at"]).when(part == "..", F.slice(walk["at"], 1, F.greatest(F.size(walk["at"]) - 1, F.lit(0)))).otherwise(F.array_append(walk["at"], part))
+            return let(moved, lambda at: F.struct(at.alias("at"), (walk.met | (~part.isin("", ".", "..") & F.array_contains(known, F.array_join(at, "/")))).alias("met")))
+
+        return F.aggregate(steps, start, step, lambda walk: walk.met)
 
     verdict = let(_normal(raw), judged)
     if links is not None:
-        verdict = F.when(let(_normal(raw), through_link), F.concat(F.lit("Refusing to follow symlink path: "), path)).otherwise(verdict)
+        known = F.transform(links, lambda link: F.concat(F.lit("/".join([*base, ""])), link))
+        verdict = F.when(F.coalesce(through_link(raw), F.lit(False)), F.concat(F.lit("Refusing to follow symlink path: "), path)).otherwise(verdict)
     return F.when(path.isNull(), F.lit("Path must be a string.")).when(strip(path) == "", F.lit("Path must be non-empty.")).otherwise(verdict)

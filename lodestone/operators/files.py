@@ -15,6 +15,7 @@ from lodestone.operators.retrieve import joined, positive
 LIST_ROWS, GREP_ROWS, TREE_FILES, PREVIEW_CHARS, READ_CHARS = 120, 80, 80, 1200, 12_000
 RULE_FILES = ("AGENT.md", "CLAUDE.md")
 NO_RULES = "No project-specific AGENT.md or CLAUDE.md found. Follow safe minimal-change defaults."
+UNREADABLE = "File could not be read: "
 RULES_UNREADABLE = "Project rules file exists but could not be read. Follow safe minimal-change defaults."
 
 

@@ -144,8 +144,11 @@ def command_verdict(command: Column, root: str = DEFAULT_ROOT, links: Column | N
     return F.when(has_shell_token(normal), said("Dangerous shell syntax blocked")).when(has_dangerous_part(normal), said("Dangerous command blocked")).otherwise(let(command_words(normal), parsed))
 
 
-def tool_call_verdict(tool: Column, arguments: Column, root: str = DEFAULT_ROOT, links: Column | None = None) -> Column:
-    """Why a tool call is blocked before it runs, or null.  ``arguments`` is a variant; tools without a rule pass."""
+def tool_call_verdict(tool: Column, arguments: Column, root: str = DEFAULT_ROOT, links: Column | None = None, commands: bool = True) -> Column:
+    """Why a tool call is blocked before it runs, or null.  ``arguments`` is a variant; tools without a rule pass.
+
+    Without ``commands`` no call is a test command, and their rules are left out of the plan.
+    """
     field = lambda key: F.try_variant_get(arguments, f"$.{key}", "variant")
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
     path, shape = field("path"), F.schema_of_variant(arguments)
@@ -156,12 +159,12 @@ def tool_call_verdict(tool: Column, arguments: Column, root: str = DEFAULT_ROOT,
     optional = path_verdict(F.when(path.isNull(), F.lit(".")).otherwise(text), root, links)
     command = field("command")
     given = F.when(command.isNull() | F.to_json(command).isin("null", '""', "0", "false", "[]", "{}"), F.lit(DEFAULT_COMMAND)).otherwise(F.try_variant_get(command, "$", "string"))
-    return (
+    verdict = (
         F.when(~F.startswith(shape, F.lit("OBJECT")), F.lit("Tool arguments must be a JSON object."))
         .when(tool.isin("read_file", "write_file", "replace_in_file"), needed)
         .when(tool.isin("list_files", "grep"), optional)
-        .when(tool == "run_tests", command_verdict(given, root, links))
     )
+    return verdict.when(tool == "run_tests", command_verdict(given, root, links)) if commands else verdict
 
 
 def post_tool_note(tool: Column, ok: Column) -> Column:

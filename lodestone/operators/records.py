@@ -113,6 +113,12 @@ def trace_event_json(event: Column, payload: Column, run_id: Column, time: Colum
     return F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("time"), run_id.alias("run_id"), event.alias("event"), payload.alias("payload")), ALL_FIELDS)
 
 
+def state_trace_events(states: DataFrame, event: Column, payload: Column, time: Column | None = None) -> DataFrame:
+    """Run states with ``trace``, a trace event of their run as a JSON line, and ``trace_error``."""
+    run_id = F.col("run_id")
+    return states.withColumns({"trace_error": trace_event_error(event, run_id), "trace": F.when(trace_event_error(event, run_id).isNull(), trace_event_json(event, payload, run_id, time))})
+
+
 def task_error(record: Column) -> Column:
     """Of a task manifest as a variant."""
     check = F.when(record.isNull() | (_kind(record) != "OBJECT"), F.lit("Task file must contain one JSON object."))

@@ -44,8 +44,8 @@ def score(terms: list[str], path: Column, content: Column) -> Column:
 
 
 def score_files(files: DataFrame, query: str) -> DataFrame:
-    """The text files with their score."""
-    return files.where(is_text_file(F.col("path"))).withColumn("score", score(T.query_terms(query), F.col("path"), F.coalesce("content", F.lit(""))))
+    """The text files with their score; a file without content could not be read, and is left out."""
+    return files.where(is_text_file(F.col("path")) & F.col("content").isNotNull()).withColumn("score", score(T.query_terms(query), F.col("path"), F.col("content")))
 
 
 def retrieve(files: DataFrame, query: str, top_k: int = TOP_K, excerpt_chars: int = EXCERPT_CHARS) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Named tools over a file tree: a registry of plans, checked before and noted after they run.
-
-A handler gets its arguments and returns a DataFrame whose first row has ``ok``
-and ``output``, and ``content`` for an edit.  Spark reports errors when a plan
-runs, so the registry runs it and turns what goes wrong into a result.  The only
-thing the driver writes is the one file that an edit names.
+"""Named tools over a file tree, as one table of argument checks and plans.
+
+A tool is a row of the registry: a name, a description and a plan, a function of
+the call's arguments that returns a DataFrame whose first row has ``ok`` and
+``output`` (and ``content`` for an edit).  Spark reports errors when a plan runs,
+so running a tool runs its plan and turns what goes wrong into a result.  The
+only thing the driver writes is the one file that an edit names; whether that lies
+below the root is decided twice, by the rules and just before it is opened.
 """
 
 from __future__ import annotations
@@ -20,7 +22,19 @@ from lodestone.functions.paths import skipped
 from lodestone.operators import edit, policy
 from lodestone.operators import files as files_ops
 from lodestone.operators.retrieve import TOOL_TOP_K, positive, retrieval_notes
-from lodestone.sources.repo import checked_root, links_of, scan_entries
+from lodestone.sources.repo import checked_root, links_on, scan_entries
+
+# What tools are called, what is said about them, and their messages.
+ABOUT = {
+    "list_files": '{"path": "."} list repository files under path.',
+    "read_file": '{"path": "relative.py", "limit": 12000} read a text file.',
+    "grep": '{"pattern": "regex", "path": "."} search text files with a regex.',
+    "retrieve_context": '{"query": "symbol or task", "top_k": 5} retrieve relevant code snippets.',
+    "replace_in_file": '{"path": "file.py", "old": "exact text", "new": "replacement"} make one exact replacement.',
+    "write_file": '{"path": "file.py", "content": "full content"} overwrite a file.',
+    "finish": '{"summary": "final answer"} finish the task.',
+}
+NOT_AN_OBJECT = "Tool arguments must be a JSON object."
 
 
 class ToolResult(NamedTuple):
@@ -30,160 +44,179 @@ class ToolResult(NamedTuple):
     reason: str = ""
 
 
-Handler = Callable[[dict[str, Any]], DataFrame]
+class Refused(ValueError):
+    """Arguments that a tool does not take."""
+
+
+Plan = Callable[[dict[str, Any]], DataFrame]
+
+
+def _required(checks: list[tuple[bool, str]]) -> None:
+    """The message of the first check that fails."""
+    for passed, message in checks:
+        if not passed:
+            raise Refused(message)
+
+
+def _checked(check: Callable, *values: Any) -> Any:
+    try:
+        return check(*values)
+    except ValueError as e:
+        raise Refused(str(e)) from e
 
 
 class ToolRegistry:
-    """Tools by name, in the order they were first registered; a later one of a name replaces it."""
+    """name -> (description, plan), in the order of first entry; a later entry of a name replaces it."""
 
-    def __init__(self) -> None:
-        self._tools: dict[str, tuple[str, Handler]] = {}
+    def __init__(self, **tools: tuple[str, Plan]) -> None:
+        self.tools: dict[str, tuple[str, Plan]] = {}
+        for name, (about, plan) in tools.items():
+            self.register(name, about, plan)
 
-    def register(self, name: str, description: str, handler: Handler) -> None:
-        for what, value in (("name", name), ("description", description)):
-            if not value.strip():
-                raise ValueError(f"Tool {what} must be non-empty.")
-        self._tools[name] = (description.strip(), handler)
+    def register(self, name: str, description: str, plan: Plan) -> None:
+        blank = [what for what, value in (("name", name), ("description", description)) if not value.strip()]
+        if blank:
+            raise ValueError(f"Tool {blank[0]} must be non-empty.")
+        self.tools[name] = (description.strip(), plan)
 
     @property
     def tool_names(self) -> list[str]:
-        return list(self._tools)
+        return list(self.tools)
 
     def descriptions(self) -> str:
-        return "\n".join(["Available tools:", *(f"- {name}: {about}" for name, (about, _) in self._tools.items())])
+        return "\n".join(["Available tools:", *(f"- {name}: {about}" for name, (about, _) in self.tools.items())])
 
     def catalog(self, spark: SparkSession) -> DataFrame:
         """(ord, name, description) of the tools."""
-        return spark.createDataFrame([(i, n, d) for i, (n, (d, _)) in enumerate(self._tools.items())], "ord int, name string, description string")
-
-    def run(self, name: str, arguments: object) -> tuple[ToolResult, dict[str, Any]]:
-        """The result, and the row it was made of."""
-        if name not in self._tools:
-            return ToolResult(False, f"Unknown tool: {name}"), {}
-        if not isinstance(arguments, dict):
-            return ToolResult(False, "Tool arguments must be a JSON object."), {}
+        return spark.createDataFrame([(i, n, d) for i, (n, (d, _)) in enumerate(self.tools.items())], "ord int, name string, description string")
+
+    def row(self, name: str, arguments: object) -> dict[str, Any]:
+        """The first row of the tool's plan, or one that says why there is none."""
         try:
-            made = self._tools[name][1](dict(arguments))
-            if not isinstance(made, DataFrame) or not {"ok", "output"} <= set(made.columns):
-                return ToolResult(False, f"Tool error: {name} returned an invalid result."), {}
-            row = made.first().asDict()
-        except _Refused as e:
-            return ToolResult(False, str(e)), {}
+            _required([(name in self.tools, f"Unknown tool: {name}"), (isinstance(arguments, dict), NOT_AN_OBJECT)])
+            made = self.tools[name][1](dict(arguments))
+            _required([(isinstance(made, DataFrame) and {"ok", "output"} <= set(made.columns), f"Tool error: {name} returned an invalid result.")])
+            return made.first().asDict()
+        except Refused as e:
+            return {"ok": False, "output": str(e)}
         except Exception as e:  # whatever a plan raises becomes an observation
-            return ToolResult(False, f"Tool error: {type(e).__name__}: {e}"), {}
-        return ToolResult(row["ok"], row["output"]), row
+            return {"ok": False, "output": f"Tool error: {type(e).__name__}: {e}"}
 
+    def run(self, name: str, arguments: object) -> ToolResult:
+        found = self.row(name, arguments)
+        return ToolResult(found["ok"], found["output"])
 
-class _Refused(ValueError):
-    """Arguments that a tool does not take."""
 
+def read_plans(spark: SparkSession, root: str) -> dict[str, Plan]:
+    """The plans that only read; each scans no more than the path that it is about."""
 
-class RepoTools:
-    """The tools of one local tree."""
+    def rows(base: str = ".", contents: bool = True) -> DataFrame:
+        return scan_entries(spark, root, base, contents).where(~F.col("is_symlink"))
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, checked_root(root)
-        self.registry = ToolRegistry()
-        for name, about, handler in (
-            ("list_files", '{"path": "."} list repository files under path.', self._list_files),
-            ("read_file", '{"path": "relative.py", "limit": 12000} read a text file.', self._read_file),
-            ("grep", '{"pattern": "regex", "path": "."} search text files with a regex.', self._grep),
-            ("retrieve_context", '{"query": "symbol or task", "top_k": 5} retrieve relevant code snippets.', self._retrieve),
-            ("replace_in_file", '{"path": "file.py", "old": "exact text", "new": "replacement"} make one exact replacement.', self._replace),
-            ("write_file", '{"path": "file.py", "content": "full content"} overwrite a file.', self._write),
-            ("finish", '{"summary": "final answer"} finish the task.', self._finish),
-        ):
-            self.registry.register(name, about, handler)
-
-    def run(self, name: str, arguments: object = None) -> ToolResult:
-        arguments = {} if arguments is None else arguments
-        if not isinstance(arguments, dict):
-            return ToolResult(False, "Tool arguments must be a JSON object.")
-        call = self.spark.createDataFrame([(name, json.dumps(arguments))], "tool string, arguments string")
-        verdict = policy.tool_call_verdict(F.col("tool"), F.parse_json("arguments"), self.root, links_of(scan_entries(self.spark, self.root)))
-        blocked = call.select(verdict.alias("v")).first().v
-        if blocked:
-            return ToolResult(False, blocked, True, blocked)
-        result, row = self.registry.run(name, arguments)
-        if result.ok and row.get("content") is not None:
-            self._save(arguments["path"], row["content"])
-        return self._noted(name, result)
-
-    def _noted(self, name: str, result: ToolResult) -> ToolResult:
-        one = self.spark.createDataFrame([(name, result.ok)], "tool string, ok boolean")
-        note = one.select(policy.post_tool_note(F.col("tool"), F.col("ok")).alias("n")).first().n
-        return result._replace(output=f"{result.output}\n\nHook note: {note}") if note else result
-
-    def _save(self, path: str, content: str) -> None:
-        target = os.path.join(self.root, path)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "w", encoding="utf-8") as file:
-            file.write(content)
+    def found(arguments: dict[str, Any]) -> str:
+        path = relative(root, arguments.get("path", "."))
+        _required([(os.path.exists(os.path.join(root, path)), f"Path does not exist: {arguments.get('path', '.')}")])
+        return path
 
-    def _path(self, arguments: dict[str, Any]) -> str:
-        path = os.path.relpath(os.path.join(self.root, arguments.get("path", ".")), self.root)
-        return path.replace(os.sep, "/")
+    def list_files(arguments: dict[str, Any]) -> DataFrame:
+        base = found(arguments)
+        return files_ops.list_report(rows(base, contents=False), base)
 
-    def _files(self) -> DataFrame:
-        return scan_entries(self.spark, self.root).where(~F.col("is_symlink")).select("path", "content")
+    def read_file(arguments: dict[str, Any]) -> DataFrame:
+        file = one_file(spark, root, arguments)
+        limit = _checked(positive, arguments.get("limit", files_ops.READ_CHARS), "read_file limit must be a positive integer.")
+        readable = F.col("content").isNotNull()
+        output = F.when(readable, F.col("output")).otherwise(F.concat(F.lit(files_ops.UNREADABLE), "path"))
+        return files_ops.read_text(file, limit).join(file.select("path", "content"), "path").select(readable.alias("ok"), output.alias("output"))
 
-    def _existing(self, arguments: dict[str, Any]) -> str:
-        path = self._path(arguments)
-        if not os.path.exists(os.path.join(self.root, path)):
-            raise _Refused(f"Path does not exist: {arguments.get('path', '.')}")
-        return path
+    def grep(arguments: dict[str, Any]) -> DataFrame:
+        pattern, base = _checked(files_ops.checked_pattern, arguments.get("pattern")), found(arguments)
+        return files_ops.grep_report(rows(base), pattern, base)
 
-    def _one_file(self, arguments: dict[str, Any]) -> DataFrame:
-        if not os.path.isfile(os.path.join(self.root, self._path(arguments))):
-            raise _Refused(f"File not found: {arguments['path']}")
-        return self._files().where(F.col("path") == self._path(arguments))
+    def retrieve_context(arguments: dict[str, Any]) -> DataFrame:
+        query = arguments.get("query")
+        _required([(isinstance(query, str) and bool(query.strip()), "retrieve_context requires a non-empty query.")])
+        return retrieval_notes(rows().where(~skipped(F.col("path"))), query, _checked(positive, arguments.get("top_k", TOOL_TOP_K)))
 
-    @staticmethod
-    def _done(rows: DataFrame) -> DataFrame:
-        return rows.select(F.lit(True).alias("ok"), "output")
+    def finish(arguments: dict[str, Any]) -> DataFrame:
+        return spark.range(1).select(F.lit(str(arguments.get("summary") or "Finished.")).alias("output"))
 
-    def _list_files(self, arguments: dict[str, Any]) -> DataFrame:
-        return self._done(files_ops.list_report(self._files(), self._existing(arguments)))
+    def done(plan: Plan) -> Plan:
+        return lambda arguments: plan(arguments).select(F.lit(True).alias("ok"), "output")
 
-    def _read_file(self, arguments: dict[str, Any]) -> DataFrame:
-        file = self._one_file(arguments)
-        return self._done(files_ops.read_text(file, _refusing(positive, arguments.get("limit", files_ops.READ_CHARS), "read_file limit must be a positive integer.")))
+    plans = {"list_files": list_files, "grep": grep, "retrieve_context": retrieve_context, "finish": finish}
+    return {**{name: done(plan) for name, plan in plans.items()}, "read_file": read_file}
 
-    def _grep(self, arguments: dict[str, Any]) -> DataFrame:
-        pattern = _refusing(files_ops.checked_pattern, arguments.get("pattern"))
-        return self._done(files_ops.grep_report(self._files(), pattern, self._existing(arguments)))
 
-    def _retrieve(self, arguments: dict[str, Any]) -> DataFrame:
-        query = arguments.get("query")
-        if not isinstance(query, str) or not query.strip():
-            raise _Refused("retrieve_context requires a non-empty query.")
-        top_k = _refusing(positive, arguments.get("top_k", TOOL_TOP_K))
-        return self._done(retrieval_notes(self._files().where(~skipped(F.col("path"))), query, top_k))
+def edit_plans(spark: SparkSession, root: str) -> dict[str, Plan]:
+    """The plans of edits: the first row has the new content."""
 
-    def _replace(self, arguments: dict[str, Any]) -> DataFrame:
+    def replace_in_file(arguments: dict[str, Any]) -> DataFrame:
         old, new = arguments.get("old"), arguments.get("new")
-        if not isinstance(old, str) or not isinstance(new, str):
-            raise _Refused("replace_in_file requires string old and new fields.")
-        if not old:
-            raise _Refused("replace_in_file requires a non-empty old snippet.")
-        edits = self.spark.createDataFrame([(self._path(arguments), old, new)], "path string, old string, new string")
-        return edit.apply_replacements(self._one_file(arguments), edits)
-
-    def _write(self, arguments: dict[str, Any]) -> DataFrame:
-        path, content = self._path(arguments), arguments.get("content")
-        if not isinstance(content, str):
-            raise _Refused("write_file requires string content.")
-        if os.path.isdir(os.path.join(self.root, path)):
-            raise _Refused(f"Path is not a file: {arguments['path']}")
-        edits = self.spark.createDataFrame([(path, content)], "path string, content string")
-        return edit.apply_writes(self._files().where(F.col("path") == path), edits)
-
-    def _finish(self, arguments: dict[str, Any]) -> DataFrame:
-        return self.spark.range(1).select(F.lit(True).alias("ok"), F.lit(str(arguments.get("summary") or "Finished.")).alias("output"))
-
-
-def _refusing(check: Callable, *values: Any) -> Any:
-    try:
-        return check(*values)
-    except ValueError as e:
-        raise _Refused(str(e)) from e
+        texts = isinstance(old, str) and isinstance(new, str)
+        _required([(texts, "replace_in_file requires string old and new fields."), (old != "", "replace_in_file requires a non-empty old snippet.")])
+        edits = spark.createDataFrame([(relative(root, arguments["path"]), old, new)], "path string, old string, new string")
+        return edit.apply_replacements(one_file(spark, root, arguments), edits)
+
+    def write_file(arguments: dict[str, Any]) -> DataFrame:
+        path, content = relative(root, arguments["path"]), arguments.get("content")
+        is_folder = os.path.isdir(os.path.join(root, path))
+        _required([(isinstance(content, str), "write_file requires string content."), (not is_folder, f"Path is not a file: {arguments['path']}")])
+        edits = spark.createDataFrame([(path, content)], "path string, content string")
+        return edit.apply_writes(scan_entries(spark, root, path), edits)
+
+    return {"replace_in_file": replace_in_file, "write_file": write_file}
+
+
+def relative(root: str, path: str) -> str:
+    return os.path.relpath(os.path.join(root, path), root).replace(os.sep, "/")
+
+
+def one_file(spark: SparkSession, root: str, arguments: dict[str, Any]) -> DataFrame:
+    path = relative(root, arguments["path"])
+    _required([(os.path.isfile(os.path.join(root, path)), f"File not found: {arguments['path']}")])
+    return scan_entries(spark, root, path)
+
+
+class RepoTools:
+    """The tools of one local tree."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, checked_root(root)
+        plans = {**read_plans(spark, self.root), **edit_plans(spark, self.root)}
+        self.registry = ToolRegistry(**{name: (about, plans[name]) for name, about in ABOUT.items()})
+
+    def run(self, name: str, arguments: object = None) -> ToolResult:
+        """Judged by the rules, run, saved if it is an edit, and noted."""
+        arguments = {} if arguments is None else arguments
+        try:
+            text = json.dumps(arguments if isinstance(arguments, dict) else None, allow_nan=False)
+        except (TypeError, ValueError):
+            text = "null"
+        if text == "null":
+            return ToolResult(False, NOT_AN_OBJECT)
+        path = arguments.get("path", ".")
+        links = F.array(*[F.lit(x) for x in links_on(self.root, path)] if isinstance(path, str) else []).cast("array<string>")
+        call = self.spark.createDataFrame([(name, text)], "tool string, arguments string")
+        blocked = call.select(policy.tool_call_verdict(F.col("tool"), F.parse_json("arguments"), self.root, links, commands=False).alias("v")).first().v
+        if blocked:
+            return ToolResult(False, blocked, True, blocked)
+        found = self.registry.row(name, arguments)
+        if found["ok"] and found.get("content") is not None:
+            problem = self._saved(path, found["content"])
+            if problem:
+                return ToolResult(False, problem, True, problem)
+        note = self.spark.createDataFrame([(name, found["ok"])], "tool string, ok boolean").select(policy.post_tool_note(F.col("tool"), F.col("ok")).alias("n")).first().n
+        return ToolResult(found["ok"], f"{found['output']}\n\nHook note: {note}" if note else found["output"])
+
+    def _saved(self, path: str, content: str) -> str | None:
+        """Writes one file; why not, if it does not lie below the root by then."""
+        target = os.path.realpath(os.path.join(self.root, path))
+        if not target.startswith(self.root.rstrip("/") + "/"):
+            return f"Path escapes repository root: {path}"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        # The last component has to be what was resolved: a link that came since is not followed.
+        handle = os.open(target, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | os.O_NOFOLLOW, 0o666)
+        with os.fdopen(handle, "w", encoding="utf-8") as file:
+            file.write(content)
+        return None

@@ -5,10 +5,15 @@ and follow links.  Folders are listed one level at a time when the read is
 planned, until there are enough of them; each task walks a few folders and reads
 their files.  Ignored folders are not entered and links not followed: a link is a
 row with null content, and so is a file that cannot be read.
+
+A scan may begin at a folder or file below the root (``base``), and leave
+contents out (``contents=False``), so that a question about one path or about
+names alone reads no more than that.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -43,32 +48,40 @@ def _entries(folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, base: str, contents: bool) -> None:
+        self.root, self.start, self.contents = root, os.path.normpath(os.path.join(root, base)), contents
 
     def partitions(self) -> list[_Folder]:
-        shallow, level = [], [self.root]
+        if not os.path.isdir(self.start) or os.path.islink(self.start):
+            return [_Folder(self.start, False)]
+        shallow, level = [], [self.start]
         while level and len(shallow) + len(level) < ENOUGH_FOLDERS:
             shallow += level
             level = [e.path for folder in level for e in _entries(folder)[0]]
         return [_Folder(p, False) for p in shallow] + [_Folder(p, True) for p in level]
 
+    def _row(self, path: str) -> Iterator[tuple]:
+        name = os.path.relpath(path, self.root).replace(os.sep, "/")
+        if os.path.islink(path):
+            yield name, None, True
+        elif os.path.isfile(path):
+            content = None
+            if self.contents:
+                with contextlib.suppress(OSError), open(path, "rb") as file:
+                    content = file.read()
+            yield name, content, False
+
     def read(self, partition: _Folder) -> Iterator[tuple]:
+        if not os.path.isdir(partition.path) or os.path.islink(partition.path):
+            yield from self._row(partition.path)
+            return
         todo = [partition.path]
         while todo:
             folders, files = _entries(todo.pop())
             if partition.deep:
                 todo += [e.path for e in folders]
             for entry in files:
-                path = os.path.relpath(entry.path, self.root).replace(os.sep, "/")
-                if entry.is_symlink():
-                    yield path, None, True
-                elif entry.is_file():
-                    try:
-                        with open(entry.path, "rb") as file:
-                            yield path, file.read(), False
-                    except OSError:
-                        yield path, None, False
+                yield from self._row(entry.path)
 
 
 class RepoFiles(DataSource):
@@ -80,7 +93,7 @@ class RepoFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("base", "."), self.options.get("contents", "true") == "true")
 
 
 def checked_root(root: str) -> str:
@@ -90,10 +103,11 @@ def checked_root(root: str) -> str:
     return resolved
 
 
-def scan_entries(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of the source, links included, with contents as text."""
+def scan_entries(spark: SparkSession, root: str, base: str = ".", contents: bool = True) -> DataFrame:
+    """All rows of the source at or below ``base``, links included, with contents as text."""
     spark.dataSource.register(RepoFiles)
-    return spark.read.format("repo_files").load(checked_root(root)).withColumn("content", decoded(F.col("content")))
+    reader = spark.read.format("repo_files").option("base", base).option("contents", str(contents).lower())
+    return reader.load(checked_root(root)).withColumn("content", decoded(F.col("content")))
 
 
 def scan_repo(spark: SparkSession, root: str, skip: Column | None = None) -> DataFrame:
@@ -102,7 +116,19 @@ def scan_repo(spark: SparkSession, root: str, skip: Column | None = None) -> Dat
     return (rows if skip is None else rows.where(~skip)).select("path", "content")
 
 
-def links_of(entries: DataFrame) -> Column:
-    """The links among the rows of a scan, as an array for path rules."""
-    found = sorted(r.path for r in entries.where("is_symlink").select("path").collect())
-    return F.array(*[F.lit(p) for p in found]).cast("array<string>")
+def links_on(root: str, path: str) -> list[str]:
+    """The links, relative to the root, that a walk along the components of one path stands on."""
+    if os.path.isabs(path):
+        if path != root and not path.startswith(root.rstrip("/") + "/"):
+            return []
+        path = path[len(root) :]
+    at: list[str] = []
+    found = []
+    for part in path.split("/"):
+        if part == "..":
+            at = at[:-1]
+        elif part not in ("", "."):
+            at.append(part)
+            if os.path.islink(os.path.join(root, *at)):
+                found.append("/".join(at))
+    return found

@@ -14,7 +14,7 @@ from lodestone.operators import files as files_ops
 from lodestone.operators.retrieve import retrieve, retrieval_notes, score_files
 from lodestone.operators.symbols import symbol_report, symbols
 from lodestone.plans.repo_index import RepoIndex, as_context, snapshot
-from lodestone.sources.repo import links_of, scan_entries, scan_repo
+from lodestone.sources.repo import links_on, scan_entries, scan_repo
 
 FILES = "path string, content string"
 
@@ -61,7 +61,8 @@ def test_scan(spark, repo):
     assert rows["_under/y.md"] == "under\nscore\n" and rows["pkg/__init__.py"] == ""
     assert rows["bad.txt"] == b"ok \xff\xfe end".decode(errors="replace")
     entries = scan_entries(spark, str(repo))
-    assert spark.range(1).select(links_of(entries).alias("l")).first().l == ["link.py", "linked"]
+    assert sorted(r.path for r in entries.where("is_symlink").collect()) == ["link.py", "linked"]
+    assert links_on(str(repo), "linked/../x") == ["linked"] and links_on(str(repo), "./x/../link.py") == ["link.py"]
     assert "credentials.json" not in {r.path for r in scan_repo(spark, str(repo), skipped(F.col("path"))).collect()}
     with pytest.raises(ValueError, match="does not exist"):
         scan_repo(spark, str(repo / "nothing"))

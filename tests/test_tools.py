@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import policy
 from lodestone.plans import cli
+from lodestone.plans import tools as tools_module
 from lodestone.plans.tools import RepoTools, ToolRegistry, ToolResult
 
 from .test_files import write
@@ -30,14 +31,14 @@ def test_registry(spark):
     assert own.tool_names == ["b", "a", "late"]
     assert own.descriptions().split("\n")[:3] == ["Available tools:", "- b: first", "- a: second"]
     assert [(r.ord, r.name) for r in own.catalog(spark).orderBy("ord").collect()] == [(0, "b"), (1, "a"), (2, "late")]
-    assert own.run("b", {})[0] == ToolResult(True, "fine")
-    assert own.run("zz", {})[0].output == "Unknown tool: zz"
-    assert own.run("b", [])[0].output == "Tool arguments must be a JSON object."
-    assert own.run("a", {})[0].output == "Tool error: a returned an invalid result."
-    late = own.run("late", {})[0]
+    assert own.run("b", {}) == ToolResult(True, "fine")
+    assert own.run("zz", {}).output == "Unknown tool: zz"
+    assert own.run("b", []).output == "Tool arguments must be a JSON object."
+    assert own.run("a", {}).output == "Tool error: a returned an invalid result."
+    late = own.run("late", {})
     assert not late.ok and late.output.startswith("Tool error: ") and "boom" in late.output
     own.register("a", "again", one)
-    assert own.tool_names == ["b", "a", "late"] and own.run("a", {})[0].ok
+    assert own.tool_names == ["b", "a", "late"] and own.run("a", {}).ok
 
 
 def test_reading_tools(tools):
@@ -80,6 +81,39 @@ def test_blocked_calls(tools):
         assert result.blocked and not result.ok and result.reason == result.output
 
 
+def test_no_link_leads_out_of_the_root(tools, tmp_path_factory):
+    """Also not one that ``..`` leaves again, or one to a folder within the tree."""
+    run, root = tools[0].run, tools[1]
+    outside = tmp_path_factory.mktemp("outside")
+    (outside / "sub").mkdir()
+    (root / "link").symlink_to(outside / "sub")
+    (root / "inner").symlink_to(root / "d")
+    write = ("write_file", {"content": "x"})
+    calls = [(*write, path) for path in ("link/../evil.txt", "link/x.txt", f"{root}/link/../evil.txt")]
+    calls += [("read_file", {}, "link/../calc.py"), ("list_files", {}, "d/../link/.."), ("replace_in_file", {"old": "a", "new": "b"}, "inner/x.txt")]
+    for name, more, path in calls:
+        result = run(name, {"path": path, **more})
+        assert result.blocked and result.reason == f"Refusing to follow symlink path: {path}", (name, path)
+    assert sorted(p.name for p in outside.rglob("*")) == ["sub"] and "evil.txt" not in {p.name for p in root.iterdir()}
+    assert tools[0]._saved("link/../evil.txt", "x") == "Path escapes repository root: link/../evil.txt"
+    assert run("read_file", {"path": "d/../calc.py"}).ok and run("read_file", {"path": f"{root}/calc.py"}).ok
+
+
+def test_calls_read_what_they_are_about(spark, tools, monkeypatch):
+    seen = []
+    real = tools_module.scan_entries
+    monkeypatch.setattr(tools_module, "scan_entries", lambda s, root, base=".", contents=True: seen.append((base, contents)) or real(s, root, base, contents))
+    run = tools[0].run
+    assert run("read_file", {"path": "calc.py"}).ok and run("finish").ok and run("list_files", {"path": "d"}).output == "d/x.txt"
+    assert run("grep", {"pattern": "needle", "path": "d/x.txt"}).output.startswith("d/x.txt:1: needle")
+    assert seen == [("calc.py", True), ("d", False), ("d/x.txt", True)]
+
+
+def test_arguments_that_are_no_json(tools):
+    for arguments in ({"path": {1, 2}}, {"limit": float("nan")}, "x", 3):
+        assert tools[0].run("read_file", arguments) == ToolResult(False, "Tool arguments must be a JSON object.")
+
+
 def test_command_line(spark, tools, capsys, tmp_path_factory):
     root = tools[1]
     assert cli.main(["retrieve", "--repo", str(root), "--query", "minus", "--top-k", "1"], spark) == 0
