@@ -8,6 +8,7 @@ made of columns of the tables in the query and in the SQL alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from lodestone.functions import text as T
 from lodestone.functions.paths import is_ignored, is_protected, is_text_file, path_verdict
 from lodestone.operators import edit, policy, records
 from lodestone.operators import files as files_ops
-from lodestone.operators.retrieve import retrieve, score_files
-from lodestone.operators.symbols import symbols
+from lodestone.operators.retrieve import retrieval_notes, retrieve, score_files
+from lodestone.operators.symbols import symbol_report, symbols
+from lodestone.plans.repo_index import NO_QUERY, SECTIONS, as_context, snapshot
 
 QUERY = "the retrieval of 42 The"
 PATTERN = r"\bthe\b.*\."
@@ -43,8 +45,8 @@ def score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_files(_files(spark, sf_dir), QUERY).select("path", F.round("score", 6).alias("score"))
 
 
-def _score_sql() -> str:
-    """score of each file; the definition count is left out where no token can have one."""
+def _score_sql(prelude: str = FILES_SQL, files: str = "files", content: str = "content") -> str:
+    """score of each file that has a text."""
     hits = []
     for term, n in (("the", 2), ("retrieval", 1), ("of", 1), ("42", 1)):
         for of, weight in (("low", 1), ("lower(path)", 3)):
@@ -52,12 +54,15 @@ def _score_sql() -> str:
             hits.append(f"{n} * CASE WHEN {count} > 0 THEN {weight} + ln(1 + {count}) ELSE 0 END")
         count = f"len(regexp_extract_all(low, '\\b(?:async\\s+def|def|class)\\s+{term}\\b'))"
         hits.append(f"{n} * CASE WHEN {count} > 0 THEN 4 + ln(1 + {count}) ELSE 0 END")
-    return f"{FILES_SQL}, lowered AS (SELECT *, lower(content) AS low FROM files), scored AS (SELECT *, {' + '.join(hits)} AS score FROM lowered)"
+    return f"{prelude}, lowered AS (SELECT *, lower({content}) AS low FROM {files} WHERE content IS NOT NULL), scored AS (SELECT *, {' + '.join(hits)} AS score FROM lowered)"
 
 
 _TRIM = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 _CENTER = "least(" + ", ".join(f"nullif(instr(low, '{t}'), 0)" for t in ("the", "retrieval", "of", "42")) + ")"
 
+_BEST_SQL = f"SELECT path, score, {_TRIM.format(f'substr(content, greatest(0, coalesce({_CENTER}, 1) - 1 - 466)::BIGINT + 1, 1400)')} AS excerpt FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 8"
+
+
 def tokenize_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "documents").select("doc_id", T.terms(F.col("text")).alias("t"))
     return found.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.get("t", F.lit(0)).alias("first_term"))
@@ -100,11 +105,11 @@ def tree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files_ops.read_text(_files(spark, sf_dir), 500)
+    return files_ops.read_text(_files(spark, sf_dir))
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files_ops.previews(_files(spark, sf_dir), 300)
+    return files_ops.previews(_files(spark, sf_dir))
 
 
 #: Suffixes and folders that paths are made of, by remainder of the id.
@@ -222,9 +227,246 @@ def tool_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", policy.post_tool_note(F.col("tool"), F.col("ok")).alias("note"))
 
 
+def _tree_sql(files: str) -> str:
+    return f"""SELECT string_agg(line, chr(10) ORDER BY f, depth) || (SELECT CASE WHEN count(*) > 80 THEN chr(10) || '... ' || (count(*) - 80) || ' more files omitted' ELSE '' END FROM {files}) AS output FROM (
+      WITH p AS (SELECT path, string_split(path, '/') AS p FROM {files} ORDER BY path LIMIT 80),
+      dirs AS (SELECT path, p, unnest(range(1, len(p))) AS n FROM p), once AS (SELECT p[1:n] AS d, min(path) AS f FROM dirs GROUP BY ALL)
+      SELECT f, len(d) - 1 AS depth, repeat('  ', len(d) - 1) || '- ' || d[-1] || '/' AS line FROM once
+      UNION ALL SELECT path, len(p) - 1, repeat('  ', len(p) - 1) || '- ' || p[-1] FROM p)"""
+
+
+def _project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of several kinds of files: the documents, a rules file of the regions, and a Python file a customer."""
+    regions = _table(spark, sf_dir, "region").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("- "), "r_name"))), "\n").alias("content"))
+    key = F.col("c_custkey").cast("string")
+    segment = F.lower("c_mktsegment")
+    source = F.concat(F.lit("class Customer"), key, F.lit(":\n    def "), segment, F.lit("(self):\n        return "), F.col("c_nationkey").cast("string"), F.lit("\n"))
+    # Customers that owe have a file that does not parse.
+    source = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("def "), segment, F.lit("(:\n"))).otherwise(source)
+    scripts = _table(spark, sf_dir, "customer").select(F.concat(F.lit("zz/c"), key, F.lit(".py")).alias("path"), source.alias("content"))
+    return _files(spark, sf_dir).union(regions.select(F.lit("AGENT.md"), "content")).union(scripts)
+
+
+PROJECT_SQL = f"""{FILES_SQL},
+scripts AS (SELECT c_custkey, c_acctbal < 0 AS broken, lower(c_mktsegment) AS segment, c_nationkey, 'zz/c' || c_custkey || '.py' AS path FROM customer),
+project AS (
+  SELECT * FROM files UNION ALL SELECT 'AGENT.md', string_agg('- ' || r_name, chr(10) ORDER BY r_name) FROM region
+  UNION ALL SELECT path, CASE WHEN broken THEN 'def ' || segment || '(:' || chr(10)
+    ELSE 'class Customer' || c_custkey || ':' || chr(10) || '    def ' || segment || '(self):' || chr(10) || '        return ' || c_nationkey || chr(10) END FROM scripts),
+project_symbols AS (
+  SELECT path, ord, path || ':' || line || ': ' || kind || ' ' || name AS line FROM (
+    SELECT path, 0 AS ord, 1 AS line, 'class' AS kind, 'Customer' || c_custkey AS name FROM scripts WHERE NOT broken
+    UNION ALL SELECT path, 1, 2, 'function', segment FROM scripts WHERE NOT broken))"""
+
+
+def _sections_sql() -> dict[str, str]:
+    """SQL of each section of a snapshot of the project, after PROJECT_SQL and the scores."""
+    trimmed = _TRIM.format(f"content[1:{files_ops.PREVIEW_CHARS}]")
+    return {
+        "tree": _tree_sql("project"),
+        "symbols": "SELECT string_agg(line, chr(10) ORDER BY path, ord) AS output FROM (SELECT * FROM project_symbols ORDER BY path, ord LIMIT 120)",
+        "notes": f"SELECT string_agg('## ' || path || ' score=' || printf('%.2f', score) || chr(10) || '```' || chr(10) || excerpt || chr(10) || '```', chr(10) || chr(10) ORDER BY score DESC, path) AS output FROM ({_BEST_SQL})",
+        "rules": "SELECT content AS output FROM project WHERE path = 'AGENT.md'",
+        "previews": f"SELECT string_agg('## ' || path || chr(10) || '```' || chr(10) || preview || chr(10) || '```', chr(10) || chr(10) ORDER BY path) AS output FROM (SELECT path, {trimmed} AS preview FROM (SELECT * FROM project ORDER BY path LIMIT 80)) WHERE preview <> ''",
+    }
+
+
+def repo_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of a snapshot."""
+    return snapshot(_project(spark, sf_dir), QUERY).select("section", "output")
+
+
+def repo_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot without a query, as one text."""
+    return as_context(snapshot(_project(spark, sf_dir)))
+
+
+def notes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_notes(_project(spark, sf_dir), QUERY)
+
+
+def rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_ops.rules_report(_project(spark, sf_dir))
+
+
+def symbols_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbol_report(_project(spark, sf_dir))
+
+
+def definition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of texts that define what the query asks for."""
+    defined = F.replace(F.replace("content", F.lit(" the "), F.lit(" def  the ")), F.lit(" of "), F.lit(" async def of "))
+    return score_files(_files(spark, sf_dir).withColumn("content", defined), QUERY).select("path", F.round("score", 6).alias("score"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of one line for each part."""
+    return _table(spark, sf_dir, "part").select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), F.col("p_name").alias("content"), "p_brand", "p_size")
+
+
+PARTS_SQL = "parts AS (SELECT 'parts/' || p_partkey || '.txt' AS path, p_name AS content, p_brand, p_size FROM part)"
+#: The diff of files of one line, without an end of line.
+_DIFF_SQL = "'--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || content || chr(10) || '+' || {}"
+
+
+def one_line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).select("path", edit.unified_diff(F.col("path"), F.col("content"), F.replace("content", F.lit("widget"), F.lit("gadget"))).alias("diff"))
+
+
+def file_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit a part: some snippets are there once, some never or twice, some empty; some files are not there."""
+    files = _parts(spark, sf_dir)
+    old = F.when(F.col("p_size") % 5 == 0, F.lit("")).when(F.col("p_size") % 5 == 1, F.lit("d")).otherwise(F.lit("widget"))
+    path = F.when(F.col("p_size") % 7 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    edits = files.select(path.alias("path"), old.alias("old"), F.when(F.col("p_size") % 11 > 0, F.col("p_brand")).alias("new"))
+    return edit.apply_replacements(files, edits)
+
+
+def file_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One write a part: changed, unchanged and new files, and contents that are null."""
+    files = _parts(spark, sf_dir)
+    content = F.when(F.col("p_size") % 4 == 0, F.col("content")).when(F.col("p_size") % 4 > 1, F.col("p_brand"))
+    return edit.apply_writes(files.where("p_size % 6 > 0"), files.select("path", content.alias("content")))
+
+
+def document_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test commands about the documents: the language gives the runner, the length what is asked for."""
+    runner = F.create_map(*[F.lit(x) for pair in _RUNNERS.items() for x in pair])[F.col("lang")]
+    argument = reduce(lambda acc, x: acc.when(F.col("n_chars") < x[0], F.concat(F.lit(x[1]), "source", F.lit(x[2]))), _ARGUMENTS[1:], F.when(F.col("n_chars") < _ARGUMENTS[0][0], F.concat(F.lit(_ARGUMENTS[0][1]), "source", F.lit(_ARGUMENTS[0][2]))))
+    command = F.concat_ws(" ", runner, argument)
+    return _table(spark, sf_dir, "documents").select("doc_id", command.alias("command"), policy.command_verdict(command).alias("verdict"))
+
+
+_RUNNERS = {"en": "pytest -q", "de": "python3 -m pytest", "fr": "python -m unittest discover -s", "es": "npm run test --"}
+#: (below this length, before the source, behind it); from the last length on there is no argument.
+_ARGUMENTS = ((800, "--cov-report=html:../", "/x"), (1200, "--junitxml=/etc/", ".xml"), (1600, "", "/t.py::test_a"), (2400, "'", "/build/x'"), (3200, "./", "/k.pem"), (4800, "--rootdir=", ""))
+
+
+def document_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on tool calls whose path is that of a page's address, as it is."""
+    tool = F.when(F.col("url").contains("utm_"), F.lit("read_file")).when(F.col("url").contains("/es/"), F.lit("list_files")).otherwise(F.lit("write_file"))
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    path = F.when(F.col("url").contains("/de/"), path).when(F.col("url").contains("/fr/"), F.concat(F.lit("dist"), path)).otherwise(F.substr(path, F.lit(2)))
+    pages = _table(spark, sf_dir, "pages").select("page_id", tool.alias("tool"), F.to_json(F.struct(path.alias("path"))).alias("arguments"))
+    return pages.select("page_id", "tool", policy.tool_call_verdict(F.col("tool"), F.parse_json("arguments")).alias("verdict"))
+
+
+def task_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task manifests made of messages, some without a task or no object, and their errors or texts."""
+    record = F.struct(F.col("role").alias("repo"), F.when(F.length("text") % 5 > 0, F.substring("text", 1, 40)).otherwise(F.lit(" ")).alias("task"), F.when(F.length("text") % 3 == 0, F.lit("pytest")).alias("test_command"))
+    text = F.when(F.length("text") % 7 == 0, F.lit("[1]")).otherwise(F.to_json(record))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.try_parse_json(text).alias("record"))
+    error = records.task_error(F.col("record"))
+    return rows.select("conv_id", "turn", error.alias("error"), F.when(error.isNull(), records.task_text(F.col("record"))).alias("text"))
+
+
+def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings from maps of values that customers give, as JSON that is read again."""
+    values = {
+        "LLM_PROVIDER": F.when(F.col("c_nationkey") % 4 == 0, F.lit(" Fake ")).when(F.col("c_nationkey") % 4 == 1, F.lit("OpenAI")).when(F.col("c_nationkey") % 4 == 2, F.col("c_mktsegment")),
+        "API_KEY": F.when(F.col("c_acctbal") > 5000, F.col("c_name")).when(F.col("c_acctbal") > 0, F.lit("")),
+        "MODEL": F.when(F.col("c_acctbal") > 2000, F.col("c_mktsegment")),
+        "MAX_STEPS": F.when(F.col("c_nationkey") > 8, F.col("c_nationkey").cast("string")),
+        "USE_FAKE_LLM": F.when(F.col("c_nationkey") % 3 == 0, F.lit(" YES ")).otherwise(F.lit("no")),
+    }
+    pairs = F.array(*[F.struct(F.lit(records.PREFIX + k).alias("key"), v.alias("value")) for k, v in values.items()])
+    env = F.map_from_entries(F.filter(pairs, lambda x: x.value.isNotNull()))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", records.resolved_settings(env).alias("s"))
+    read = rows.select("c_custkey", F.parse_json(records.settings_json(F.col("s"))).alias("j"), records.settings_error(F.col("s")).alias("error"))
+    fields = {"provider": "string", "model": "string", "max_steps": "int", "use_fake_llm": "boolean", "api_key_configured": "boolean"}
+    return read.select("c_custkey", "error", *[F.try_variant_get("j", f"$.{k}", t).alias(k) for k, t in fields.items()])
+
+
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run states of orders, and a trace event of each as JSON that is read again."""
+    orders = _table(spark, sf_dir, "orders")
+    task = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("  "), "o_orderpriority", F.lit("\t")))
+    tasks = orders.select(F.col("o_orderstatus").alias("repo_path"), task.alias("task"), F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("test_command"), F.when(F.col("o_totalprice") > 200_000, F.lit(3)).alias("max_steps"), "o_orderdate")
+    states = records.initial_states(tasks)
+    traced = records.state_trace_events(states, F.coalesce("task", F.lit(" ")), F.parse_json(F.lit('{"a": 1}')), F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    read = F.try_parse_json("trace")
+    return traced.select("run_id", "repo_path", "task", "test_command", "max_steps", "done", "error", "trace_error", F.try_variant_get(read, "$.run_id", "string").alias("traced_run"), F.try_variant_get(read, "$.time", "string").alias("traced_at"))
+
+
+def tool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of calls and results, and outputs of test runs, as JSON that is read again."""
+    events = _table(spark, sf_dir, "events")
+    call = F.struct(F.col("event_type").alias("tool"), F.parse_json("props").alias("arguments"), F.col("user_id").cast("string").alias("reason"))
+    result = records.tool_result(F.col("value") > 100, records.test_output(F.col("user_id"), F.concat(F.lit(" "), "event_type"), F.col("props")), blocked=F.col("value") < 10)
+    lines = events.select("event_id", F.parse_json(records.tool_record_json(call, result)).alias("r"), F.parse_json(records.tool_call_json(call.tool, call.arguments, call.reason)).alias("c"))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    return lines.select(
+        "event_id", get("r", "$.call.tool", "string").alias("tool"), get("c", "$.reason", "string").alias("reason"), get("r", "$.result.ok", "boolean").alias("ok"),
+        get("r", "$.result.blocked", "boolean").alias("blocked"), get("r", "$.result.reason", "string").alias("result_reason"), get("r", "$.result.output", "string").alias("output"),
+    )
+
+
+def _more_sql() -> dict[str, str]:
+    project = _score_sql(PROJECT_SQL, "project")
+    sections = _sections_sql()
+    each = " UNION ALL ".join(f"SELECT '{name}' AS section, output FROM ({sql})" for name, sql in sections.items())
+    context = " || chr(10) || chr(10) || ".join(f"'# {SECTIONS[name]}' || chr(10) || " + (f"'{NO_QUERY}'" if name == "notes" else f"(SELECT output FROM ({sections[name]}))") for name in ("tree", "symbols", "notes", "previews"))
+    defined = "replace(replace(content, ' the ', ' def  the '), ' of ', ' async def of ')"
+    parse = "length(text) % 7 = 0"
+    blank = "length(text) % 5 = 0 OR trim(text[1:40], ' ' || chr(9) || chr(10) || chr(13)) = ''"
+    runner = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RUNNERS.items()) + " END"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    argument = "CASE " + " ".join(f"WHEN n_chars < {n} THEN {quoted(a)} || source || {quoted(b)}" for n, a, b in _ARGUMENTS) + " END"
+    return {
+        "repo_snapshot": f"WITH {project} {each}",
+        "repo_context": f"WITH {PROJECT_SQL} SELECT {context} || chr(10) AS output",
+        "notes_report": f"WITH {project} {sections['notes']}",
+        "rules_report": f"WITH {PROJECT_SQL} {sections['rules']}",
+        "symbols_report": f"WITH {PROJECT_SQL} {sections['symbols']}",
+        "definition_scores": f"WITH {_score_sql(content=defined)} SELECT path, round(score, 6) AS score FROM scored",
+        "one_line_diffs": f"WITH {PARTS_SQL}, changed AS (SELECT *, replace(content, 'widget', 'gadget') AS after FROM parts) SELECT path, CASE WHEN after = content THEN '' ELSE {_DIFF_SQL.format('after')} END AS diff FROM changed",
+        "file_replacements": f"""WITH {PARTS_SQL}, asked AS (
+              SELECT path, CASE WHEN p_size % 7 = 0 THEN path || '.gone' ELSE path END AS asked, content, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'd' ELSE 'widget' END AS old, CASE WHEN p_size % 11 > 0 THEN p_brand END AS new FROM parts),
+            counted AS (SELECT *, (length(content) - length(replace(content, old, ''))) // greatest(1, length(old)) AS n FROM asked),
+            judged AS (SELECT *, CASE WHEN new IS NULL THEN 'replace_in_file requires string old and new fields.' WHEN old = '' THEN 'replace_in_file requires a non-empty old snippet.' WHEN asked <> path THEN 'File not found: ' || asked
+              WHEN n = 0 THEN 'old text not found; inspect the file before retrying.' WHEN n > 1 THEN 'old text occurs ' || n || ' times; provide a more specific snippet.' END AS error FROM counted)
+            SELECT asked AS path, error IS NULL AS ok, coalesce(error, {_DIFF_SQL.format('replace(content, old, new)')}) AS output,
+                   CASE WHEN error IS NULL THEN replace(content, old, new) WHEN asked <> path THEN '' ELSE content END AS content FROM judged""",
+        "file_writes": f"""WITH {PARTS_SQL}, asked AS (
+              SELECT path, CASE WHEN p_size % 6 > 0 THEN content ELSE '' END AS content, CASE WHEN p_size % 4 = 0 THEN content WHEN p_size % 4 > 1 THEN p_brand END AS after FROM parts)
+            SELECT path, after IS NOT NULL AS ok, CASE WHEN after IS NULL THEN 'write_file requires string content.' WHEN after = content THEN 'Wrote ' || path || ' with no textual diff.'
+              WHEN content = '' THEN '--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -0,0 +1 @@' || chr(10) || '+' || after ELSE {_DIFF_SQL.format('after')} END AS output,
+              coalesce(after, content) AS content FROM asked""",
+        "document_commands": f"""SELECT doc_id, concat_ws(' ', {runner}, {argument}) AS command, CASE
+              -- unittest takes what follows -s as a path, whatever it begins with.
+              WHEN n_chars < 1200 AND lang = 'fr' THEN NULL
+              WHEN n_chars < 800 THEN 'Path escapes repository root: ../' || source || '/x'
+              WHEN n_chars < 1200 THEN 'Path escapes repository root: /etc/' || source || '.xml'
+              WHEN n_chars < 1600 THEN NULL
+              WHEN n_chars < 2400 THEN 'Refusing to access generated or internal path: /repo/' || source || '/build/x'
+              WHEN n_chars < 3200 THEN 'Refusing to access protected file: k.pem'
+              WHEN n_chars < 4800 THEN NULL
+              WHEN lang = 'fr' THEN 'Test command option requires a path: -s' END AS verdict FROM documents""",
+        "document_tool_calls": """WITH t AS (
+              SELECT page_id, url, CASE WHEN contains(url, 'utm_') THEN 'read_file' WHEN contains(url, '/es/') THEN 'list_files' ELSE 'write_file' END AS tool, regexp_replace(url, '^[a-z]+://[^/]*', '') AS p FROM pages)
+            SELECT page_id, tool, CASE WHEN contains(url, '/de/') THEN CASE WHEN p = '' THEN tool || ' requires a path.' ELSE 'Path escapes repository root: ' || p END
+              WHEN contains(url, '/fr/') THEN 'Refusing to access generated or internal path: /repo/dist' || rtrim(p, '/') END AS verdict FROM t""",
+        "task_checks": f"""SELECT conv_id, turn, CASE WHEN {parse} THEN 'Task file must contain one JSON object.' WHEN {blank} THEN 'Task file requires a non-empty ''task'' field.' END AS error,
+            CASE WHEN NOT ({parse} OR {blank}) THEN 'id: unknown' || chr(10) || 'source: local' || chr(10) || 'repo: ' || role || chr(10) || 'task: ' || text[1:40] || chr(10) || 'test_command: ' || CASE WHEN length(text) % 3 = 0 THEN 'pytest' ELSE 'not configured' END END AS text FROM conversations""",
+        "settings_rows": f"""WITH s AS (
+              SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'fake' WHEN 2 THEN lower(c_mktsegment) ELSE 'openai' END AS provider, CASE WHEN c_acctbal > 2000 THEN c_mktsegment ELSE '{records.DEFAULTS["MODEL"]}' END AS model,
+                CASE WHEN c_nationkey > 8 THEN c_nationkey ELSE {records.DEFAULTS["MAX_STEPS"]} END::INTEGER AS max_steps, c_acctbal > 5000 AS api_key_configured, c_nationkey % 3 = 0 AS yes FROM customer)
+            SELECT c_custkey, CASE WHEN provider NOT IN {records.PROVIDERS} THEN 'Unsupported {records.PREFIX}LLM_PROVIDER=''' || provider || '''. Supported providers: {", ".join(records.PROVIDERS)}.'
+              WHEN NOT (yes OR provider = 'fake') AND NOT api_key_configured THEN 'No API key configured. Set {records.PREFIX}API_KEY or OPENAI_API_KEY, or set {records.PREFIX}LLM_PROVIDER=fake for local tests.' END AS error,
+              provider, model, max_steps, yes OR provider = 'fake' AS use_fake_llm, api_key_configured FROM s""",
+        "run_states": """SELECT o_orderkey::VARCHAR AS run_id, o_orderstatus AS repo_path, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS task, o_orderpriority AS test_command, CASE WHEN o_totalprice > 200000 THEN 3 ELSE 8 END AS max_steps, false AS done,
+            CASE WHEN o_orderstatus = 'P' THEN 'AgentState.task must be non-empty.' END AS error, CASE WHEN o_orderstatus = 'P' THEN 'TraceEvent.event must be non-empty.' END AS trace_error,
+            CASE WHEN o_orderstatus <> 'P' THEN o_orderkey::VARCHAR END AS traced_run, CASE WHEN o_orderstatus <> 'P' THEN '2024-01-02T03:04:05' END AS traced_at FROM orders""",
+        "tool_records": """SELECT event_id, event_type AS tool, user_id::VARCHAR AS reason, value > 100 AS ok, value < 10 AS blocked, '' AS result_reason,
+            'exit_status: ' || user_id || chr(10) || 'stdout:' || chr(10) || event_type || chr(10) || 'stderr:' || chr(10) || props AS output FROM events""",
+    }
+
+
 _BUILDERS = (
     retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
     preview, path_rules, replace_once, unified_diff, command_rules, shell_tokens, tool_calls, trace_events, task_texts, symbols_ast, tool_notes,
+    repo_snapshot, repo_context, notes_report, rules_report, symbols_report, definition_scores, one_line_diffs, file_replacements, file_writes,
+    document_commands, document_tool_calls, task_checks, settings_rows, run_states, tool_records,
 )
 
 
@@ -250,13 +492,9 @@ def oracle_sql() -> dict[str, str]:
             dirs AS (SELECT path, p, unnest(range(1, len(p))) AS n FROM p), once AS (SELECT p[1:n] AS d, min(path) AS first_path FROM dirs GROUP BY ALL)
             SELECT first_path, (len(d) - 1)::INTEGER AS depth, repeat('  ', len(d) - 1) || '- ' || d[-1] || '/' AS line FROM once
             UNION ALL SELECT path, (len(p) - 1)::INTEGER, repeat('  ', len(p) - 1) || '- ' || p[-1] FROM p""",
-        "tree_report": f"""WITH {FILES_SQL}, p AS (SELECT path, string_split(path, '/') AS p FROM files ORDER BY path LIMIT 80),
-            dirs AS (SELECT path, p, unnest(range(1, len(p))) AS n FROM p), once AS (SELECT p[1:n] AS d, min(path) AS f FROM dirs GROUP BY ALL),
-            lines AS (SELECT f, len(d) - 1 AS depth, repeat('  ', len(d) - 1) || '- ' || d[-1] || '/' AS line FROM once
-                      UNION ALL SELECT path, len(p) - 1, repeat('  ', len(p) - 1) || '- ' || p[-1] FROM p)
-            SELECT string_agg(line, chr(10) ORDER BY f, depth) || (SELECT CASE WHEN count(*) > 80 THEN chr(10) || '... ' || (count(*) - 80) || ' more files omitted' ELSE '' END FROM files) AS output FROM lines""",
-        "read_truncated": f"WITH {FILES_SQL} SELECT path, CASE WHEN length(content) > 500 THEN content[1:500] || chr(10) || '... file truncated' ELSE coalesce(content, '') END AS output FROM files",
-        "preview": f"WITH {FILES_SQL} SELECT path, {_TRIM.format('content[1:300]')} AS preview FROM files WHERE {_TRIM.format('content[1:300]')} <> ''",
+        "tree_report": f"WITH {FILES_SQL} {_tree_sql('files')}",
+        "read_truncated": f"WITH {FILES_SQL} SELECT path, CASE WHEN length(content) > {files_ops.READ_CHARS} THEN content[1:{files_ops.READ_CHARS}] || chr(10) || '... file truncated' ELSE coalesce(content, '') END AS output FROM files",
+        "preview": f"WITH {FILES_SQL} SELECT path, {_TRIM.format(f'content[1:{files_ops.PREVIEW_CHARS}]')} AS preview FROM files WHERE {_TRIM.format(f'content[1:{files_ops.PREVIEW_CHARS}]')} <> ''",
         "path_rules": _path_rules_sql(),
         "replace_once": f"""WITH {FILES_SQL}, counted AS (SELECT path, coalesce(content, '') AS c, (length(c) - length(replace(c, ' the ', ''))) // 5 AS n FROM files)
             SELECT path, n = 1 AS ok, CASE WHEN n = 0 THEN 'old text not found; inspect the file before retrying.' WHEN n > 1 THEN 'old text occurs ' || n || ' times; provide a more specific snippet.' END AS error,
@@ -268,5 +506,6 @@ def oracle_sql() -> dict[str, str]:
         "task_texts": "SELECT doc_id, 'id: ' || doc_id || chr(10) || 'source: local' || chr(10) || 'repo: ' || source || chr(10) || 'task: ' || lang || chr(10) || 'test_command: not configured' AS text FROM documents",
         "symbols_ast": """SELECT doc_id || '.py' AS path, s.ord, s.kind, CASE s.name WHEN 'C' THEN 'C' || doc_id WHEN 'f' THEN 'f' || doc_id ELSE s.name END AS name, s.line
             FROM documents, (VALUES (0, 'class', 'C', 1), (1, 'function', 'f', 7), (2, 'function', 'inner', 2)) AS s(ord, kind, name, line) WHERE doc_id % 5 <> 0""",
+        **_more_sql(),
         "tool_notes": f"SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN '{policy.EDITED_NOTE}' WHEN event_id % 3 = 1 AND event_id % 2 = 1 THEN '{policy.FAILED_NOTE}' END AS note FROM events",
     }
