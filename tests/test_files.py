@@ -208,3 +208,8 @@ def test_snapshot(spark, repo):
 
 def test_text_suffixes(spark):
     assert column(spark, ["a.PY", "a.tar.md", "md", ".md", "x.html"], is_text_file) == [True, True, False, False, True]
+
+
+def test_files_without_content_are_not_scored(spark):
+    files = spark.createDataFrame([("needle/a.md", None), ("needle/b.md", ""), ("c.md", "needle")], "path string, content string")
+    assert [r.path for r in retrieve(files, "needle").collect()] == ["needle/b.md", "c.md"]
