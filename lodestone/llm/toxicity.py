@@ -36,13 +36,14 @@ from itertools import pairwise
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import doc_bucket, materialize
 
 GRAMS = (3, 4, 5, 6, 7, 8)
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 WINDOW_CHARS = 1500
 MIN_Z = 3.0
 MIN_DOCS = 4
@@ -140,17 +141,19 @@ def gram_ratios(sample: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     return rated.where(F.col("z") >= MIN_Z).select("gram", "r")
 
 
-def fit_weights(rows: list[list[int]], toxic: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
+def fit_weights(found: pa.ListArray, toxic: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression over rows of feature numbers, each with its ratio as value (Adam, full batch)."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    index = np.array([i for r in rows for i in r], np.int64)
+    n = len(found)
+    index = found.flatten().to_numpy()
+    owner = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(found).to_numpy())
+    values = ratios[index]
     w = np.zeros(len(ratios) + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     w[-1] = np.log(toxic.mean() / (1 - toxic.mean()))
     for step in range(1, STEPS + 1):
-        z = np.bincount(owner, ratios[index] * w[index], len(rows)) + w[-1]
-        error = (_sigmoid(z) - toxic) / len(rows)
-        slope = np.append(np.bincount(index, ratios[index] * error[owner], len(ratios)) + PENALTY * w[:-1], error.sum())
+        z = np.bincount(owner, values * w[index], n) + w[-1]
+        error = (_sigmoid(z) - toxic) / n
+        slope = np.append(np.bincount(index, values * error[owner], len(ratios)) + PENALTY * w[:-1], error.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w -= STEP_SIZE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1] * ratios, float(w[-1])
@@ -171,10 +174,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         finder = _finder(grams)
         for batch in batches:
             found = [max(_windows(finder, text.as_py()), key=lambda window: sum(ratios[i] for i in window)) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["k", "found", "toxic"])
 
-    rows = sorted((r.found, r.toxic) for r in sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(find, "found array<int>, toxic int").collect())
-    weights, bias = fit_weights([r[0] for r in rows], np.array([r[1] for r in rows], float), ratios)
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("k")).mapInArrow(find, "k long, found array<int>, toxic int").toArrow()
+    # In an order of their own, so that sums of floats are the same on every run.
+    rows = rows.sort_by([("k", "ascending"), ("toxic", "ascending")])
+    weights, bias = fit_weights(rows.column("found").combine_chunks(), rows.column("toxic").to_numpy().astype(float), ratios)
     return Model(dict(zip(grams, weights.tolist(), strict=True)), bias)
 
 
