@@ -47,6 +47,8 @@ SAMPLE_ROWS = 10_000
 WINDOW_CHARS = 1500
 MIN_Z = 3.0
 MIN_DOCS = 4
+#: Counts that a task holds before it passes them on.
+HELD_GRAMS = 300_000
 PENALTY = 1e-4
 STEPS = 300
 STEP_SIZE = 0.05
@@ -123,17 +125,23 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def gram_ratios(sample: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     """(gram, r) of the features."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                counts[toxic.as_py()].update(grams_of(text.as_py()))
+    def rows(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
         grams = list(counts[0].keys() | counts[1].keys())
         for at in range(0, len(grams), 100_000):
             part = grams[at : at + 100_000]
             columns = [pa.array(part, pa.string()), *(pa.array([counts[c][g] for g in part], pa.int64()) for c in (1, 0))]
             yield pa.RecordBatch.from_arrays(columns, ["gram", "p", "q"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                counts[toxic.as_py()].update(grams_of(text.as_py()))
+                if sum(map(len, counts)) > HELD_GRAMS:
+                    yield from rows(counts)
+                    counts = (Counter(), Counter())
+        yield from rows(counts)
+
     counted = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "gram string, p long, q long")
     total = counted.groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= MIN_DOCS)
     p, q = F.col("p") + 1, F.col("q") + 1

@@ -116,6 +116,15 @@ def test_training_equals_a_plain_one(spark, trained):
     assert abs(slope).max() < 2e-3
 
 
+def test_counts_that_are_passed_on_early_add_up(spark, monkeypatch):
+    docs, labels = corpus(80)
+    sample = spark.createDataFrame([(t, labels[i][2]) for i, t, *_ in docs], "text string, toxic int")
+    ratios = lambda: {r.gram: r.r for r in toxicity.gram_ratios(sample, 20, 60).collect()}
+    whole = ratios()
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", 50)
+    assert ratios() == pytest.approx(whole) and whole
+
+
 def test_features_are_scaled_by_log_count_ratios(spark):
     rows = [("zorg", 1)] * 60 + [("mild", 0)] * 120
     got = {r.gram: r.r for r in toxicity.gram_ratios(spark.createDataFrame(rows, "text string, toxic int"), 60, 120).collect()}
