@@ -39,4 +39,4 @@ def test_query_runs(spark, name):
 
 
 def test_an_operator_has_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
