@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import regex as R
 from lodestone.functions import text as T
 from lodestone.functions.paths import is_below, is_text_file, name, parts, skipped
 from lodestone.operators.retrieve import joined, positive
@@ -54,9 +55,16 @@ def checked_pattern(pattern: object) -> str:
 
 
 def grep(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line_no, line) of the lines of text files that match."""
-    each = files.where(is_text_file(F.col("path"))).select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
-    return each.where(F.col("line").rlike(checked_pattern(pattern))).select("path", (F.col("i") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of the lines of text files in which Python's ``re.search`` finds the pattern.
+
+    Texts without what a match has to contain are left out before they are cut.
+    """
+    requirement = R.required(checked_pattern(pattern))
+    texts = files.where(is_text_file(F.col("path")))
+    if requirement is not None:
+        texts = texts.where(R.may_match(F.lower("content"), requirement))
+    each = texts.select("path", F.posexplode(T.lines(F.col("content"))).alias("i", "line"))
+    return each.where(R.searched(F.col("line"), pattern)).select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
 def grep_report(files: DataFrame, pattern: str, base: str = ".", cap: int = GREP_ROWS) -> DataFrame:

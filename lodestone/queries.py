@@ -23,6 +23,8 @@ from lodestone.plans.repo_index import NO_QUERY, SECTIONS, as_context, snapshot
 
 QUERY = "the retrieval of 42 The"
 PATTERN = r"\bthe\b.*\."
+#: What Python takes for characters of a word, in SQL's regular expressions.
+WORD = r"\p{L}\p{N}_"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,12 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = f"""{FILES_SQL},
 parts AS (SELECT path, regexp_split_to_array(content, '\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS ls FROM files WHERE content IS NOT NULL),
 each AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM parts),
-hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '\\bthe\\b.*\\.'))"""
+hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(^|[^{WORD}])the(\\.|[^{WORD}].*\\.)'))"""
+
+
+def grep_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that begin with four words of any language."""
+    return files_ops.grep(_files(spark, sf_dir), r"^(?P<first>\w+) \w+ \w+ \w+\b")
 
 
 def grep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -463,7 +470,7 @@ def _more_sql() -> dict[str, str]:
 
 
 _BUILDERS = (
-    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
+    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
     preview, path_rules, replace_once, unified_diff, command_rules, shell_tokens, tool_calls, trace_events, task_texts, symbols_ast, tool_notes,
     repo_snapshot, repo_context, notes_report, rules_report, symbols_report, definition_scores, one_line_diffs, file_replacements, file_writes,
     document_commands, document_tool_calls, task_checks, settings_rows, run_states, tool_records,
@@ -486,7 +493,8 @@ def oracle_sql() -> dict[str, str]:
         "substring_count": f"SELECT conv_id, turn, {count('the')} AS n_the, {count('en')} AS n_en, {count('anan')} AS n_anan FROM conversations",
         "grep_lines": f"WITH {LINES_SQL} SELECT path, line_no, line FROM hits",
         "grep_report": f"WITH {LINES_SQL}, first AS (SELECT * FROM hits ORDER BY {order}, line_no LIMIT 80) SELECT string_agg(path || ':' || line_no || ': ' || line, chr(10) ORDER BY {order}, line_no) || CASE WHEN count(*) >= 80 THEN chr(10) || '... matches truncated' ELSE '' END AS output FROM first",
-        "html_tag_grep": r"WITH parts AS (SELECT page_id || '.html' AS path, regexp_split_to_array(html, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM pages WHERE html IS NOT NULL), each AS (SELECT path, unnest(range(1, len(ls) + 1))::INTEGER AS line_no, unnest(ls) AS line FROM parts) SELECT path, line_no, line FROM each WHERE regexp_matches(line, '<(h[1-6]|title)\b')",
+        "grep_words": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '^[{WORD}]+ [{WORD}]+ [{WORD}]+ [{WORD}]+')) SELECT path, line_no, line FROM hits",
+        "html_tag_grep": r"WITH parts AS (SELECT page_id || '.html' AS path, regexp_split_to_array(html, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM pages WHERE html IS NOT NULL), each AS (SELECT path, unnest(range(1, len(ls) + 1))::INTEGER AS line_no, unnest(ls) AS line FROM parts) SELECT path, line_no, line FROM each WHERE regexp_matches(line, '<(h[1-6]|title)($|[^\p{L}\p{N}_])')",
         "list_files": f"WITH {FILES_SQL}, first AS (SELECT path FROM files ORDER BY {order} LIMIT 120) SELECT string_agg(path, chr(10) ORDER BY {order}) || CASE WHEN count(*) >= 120 THEN chr(10) || '... output truncated' ELSE '' END AS output FROM first",
         "tree_lines": f"""WITH {FILES_SQL}, p AS (SELECT path, string_split(path, '/') AS p FROM files),
             dirs AS (SELECT path, p, unnest(range(1, len(p))) AS n FROM p), once AS (SELECT p[1:n] AS d, min(path) AS first_path FROM dirs GROUP BY ALL)
