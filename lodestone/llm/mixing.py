@@ -3,23 +3,26 @@
 The words of a source form one stream, cut into blocks of ``block_words``.  A
 source with ``n`` blocks and target ``t`` has the quota ``round(n * t / size)`` of
 the mixture's slots, at most ``cap * n``.  The mixture is dealt in output shards
-of ``shard_slots`` slots.  For each shard the source counts are one multinomial
-draw with the quotas as weights, drawn by strata: the unit interval is cut into
-one stratum a slot with one uniform number each, a hash of shard and stratum, and
-a source gets the slots whose number falls into its part of the interval.  Drawn
-that way a source's total stays within a few slots of its quota, which
-independent numbers would not do.
-
-A running sum of the counts over the shards numbers the slots of a source.  Slot
-``j`` of a source takes block ``perm(j mod n)``, by a permutation for each pass
-over the source, so every block is used once before any block a second time;
-numbers from ``cap * n`` on, which a draw above the quota may give, take nothing.
+of ``shard_slots`` slots.
+
+The source counts of a shard are multinomial, given that all shards together use
+each quota up: the slots of the mixture are numbered by source, and a pseudorandom
+permutation of all numbers says at which place of which shard each is; a shard so
+draws its numbers by the inverse distribution function of the quotas, without
+replacement.  The counts of a shard vary as those of independent draws do (less by
+the part that the shard is of the mixture), and no total misses its quota.
+:func:`shard_counts` has them.  Every slot is computed by itself, so no row of a
+source and shard is made that has no slot.
+
+Slot ``j`` of a source takes block ``perm(j mod n)``, by a permutation for each pass
+over the source, so every block is used once before any block a second time.
 Slots and blocks are joined by index.
 
 The stream order is (bucket of the row, id, size), so offsets are running sums
 within small buckets, within groups of buckets and over the groups; no source is
 sorted in one task.  Rows that repeat source, id and size are counted before that
-and dealt out after it.  Permutations are Feistel networks over a rectangle that
+and dealt out after it, in parts where there are many.  Sources are ranked in
+ranges of ``TASK_SOURCES``.  Permutations are Feistel networks over a rectangle that
 just holds the index range, walked until they land in it, so an index is
 computed, not looked up.
 
@@ -46,14 +49,18 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Slots that a task makes.
 TASK_SLOTS = 1 << 18
-#: Rows of a bucket of the stream order, on average; buckets and shards of a group, whose sums are added up together.
+#: Rows of a bucket of the stream order, on average; buckets of a group, whose sums are added up together; sources of a task; copies of a row that a task deals out.
 BUCKET_DOCS = 32
 GROUP = 4096
+TASK_SOURCES = 20_000
+TASK_COPIES = 1 << 16
 #: Hashes multiply 31 bits, so that products fit a long, and keep the highest HASH_BITS; odd multipliers (fixed values of a known hash).
 BITS, HASH_BITS = (1 << 31) - 1, 24
 MULT_A, MULT_B = 0x7FEB352D, 0x2C1B3C6D
 ROUNDS_SEED = 7919
 ROUNDS = 4
+#: Tells the permutation of all slots from those of the sources.
+ORDER_SALT = 104_729
 #: Steps of a walk.  One that would need more (chance below 1e-100) stops the job, and loses nothing silently.
 WALK = 64
 
@@ -91,29 +98,49 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(word_array(F.col("text"))).cast("long").alias("size"))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a source: sid, weight, size, target, n_blocks, n_slots, first_slot.
+def _earlier(df: DataFrame, value: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all earlier rows: ``part`` numbers ranges of ``order``."""
+    none = F.lit(0).cast("long")
+    totals = df.groupBy("part").agg(F.sum(value).alias("_total"))
+    starts = totals.select("part", F.coalesce(F.sum("_total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), none).alias("_start"))
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = df.withColumn("_within", F.coalesce(F.sum(value).over(own), none))
+    return within.join(starts, "part").withColumn(name, F.col("_start") + F.col("_within")).drop("_start", "_within")
+
 
-    Targets fill up like water: sources ordered by cap over weight are capped as
-    long as their cap is below their part of what the sources before them leave.
-    The windows run over one row a source.
+def _water_level(weighed: DataFrame, share: float) -> float:
+    """What a unit of weight gets: sources whose cap is below that are full, and what they leave is shared by the others.
+
+    Each step is one sum over the sources; full ones stay full, so steps end.
     """
-    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", w).withColumn("most", cap * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), "sid")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    left = F.lit(share) * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    leveled = ranked.withColumn("level", level).withColumn("capped", F.col("most") < F.col("weight") * F.col("level")).withColumn("fill", F.row_number().over(order))
-    settled = leveled.withColumn("final", F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.col("fill"))).over(whole))
-    target = F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.col("weight") * F.col("final"))
+    total, weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not weights:
+        return 0.0
+    level, n_full = share * total / weights, 0
+    while True:
+        full = F.col("most") < F.col("weight") * F.lit(level)
+        count, taken, gone = weighed.agg(F.count_if(full), F.sum(F.when(full, F.col("most"))), F.sum(F.when(full, F.col("weight")))).first()
+        if count == n_full or gone == weights:
+            return level
+        level, n_full = (share * total - taken) / (weights - gone), count
+
+
+def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row a source: source, sid, weight, source_size, target, n_blocks, n_slots, first_slot, all_slots."""
+    order = F.col("source").asc_nulls_last()
+    per = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mixing-sources")
+    in_parts = per.repartitionByRange(1 + per.count() // TASK_SOURCES, order).withColumn("part", F.spark_partition_id())
+    ranked = _earlier(materialize(in_parts, "mixing-parts"), F.lit(1).cast("long"), [order], "sid")
+    weight = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    weighed = materialize(ranked.withColumn("weight", weight).withColumn("most", cap * F.col("source_size")), "mixing-weights")
+    level = F.lit(_water_level(weighed, share))
+    target = F.when(F.col("most") < F.col("weight") * level, F.col("most").cast("double")).otherwise(F.col("weight") * level)
     n_blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     n_slots = F.when(F.col("source_size") > 0, F.least(cap * F.col("n_blocks"), F.floor(F.col("n_blocks") * F.col("target") / F.col("source_size") + 0.5).cast("long"))).otherwise(F.lit(0).cast("long"))
-    counted = settled.withColumn("target", target).withColumn("n_blocks", n_blocks).withColumn("n_slots", n_slots)
-    first = F.coalesce(F.sum("n_slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return counted.withColumn("first_slot", first).withColumn("all_slots", F.sum("n_slots").over(whole)).select("source", F.col("sid").cast("long").alias("sid"), "weight", "source_size", "target", "n_blocks", "n_slots", "first_slot", "all_slots")
+    counted = weighed.withColumn("target", target).withColumn("n_blocks", n_blocks).withColumn("n_slots", n_slots)
+    placed = _earlier(counted, F.col("n_slots"), [F.col("sid")], "first_slot")
+    total = counted.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    return placed.select("source", "sid", "weight", "source_size", "target", "n_blocks", "n_slots", "first_slot", F.lit(total).cast("long").alias("all_slots"))
 
 
 def _before(df: DataFrame, value: Column, order: list[str], name: str, total: str) -> DataFrame:
@@ -129,51 +156,30 @@ def _before(df: DataFrame, value: Column, order: list[str], name: str, total: st
     return within.join(starts, ["sid", "grp"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_start", "_within")
 
 
-def shard_draws(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row a shard and source with slots in it: sid, n_blocks, shard, shard_size, at, count, first.
-
-    ``at`` is the first slot of the source in the shard, ``first`` the number of
-    the first of its ``count`` slots among all slots of the source.
-    """
-    total = targets.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
-    n_shards = -(-total // shard_slots)
-    if not n_shards:
-        return targets.where("false").select("sid", "n_blocks", *[F.lit(0).cast("long").alias(c) for c in ("shard", "shard_size", "at", "count", "first")])
-    numbers = lambda low, high: F.explode(F.sequence(low.cast("long"), high.cast("long")))
-    groups = targets.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "first_slot", "all_slots", numbers(F.lit(0), F.lit((n_shards - 1) // GROUP)).alias("grp"))
-    spread = groups.repartition(1 + n_shards // (8 * GROUP), "sid", "grp")
-    each = spread.select("*", numbers(F.col("grp") * GROUP, F.least((F.col("grp") + 1) * GROUP, F.lit(n_shards)) - 1).alias("shard"))
-    each = each.withColumn("shard_size", F.least(F.lit(shard_slots).cast("long"), F.col("all_slots") - F.col("shard") * shard_slots))
-
-    def slots_below(quota: Column) -> Column:
-        """Slots of the shard whose number is below the first ``quota`` of all slots."""
-        place = quota * F.col("shard_size")
-        rest = place % F.col("all_slots")
-        # Exact, as the division leaves nothing.
-        stratum = F.round((place - rest) / F.col("all_slots")).cast("long")
-        uniform = hashed(hashed(F.col("shard"), F.lit(ROUNDS_SEED)) + stratum, F.lit(1)) / F.lit(float(1 << HASH_BITS))
-        return stratum + (uniform < rest / F.col("all_slots")).cast("long")
-
-    drawn = each.withColumn("at", slots_below(F.col("first_slot"))).withColumn("count", slots_below(F.col("first_slot") + F.col("n_slots")) - F.col("at"))
-    numbered = _before(materialize(drawn.select("sid", "n_blocks", "grp", "shard", "shard_size", "at", "count"), "mixing-draws"), F.col("count"), ["shard"], "first", "in_group")
-    return numbered.where("count > 0").select("sid", "n_blocks", "shard", "shard_size", "at", "count", "first")
-
-
 def slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS, cap: int = CAP) -> DataFrame:
     """One row a slot of the mixture: shard, slot, sid, block, epoch."""
     total = targets.agg(F.coalesce(F.max("all_slots"), F.lit(0))).first()[0]
-    spread = shard_draws(targets, shard_slots).repartition(1 + total // TASK_SLOTS, "sid", "shard")
-    each = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i")).withColumn("j", F.col("first") + F.col("i"))
-    each = each.where(F.col("j") < cap * F.col("n_blocks")).withColumn("epoch", F.floor(F.col("j") / F.col("n_blocks")).cast("long"))
+    numbers = lambda low, high: F.explode(F.sequence(low.cast("long"), high.cast("long")))
+    runs = targets.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "first_slot", "all_slots", numbers(F.lit(0), F.floor((F.col("n_slots") - 1) / GROUP)).alias("run"))
+    spread = runs.repartition(1 + total // TASK_SLOTS, "sid", "run")
+    each = spread.select("sid", "n_blocks", "first_slot", "all_slots", numbers(F.col("run") * GROUP, F.least((F.col("run") + 1) * GROUP, F.col("n_slots")) - 1).alias("j"))
+    each = each.withColumn("epoch", F.floor(F.col("j") / F.col("n_blocks")).cast("long"))
+    place = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(ORDER_SALT).cast("long"))
     block = permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), cap * F.col("sid") + F.col("epoch"))
-    slot = permuted(F.col("at") + F.col("i"), F.col("shard_size"), F.col("shard"))
-    return each.select("shard", slot.alias("slot"), "sid", block.alias("block"), "epoch")
+    placed = each.select(place.alias("place"), "sid", block.alias("block"), "epoch")
+    return placed.select(F.floor(F.col("place") / shard_slots).cast("long").alias("shard"), (F.col("place") % shard_slots).alias("slot"), "sid", "block", "epoch")
+
+
+def shard_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, sid, count): how many slots each source has in each shard that has any."""
+    return slots(targets, shard_slots).groupBy("shard", "sid").agg(F.count("*").alias("count"))
 
 
 def placed_documents(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """The documents with sid, source_size, target and the offset of their words in the source's stream."""
     alike = materialize(sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")), "mixing-alike")
-    n_buckets = max(1, -(-alike.count() // BUCKET_DOCS))
+    n_alike, most = alike.agg(F.count("*"), F.max("copies")).first()
+    n_buckets = max(1, -(-n_alike // BUCKET_DOCS))
     keyed = alike.withColumn("own_source", F.col("source")).drop("source")
     known = keyed.join(targets, keyed.own_source.eqNullSafe(targets.source)).select("doc_id", "size", "copies", "sid", "source_size", "target")
     doc = F.coalesce("doc_id", F.lit(0).cast("long"))
@@ -185,7 +191,15 @@ def placed_documents(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     sums = bucketed.groupBy("sid", "bucket").agg(F.sum(words).alias("in_bucket")).withColumn("grp", F.floor(F.col("bucket") / GROUP).cast("long"))
     starts = _before(sums, F.col("in_bucket"), ["bucket"], "start", "in_group").select("sid", "bucket", "start")
     within = bucketed.withColumn("within", F.coalesce(F.sum(words).over(here), F.lit(0).cast("long"))).join(starts, ["sid", "bucket"])
-    each = within.select("doc_id", "size", "sid", "source_size", "target", (F.col("start") + F.col("within")).alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    at = within.select("doc_id", "size", "sid", "source_size", "target", "copies", (F.col("start") + F.col("within")).alias("start"))
+    numbers = lambda low, high: F.explode(F.sequence(low.cast("long"), high.cast("long")))
+    if (most or 0) > TASK_COPIES:
+        parts = at.withColumn("part", numbers(F.lit(0), F.floor((F.col("copies") - 1) / TASK_COPIES)))
+        at = parts.repartition("sid", "doc_id", "size", "part")
+        low, high = F.col("part") * TASK_COPIES, F.least((F.col("part") + 1) * TASK_COPIES, F.col("copies")) - 1
+    else:
+        low, high = F.lit(0), F.col("copies") - 1
+    each = at.withColumn("copy", numbers(low, high))
     return each.select("doc_id", "size", "sid", "source_size", "target", (F.col("start") + F.col("copy") * F.col("size")).alias("offset"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
-from lodestone.llm.mixing import BITS, BLOCK_WORDS, BUCKET_DOCS, CAP, HASH_BITS, MULT_A, MULT_B, ROUNDS, ROUNDS_SEED, SHARD_SLOTS, SHARE, WEIGHTS, mixed_documents
+from lodestone.llm.mixing import BITS, BLOCK_WORDS, BUCKET_DOCS, CAP, HASH_BITS, MULT_A, MULT_B, ROUNDS, ROUNDS_SEED, SHARE, WEIGHTS, mixed_documents
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,6 @@ def _permuted(name: str, source: str) -> str:
 WALKS = 8
 
 
-def _below(quota: str) -> str:
-    """Slots of a shard whose number is below the first ``quota`` of all slots."""
-    stratum, rest = f"(({quota}) * shard_size // all_slots)", f"(({quota}) * shard_size % all_slots)"
-    uniform = f"({_hashed(f'({_hashed(chr(107), str(ROUNDS_SEED))} + {stratum})', '1')} / {float(1 << HASH_BITS)}::DOUBLE)"
-    return f"({stratum} + CASE WHEN {uniform} < {rest}::DOUBLE / all_slots::DOUBLE THEN 1 ELSE 0 END)"
-
-
 def mixing_sql(source: str = "documents") -> str:
     weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
     folded = f"xor(coalesce(doc_id, 0) & {BITS}, (coalesce(doc_id, 0) >> 31) & {BITS})"
@@ -61,16 +54,6 @@ targets AS (
          ceil(source_size / {BLOCK_WORDS})::BIGINT AS n_blocks FROM settled),
 slotted AS (
   SELECT *, CASE WHEN source_size > 0 THEN least({CAP} * n_blocks, floor(n_blocks * target / source_size + 0.5)::BIGINT) ELSE 0 END AS n_slots FROM targets),
-quotas AS (
-  SELECT *, coalesce(sum(n_slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot,
-         sum(n_slots) OVER ()::BIGINT AS all_slots FROM slotted),
-shards AS (
-  SELECT sid, n_blocks, n_slots, first_slot, all_slots, k, least({SHARD_SLOTS}, all_slots - k * {SHARD_SLOTS}) AS shard_size
-  FROM (SELECT *, unnest(range(0, (all_slots + {SHARD_SLOTS - 1}) // {SHARD_SLOTS})) AS k FROM quotas WHERE n_slots > 0)),
-draws AS (
-  SELECT sid, n_blocks, k, {_below('first_slot + n_slots')} - {_below('first_slot')} AS n FROM shards),
-numbered AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM draws),
 placed AS (
   SELECT doc_id, size, sid, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY sid ORDER BY bucket, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
@@ -83,7 +66,7 @@ pieces AS (
 p AS (
   SELECT sid, n_blocks AS n, j % n_blocks AS v, {CAP} * sid + j // n_blocks AS salt, false AS done,
          ceil(sqrt(n_blocks::DOUBLE))::BIGINT AS a, ceil(n_blocks::DOUBLE / ceil(sqrt(n_blocks::DOUBLE)))::BIGINT AS b
-  FROM (SELECT sid, n_blocks, unnest(range(first, first + n)) AS j FROM numbered) WHERE j < {CAP} * n_blocks),
+  FROM (SELECT sid, n_blocks, unnest(range(0, n_slots)) AS j FROM slotted WHERE n_slots > 0)),
 {",".join(_permuted(f"w{i}", f"w{i - 1}" if i else "p") for i in range(WALKS))},
 times AS (SELECT sid, v AS block, count(*) AS times FROM w{WALKS - 1} GROUP BY sid, v)"""
 

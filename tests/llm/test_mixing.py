@@ -69,38 +69,60 @@ def test_a_permutation_hits_each_index_once(spark):
 def test_slots_fill_shards(spark, mixed):
     targets = mixing.source_targets(mixing.document_sizes(mixed[0]))
     quota = {r.sid: r.n_slots for r in targets.collect()}
-    draws = mixing.shard_draws(targets, shard_slots=50).collect()
+    counts = mixing.shard_counts(targets, shard_slots=50).collect()
     total, by_shard = sum(quota.values()), {}
-    for r in draws:
-        by_shard.setdefault(r.shard, []).append(r)
-    assert sorted(by_shard) == list(range(-(-total // 50)))
-    for shard, own in by_shard.items():
-        # The sources of a shard fill its slots, without a gap.
-        own.sort(key=lambda r: r["at"])
-        assert [r["at"] for r in own] == [0, *(r["at"] + r["count"] for r in own)][:-1]
-        assert own[-1]["at"] + own[-1]["count"] == own[0].shard_size == min(50, total - 50 * shard)
-    assert len({tuple(r["count"] for r in own) for own in by_shard.values()}) > 5
-    for sid, n in quota.items():
-        own = sorted((r for r in draws if r.sid == sid), key=lambda r: r.shard)
-        assert [r["first"] for r in own] == [0, *(sum(x["count"] for x in own[: i + 1]) for i in range(len(own)))][: len(own)]
-        assert abs(sum(r["count"] for r in own) - n) <= 2 * len(by_shard) ** 0.5
+    for r in counts:
+        by_shard.setdefault(r.shard, []).append(r["count"])
+    assert {shard: sum(own) for shard, own in by_shard.items()} == {shard: min(50, total - 50 * shard) for shard in range(-(-total // 50))}
+    assert len({tuple(own) for own in by_shard.values()}) > 5
+    # Every source comes to its quota.
+    assert {sid: sum(r["count"] for r in counts if r.sid == sid) for sid in quota} == quota
 
     slots = mixing.slots(targets, shard_slots=50)
-    assert slots.count() == slots.select("shard", "slot").distinct().count() <= total
+    assert slots.count() == slots.select("shard", "slot").distinct().count() == total
     # No block is used a second time before all blocks were used once.
     uses = slots.groupBy("sid", "block").agg(F.count("*").alias("n"), F.max("epoch").alias("epoch"))
     assert uses.where("n > 2 or n <> epoch + 1").count() == 0
 
 
-def test_draws_follow_the_quotas(spark):
-    """Over many shards a source of a hundredth of the slots gets its share, by draws that differ."""
-    rows = [(0, 10_000_000, 9_900_000, 0), (1, 10_000_000, 99_990, 9_900_000), (2, 10_000_000, 10, 9_999_990)]
-    targets = spark.createDataFrame([(*r, 10_000_000) for r in rows], "sid long, n_blocks long, n_slots long, first_slot long, all_slots long")
-    counts = {0: [], 1: [], 2: []}
-    for r in mixing.shard_draws(targets, shard_slots=130).collect():
-        counts[r.sid].append(r["count"])
-    assert abs(sum(counts[1]) - 99_990) < 1500 and set(counts[1]) == {1, 2} or set(counts[1]) == {1, 2, 3}
-    assert 1 <= sum(counts[2]) <= 30 and abs(sum(map(sum, counts.values())) - 10_000_000) == 0
+def test_counts_of_shards_are_multinomial_draws(spark):
+    """Over 400 shards a count varies as that of independent draws, and no total misses its quota."""
+    quotas, shard = [12_000, 3_900, 24_000, 100], 100
+    rows = [(i, 5_000 + i, n, sum(quotas[:i]), sum(quotas)) for i, n in enumerate(quotas)]
+    targets = spark.createDataFrame(rows, "sid long, n_blocks long, n_slots long, first_slot long, all_slots long")
+    counts = {i: [0] * 400 for i in range(4)}
+    for r in mixing.shard_counts(targets, shard).collect():
+        counts[r.sid][r.shard] = r["count"]
+    assert [sum(counts[i]) for i in range(4)] == quotas
+    assert [sum(own) for own in zip(*counts.values(), strict=True)] == [shard] * 400
+    for i in range(3):
+        p = quotas[i] / sum(quotas)
+        variance = sum((c - shard * p) ** 2 for c in counts[i]) / 400
+        assert abs(variance / (shard * p * (1 - p)) - 1) < 0.2, (i, variance)
+    # The rarest is in 0.25 slots of a shard: most have none, some more than one.
+    assert counts[3].count(0) > 280 and max(counts[3]) > 1
+
+
+def test_many_sources(spark):
+    """A hundred thousand sources make a row for each slot, and none for sources and shards that do not meet."""
+    sizes = spark.range(100_000).select("id", (F.col("id") % 50 + 40).alias("size")).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), "size")
+    targets = mixing.source_targets(sizes).cache()
+    one = targets.agg(F.count("*").alias("n"), F.min("sid").alias("low"), F.max("sid").alias("high"), F.sum("n_slots").alias("slots"), F.max("all_slots").alias("all"), F.sum("target").alias("target"), F.sum("source_size").alias("size")).first()
+    assert (one.n, one.low, one.high) == (100_000, 0, 99_999) and one.slots == one["all"]
+    assert abs(one.target - 1.5 * one["size"]) < 1e-6 * one["size"]
+    assert targets.where("target > 2 * source_size").count() == 0
+    names = sorted(f"s{i}" for i in range(100_000))
+    assert [r.source for r in targets.where("sid in (0, 5000, 99999)").orderBy("sid").collect()] == [names[0], names[5000], names[99_999]]
+    assert mixing.slots(targets).count() == one.slots
+    targets.unpersist()
+
+
+def test_one_row_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_COPIES", 7)
+    docs = spark.createDataFrame([(None, "a b c", "en", "a", 0)] * 100 + [(1, "d", "en", "a", 0)], DOCS)
+    sizes = mixing.document_sizes(docs)
+    placed = mixing.placed_documents(sizes, mixing.source_targets(sizes)).orderBy("offset").collect()
+    assert [r.offset for r in placed] == [0, *(r.offset + r["size"] for r in placed)][:-1] and len(placed) == 101
 
 
 def test_ties_of_null_and_repeated_ids(spark):
