@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: The characters that separate words, as a Java regex class body.
 SPACE = r"\x20\x09-\x0D"
@@ -51,6 +52,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, ``row``; texts as strings."""
+    return F.struct(*[named(c).cast("string").alias(c) if c == "text" else named(c).alias(c) for c in docs.columns]).alias("row")
+
+
+def _holds(kind: DataType, wanted: type) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds(f.dataType, wanted) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _holds(kind.elementType, wanted)
+    if isinstance(kind, MapType):
+        return wanted is MapType or _holds(kind.keyType, wanted) or _holds(kind.valueType, wanted)
+    return isinstance(kind, wanted)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of the struct ``row`` over all columns of ``docs``; maps and variants, which have no hash, by their text."""
+
+    def hashable(name: str) -> Column:
+        column, kind = F.col("row")[name], docs.schema[name].dataType
+        if _holds(kind, VariantType):
+            return F.to_json(F.struct(column.alias("v")))
+        return column.cast("string") if _holds(kind, MapType) else column
+
+    return F.xxhash64(*map(hashable, docs.columns))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 

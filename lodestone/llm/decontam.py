@@ -48,10 +48,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
@@ -303,12 +302,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item; each is judged where it is read."""
 
-    def keep(part: Broadcast, text_at: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                leaking = {row for row, _ in _matches(part.value, batch.column(text_at).to_pylist())}
-                yield batch.filter(pc.invert(pa.array([row in leaking for row in range(batch.num_rows)], pa.bool_())))
+    def leaking(part: Broadcast) -> Column:
+        @F.arrow_udf("boolean")
+        def found(texts: pa.Array) -> pa.Array:
+            rows = {row for row, _ in _matches(part.value, texts.to_pylist())}
+            return pa.array([row in rows for row in range(len(texts))], pa.bool_())
 
-        return run
+        return found(F.col("text").cast("string"))
 
-    return reduce(lambda rows, part: rows.mapInArrow(keep(part, docs.columns.index("text")), docs.schema), benchmark_parts(benchmark), docs)
+    return reduce(lambda rows, part: rows.where(~leaking(part)), benchmark_parts(benchmark), docs)

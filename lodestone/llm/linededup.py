@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, let, materialize
+from lodestone.llm.common import SPACE, let, materialize, whole_row
 
 LONG_LINE = 20
 ROLL = 2
@@ -144,7 +144,7 @@ def _kept(text: Column, runs: Column) -> Column:
 def _cut_rows(docs: DataFrame, divisor: int) -> DataFrame:
     """(row, new_text, n_lines, n_words): each row of ``docs``, what is left of its text and what went."""
     repeats = materialize(repeated_chunks(docs, divisor), "line-repeats")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"))
     found = rows.join(repeats, _same_row(rows, repeats), "left").select("row", "repeats")
     text = F.col("row.text")
     runs = let(_line_structs(text), lambda lines: let(_windows(lines, divisor), lambda chunks: _runs(lines, chunks, F.col("repeats"))))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE, let, materialize, word_array
+from lodestone.llm.common import SPACE, let, materialize, named, whole_row, word_array
 
 #: Rule name -> (score expression over the base columns, its cutoffs from the mildest on).
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -72,7 +72,7 @@ def base_features(docs: DataFrame, stratum: str = "lang", with_row: bool = False
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     carried = ["row"] if with_row else []
-    docs = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", stratum) if with_row else docs
+    docs = docs.select(whole_row(docs), "doc_id", "text", named(stratum).alias(stratum)) if with_row else docs
     words = docs.select(*carried, "doc_id", F.col(stratum).cast("string").alias("stratum"), text.alias("text"), word_array(text).alias("w"))
     n = F.size("w")
     windows = F.when(

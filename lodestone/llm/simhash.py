@@ -30,9 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, row_hash, whole_row
 from lodestone.llm.components import connected_components
 
 SEED = 42
@@ -128,17 +127,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _fingerprinted_rows(docs: DataFrame) -> DataFrame:
-    """(row, fp, rid): the rows as structs, numbered."""
-    at = docs.columns.index("text")
+    """(row, fp, rid): the rows as structs, numbered; only texts go through Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(text.as_py()) for text in batch.column(0).field(at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["row", "fp"])
+    @F.arrow_udf("long")
+    def fingerprinted(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(text.as_py()) for text in texts], pa.int64())
 
-    rows = docs.select(F.struct(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("row"))
-    schema = StructType([*rows.schema.fields, StructField("fp", LongType())])
-    return rows.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.select(whole_row(docs), fingerprinted(F.col("text").cast("string")).alias("fp"))
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -149,7 +145,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     where the numbers of the dropped rows are too many for a broadcast.
     """
     own = materialize(_fingerprinted_rows(docs), "simhash-rows")
-    order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), F.xxhash64("row.text").alias("t"), F.xxhash64("row").alias("r"), "rid")
+    order = F.struct(F.col("row.doc_id").isNull().alias("n"), F.col("row.doc_id").alias("i"), F.xxhash64("row.text").alias("t"), row_hash(docs).alias("r"), "rid")
     rooted = _classes(materialize(own.groupBy("fp").agg(F.min(order).alias("first")), "simhash-distinct"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
     dropped = materialize(own.select("rid").join(kept, "rid", "left_anti"), "simhash-dropped")

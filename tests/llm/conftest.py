@@ -8,7 +8,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names the operators use within.
-CLASHING = ("row", "stratum", "kept", "fp", "size", "th", "idx", "key", "h", "w", "words", "lines", "runs", "chunks", "target", "block", "own_id", "component_id")
+CLASHING = ("row", "stratum", "kept", "fp", "size", "th", "idx", "key", "h", "w", "words", "lines", "runs", "chunks", "target", "block", "own_id", "component_id", "meta.url", "row.text", "back`tick", "two words")
 
 
 def prose(seed: int, n: int) -> str:

@@ -98,6 +98,7 @@ def messy_dir(spark, messy, labels, tmp_path_factory):
     where = tmp_path_factory.mktemp("messy")
     extra = messy.where("doc_id in (6, 8)").withColumn("doc_id", F.lit(None).cast("long"))
     docs = messy.union(extra).withColumns({"n_removed_lines": F.lit(3), "n_lines": F.lit(None).cast("int"), "rid": F.lit("x"), "policy": F.lit(1.5)})
+    docs = docs.withColumns({"pairs": F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)), "any": F.parse_json(F.lit('{"x": [1, null]}')), "deep": F.array(F.struct(F.create_map(F.lit(1), F.lit("v")).alias("m.n"))), "day": F.lit("2024-01-02").cast("date"), "raw": F.lit(b"\x00\xff"), "amount": F.lit("1.50").cast("decimal(20,2)")})
     docs.write.parquet(str(where / "documents.parquet"))
     labels.write.parquet(str(where / "labels.parquet"))
     spark.createDataFrame([(1, prose(1, 80)), (None, None), (2, "")], "item_id long, text string").write.parquet(str(where / "benchmark.parquet"))
