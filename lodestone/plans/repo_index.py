@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import files as files_ops
 from lodestone.operators.retrieve import TOP_K, joined, positive, retrieval_notes
-from lodestone.operators.symbols import symbol_report
+from lodestone.plans.one_pass import sections
 from lodestone.sources.repo import scan_repo
 
 #: Titles of the sections of a snapshot, and what stands for a missing query.
@@ -19,18 +17,8 @@ NO_QUERY = "No task-specific retrieval query provided."
 
 
 def snapshot(files: DataFrame, query: str | None = None, top_k: int = TOP_K, max_files: int = files_ops.TREE_FILES, preview_chars: int = files_ops.PREVIEW_CHARS) -> DataFrame:
-    """(ord, section, output): a row for each section."""
-    positive(top_k)
-    notes = retrieval_notes(files, query, top_k) if query is not None else files.sparkSession.range(1).select(F.lit(NO_QUERY).alias("output"))
-    outputs = {
-        "tree": files_ops.tree_report(files, max_files),
-        "symbols": symbol_report(files),
-        "notes": notes,
-        "rules": files_ops.rules_report(files),
-        "previews": files_ops.preview_report(files, max_files, preview_chars),
-    }
-    rows = [df.select(F.lit(i).alias("ord"), F.lit(section).alias("section"), "output") for i, (section, df) in enumerate(outputs.items())]
-    return reduce(DataFrame.union, rows)
+    """(ord, section, output): a row for each section, from one scan of the files."""
+    return sections(files, query, NO_QUERY, list(SECTIONS), positive(top_k), positive(max_files), preview_chars)
 
 
 def as_context(sections: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ below the root is decided twice, by the rules and just before it is opened.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 from collections.abc import Callable
@@ -48,6 +49,10 @@ class Refused(ValueError):
     """Arguments that a tool does not take."""
 
 
+class Blocked(ValueError):
+    """What a plan raises where a rule forbids the call; the result is marked as blocked."""
+
+
 Plan = Callable[[dict[str, Any]], DataFrame]
 
 
@@ -99,12 +104,22 @@ class ToolRegistry:
             return made.first().asDict()
         except Refused as e:
             return {"ok": False, "output": str(e)}
+        except Blocked as e:
+            return {"ok": False, "output": str(e), "blocked": True}
         except Exception as e:  # whatever a plan raises becomes an observation
-            return {"ok": False, "output": f"Tool error: {type(e).__name__}: {e}"}
+            return {"ok": False, "output": _told(e)}
 
     def run(self, name: str, arguments: object) -> ToolResult:
-        found = self.row(name, arguments)
-        return ToolResult(found["ok"], found["output"])
+        return result_of(self.row(name, arguments))
+
+
+def _told(error: Exception) -> str:
+    return f"Tool error: {type(error).__name__}: {error}"
+
+
+def result_of(row: dict[str, Any]) -> ToolResult:
+    blocked = bool(row.get("blocked"))
+    return ToolResult(row["ok"], row["output"], blocked, row["output"] if blocked else "")
 
 
 def read_plans(spark: SparkSession, root: str) -> dict[str, Plan]:
@@ -125,9 +140,7 @@ def read_plans(spark: SparkSession, root: str) -> dict[str, Plan]:
     def read_file(arguments: dict[str, Any]) -> DataFrame:
         file = one_file(spark, root, arguments)
         limit = _checked(positive, arguments.get("limit", files_ops.READ_CHARS), "read_file limit must be a positive integer.")
-        readable = F.col("content").isNotNull()
-        output = F.when(readable, F.col("output")).otherwise(F.concat(F.lit(files_ops.UNREADABLE), "path"))
-        return files_ops.read_text(file, limit).join(file.select("path", "content"), "path").select(readable.alias("ok"), output.alias("output"))
+        return files_ops.read_text(file, limit).select(F.lit(True).alias("ok"), "output")
 
     def grep(arguments: dict[str, Any]) -> DataFrame:
         pattern, base = _checked(files_ops.checked_pattern, arguments.get("pattern")), found(arguments)
@@ -155,8 +168,9 @@ def edit_plans(spark: SparkSession, root: str) -> dict[str, Plan]:
         old, new = arguments.get("old"), arguments.get("new")
         texts = isinstance(old, str) and isinstance(new, str)
         _required([(texts, "replace_in_file requires string old and new fields."), (old != "", "replace_in_file requires a non-empty old snippet.")])
+        file = one_file(spark, root, arguments)
         edits = spark.createDataFrame([(relative(root, arguments["path"]), old, new)], "path string, old string, new string")
-        return edit.apply_replacements(one_file(spark, root, arguments), edits)
+        return edit.apply_replacements(file, edits)
 
     def write_file(arguments: dict[str, Any]) -> DataFrame:
         path, content = relative(root, arguments["path"]), arguments.get("content")
@@ -175,6 +189,10 @@ def relative(root: str, path: str) -> str:
 def one_file(spark: SparkSession, root: str, arguments: dict[str, Any]) -> DataFrame:
     path = relative(root, arguments["path"])
     _required([(os.path.isfile(os.path.join(root, path)), f"File not found: {arguments['path']}")])
+    try:
+        os.close(os.open(os.path.join(root, path), os.O_RDONLY))
+    except OSError as e:
+        raise Refused(f"{files_ops.UNREADABLE}{e}") from e
     return scan_entries(spark, root, path)
 
 
@@ -195,6 +213,12 @@ class RepoTools:
             text = "null"
         if text == "null":
             return ToolResult(False, NOT_AN_OBJECT)
+        try:
+            return self._run(name, arguments, text)
+        except Exception as e:  # also what a path does that no file can have
+            return ToolResult(False, _told(e))
+
+    def _run(self, name: str, arguments: dict[str, Any], text: str) -> ToolResult:
         path = arguments.get("path", ".")
         links = F.array(*[F.lit(x) for x in links_on(self.root, path)] if isinstance(path, str) else []).cast("array<string>")
         call = self.spark.createDataFrame([(name, text)], "tool string, arguments string")
@@ -203,20 +227,38 @@ class RepoTools:
             return ToolResult(False, blocked, True, blocked)
         found = self.registry.row(name, arguments)
         if found["ok"] and found.get("content") is not None:
-            problem = self._saved(path, found["content"])
-            if problem:
-                return ToolResult(False, problem, True, problem)
+            try:
+                self._save(path, found["content"])
+            except Blocked as e:
+                found = {"ok": False, "output": str(e), "blocked": True}
+            except Exception as e:
+                found = {"ok": False, "output": _told(e)}
+        result = result_of(found)
+        if result.blocked:
+            return result
         note = self.spark.createDataFrame([(name, found["ok"])], "tool string, ok boolean").select(policy.post_tool_note(F.col("tool"), F.col("ok")).alias("n")).first().n
-        return ToolResult(found["ok"], f"{found['output']}\n\nHook note: {note}" if note else found["output"])
+        return result._replace(output=f"{result.output}\n\nHook note: {note}") if note else result
+
+    def _save(self, path: str, content: str) -> None:
+        """Writes one file, if it lies below the root by then.
 
-    def _saved(self, path: str, content: str) -> str | None:
-        """Writes one file; why not, if it does not lie below the root by then."""
+        Folders and the file are opened one from the other and no link is followed,
+        so what was found below the root is what is written.
+        """
         target = os.path.realpath(os.path.join(self.root, path))
         if not target.startswith(self.root.rstrip("/") + "/"):
-            return f"Path escapes repository root: {path}"
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        # The last component has to be what was resolved: a link that came since is not followed.
-        handle = os.open(target, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | os.O_NOFOLLOW, 0o666)
+            raise Blocked(f"Path escapes repository root: {path}")
+        *folders, name = os.path.relpath(target, self.root).split(os.sep)
+        at = os.open(self.root, os.O_RDONLY | os.O_DIRECTORY)
+        try:
+            for folder in folders:
+                with contextlib.suppress(FileExistsError):
+                    os.mkdir(folder, dir_fd=at)
+                below = os.open(folder, os.O_RDONLY | os.O_DIRECTORY | os.O_NOFOLLOW, dir_fd=at)
+                os.close(at)
+                at = below
+            handle = os.open(name, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | os.O_NOFOLLOW, 0o666, dir_fd=at)
+        finally:
+            os.close(at)
         with os.fdopen(handle, "w", encoding="utf-8") as file:
             file.write(content)
-        return None

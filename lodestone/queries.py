@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.paths import is_ignored, is_protected, is_text_file, path_verdict
-from lodestone.operators import edit, policy, records
+from lodestone.operators import edit, policy, records, trigrams
 from lodestone.operators import files as files_ops
+from lodestone.operators.many import retrieve_many
 from lodestone.operators.retrieve import retrieval_notes, retrieve, score_files
 from lodestone.operators.symbols import symbol_report, symbols
 from lodestone.plans.repo_index import NO_QUERY, SECTIONS, as_context, snapshot
+from lodestone.sources.scratch import scratch_folder
 
 QUERY = "the retrieval of 42 The"
 PATTERN = r"\bthe\b.*\."
@@ -47,10 +49,10 @@ def score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_files(_files(spark, sf_dir), QUERY).select("path", F.round("score", 6).alias("score"))
 
 
-def _score_sql(prelude: str = FILES_SQL, files: str = "files", content: str = "content") -> str:
+def _score_sql(prelude: str = FILES_SQL, files: str = "files", content: str = "content", terms=(("the", 2), ("retrieval", 1), ("of", 1), ("42", 1))) -> str:
     """score of each file that has a text."""
     hits = []
-    for term, n in (("the", 2), ("retrieval", 1), ("of", 1), ("42", 1)):
+    for term, n in terms:
         for of, weight in (("low", 1), ("lower(path)", 3)):
             count = f"((length({of}) - length(replace({of}, '{term}', ''))) // {len(term)})"
             hits.append(f"{n} * CASE WHEN {count} > 0 THEN {weight} + ln(1 + {count}) ELSE 0 END")
@@ -90,6 +92,28 @@ def grep_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_ops.grep(_files(spark, sf_dir), r"^(?P<first>\w+) \w+ \w+ \w+\b")
 
 
+RARE_PATTERN = r"(?i)\bpassword\b.*[:=]"
+RARE_QUERY = "secret_token password retrieval Password"
+
+
+def index_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found through a trigram index of all documents."""
+    return trigrams.build(_files(spark, sf_dir), scratch_folder(spark, "trigrams")).grep(RARE_PATTERN)
+
+
+def index_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of a query, found through a trigram index of all documents."""
+    found = trigrams.build(_files(spark, sf_dir), scratch_folder(spark, "trigrams")).retrieve(RARE_QUERY, 20)
+    return found.select("path", F.round("score", 6).alias("score"))
+
+
+def retrieve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three documents of every benchmark text, taken as a query."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = retrieve_many(_files(spark, sf_dir), asked, 3, 300)
+    return found.select(F.col("query_id").alias("item_id"), "rank", "path", F.round("score", 6).alias("score"), "excerpt")
+
+
 def grep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_ops.grep_report(_files(spark, sf_dir), PATTERN)
 
@@ -119,19 +143,19 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_ops.previews(_files(spark, sf_dir))
 
 
-#: Suffixes and folders that paths are made of, by remainder of the id.
+#: Suffixes and folders that paths are made of, by remainder of the text's length.
 _NAMES = ("a.py", "B.MD", "notes.tar.gz", ".env", "id_rsa", "key.pem", "Credentials.json", "noext", ".hidden", "x.yaml")
 _DIRS = ("src", "build", "a/../b", "../out", "node_modules/m", "deep/./er", ".", "/repo/src", "/etc")
 
 
-def _made_path(doc_id: Column) -> Column:
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (doc_id % len(values) + 1).cast("int"))
+def _made_path(n: Column) -> Column:
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
     return F.concat(pick(_DIRS), F.lit("/"), pick(_NAMES))
 
 
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
-    rows = _table(spark, sf_dir, "documents").select("doc_id", _made_path(F.col("doc_id")).alias("path"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", _made_path(F.length("text")).alias("path"))
     return rows.select("doc_id", "path", is_text_file(path).alias("is_text"), is_ignored(path).alias("is_ignored"), is_protected(path).alias("is_protected"), path_verdict(path, policy.DEFAULT_ROOT).alias("verdict"))
 
 
@@ -147,8 +171,8 @@ def _path_rules_sql() -> str:
     below = "[" + ", ".join("NULL" if normal[d] is None else f"'{normal[d]}'" for d in _DIRS) + "]"
     return f"""
 WITH made AS (
-  SELECT doc_id, {_list_sql(_DIRS)}[doc_id % {len(_DIRS)} + 1] || '/' || {_list_sql(_NAMES)}[doc_id % {len(_NAMES)} + 1] AS path,
-         {below}[doc_id % {len(_DIRS)} + 1] AS below, {_list_sql(_NAMES)}[doc_id % {len(_NAMES)} + 1] AS name FROM documents),
+  SELECT doc_id, {_list_sql(_DIRS)}[length(text) % {len(_DIRS)} + 1] || '/' || {_list_sql(_NAMES)}[length(text) % {len(_NAMES)} + 1] AS path,
+         {below}[length(text) % {len(_DIRS)} + 1] AS below, {_list_sql(_NAMES)}[length(text) % {len(_NAMES)} + 1] AS name FROM documents),
 named AS (SELECT *, lower(name) AS low, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS suffix FROM made),
 judged AS (
   SELECT *, suffix IN {tuple(TEXT_SUFFIXES)} AS is_text, list_has_any(string_split(path, '/'), {_list_sql(IGNORED_DIRS)}) AS is_ignored,
@@ -176,7 +200,7 @@ _VERDICTS = (None, "Dangerous command blocked: rm -rf /", "Dangerous shell synta
 
 
 def command_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = F.element_at(F.array(*[F.lit(c) for c in _COMMANDS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_COMMANDS))) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(c) for c in _COMMANDS]), (F.length("text") % len(_COMMANDS) + 1).cast("int"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", pick.alias("command"))
     return rows.select("conv_id", "turn", "command", policy.command_verdict(F.col("command")).alias("verdict"))
 
@@ -229,8 +253,8 @@ def symbols_ast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tool = F.element_at(F.array(F.lit("write_file"), F.lit("run_tests"), F.lit("grep")), (F.col("event_id") % 3 + 1).cast("int"))
-    rows = _table(spark, sf_dir, "events").select("event_id", tool.alias("tool"), (F.col("event_id") % 2 == 0).alias("ok"))
+    tool = F.element_at(F.array(F.lit("write_file"), F.lit("run_tests"), F.lit("grep")), (F.length("props") % 3 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "events").select("event_id", tool.alias("tool"), (F.length("event_type") % 2 == 0).alias("ok"))
     return rows.select("event_id", policy.post_tool_note(F.col("tool"), F.col("ok")).alias("note"))
 
 
@@ -470,7 +494,7 @@ def _more_sql() -> dict[str, str]:
 
 
 _BUILDERS = (
-    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
+    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
     preview, path_rules, replace_once, unified_diff, command_rules, shell_tokens, tool_calls, trace_events, task_texts, symbols_ast, tool_notes,
     repo_snapshot, repo_context, notes_report, rules_report, symbols_report, definition_scores, one_line_diffs, file_replacements, file_writes,
     document_commands, document_tool_calls, task_checks, settings_rows, run_states, tool_records,
@@ -481,6 +505,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _BUILDERS}
 
 
+_START = "greatest(0, coalesce(list_min(list_filter(list_transform(t, lambda x: instr(low, x)), lambda i: i > 0)), 1) - 1 - 100)::BIGINT + 1"
+RETRIEVE_TABLE_SQL = f"""WITH {FILES_SQL},
+asked AS (SELECT item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*|\\p{{Nd}}+|[\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: lower(x)) AS t FROM benchmark),
+times AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(t) AS term FROM asked) GROUP BY ALL),
+lowered AS (SELECT path, content, lower(content) AS low FROM files WHERE content IS NOT NULL),
+counted AS (
+  SELECT path, term, (length(low) - length(replace(low, term, ''))) // length(term) AS n, (length(lower(path)) - length(replace(lower(path), term, ''))) // length(term) AS np,
+         CASE WHEN contains(low, term) AND (contains(low, 'def') OR contains(low, 'class')) THEN len(regexp_extract_all(low, '\\b(?:async\\s+def|def|class)\\s+' || term || '\\b')) ELSE 0 END AS nd
+  FROM lowered, (SELECT DISTINCT term FROM times)),
+weighed AS (
+  SELECT path, term, CASE WHEN n > 0 THEN 1 + ln(1 + n) ELSE 0 END + CASE WHEN np > 0 THEN 3 + ln(1 + np) ELSE 0 END + CASE WHEN nd > 0 THEN 4 + ln(1 + nd) ELSE 0 END AS w
+  FROM counted WHERE n > 0 OR np > 0 OR nd > 0),
+best AS (
+  SELECT item_id, path, round(sum(times * w), 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(times * w), 9) DESC, path)::INTEGER AS rank
+  FROM weighed JOIN times USING (term) GROUP BY item_id, path)
+SELECT item_id, rank, path, round(score, 6) AS score, {_TRIM.format(f'substr(content, {_START}, 300)')} AS excerpt
+FROM best JOIN asked USING (item_id) JOIN lowered USING (path) WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     tokens = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|[\x{4e00}-\x{9fff}]+')"
     count = lambda t: f"((length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)})::BIGINT"
@@ -494,6 +537,9 @@ def oracle_sql() -> dict[str, str]:
         "grep_lines": f"WITH {LINES_SQL} SELECT path, line_no, line FROM hits",
         "grep_report": f"WITH {LINES_SQL}, first AS (SELECT * FROM hits ORDER BY {order}, line_no LIMIT 80) SELECT string_agg(path || ':' || line_no || ': ' || line, chr(10) ORDER BY {order}, line_no) || CASE WHEN count(*) >= 80 THEN chr(10) || '... matches truncated' ELSE '' END AS output FROM first",
         "grep_words": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '^[{WORD}]+ [{WORD}]+ [{WORD}]+ [{WORD}]+')) SELECT path, line_no, line FROM hits",
+        "index_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
+        "index_retrieve": f"WITH {_score_sql(terms=(('secret_token', 1), ('password', 2), ('retrieval', 1)))} SELECT path, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, path LIMIT 20",
+        "retrieve_table": RETRIEVE_TABLE_SQL,
         "html_tag_grep": r"WITH parts AS (SELECT page_id || '.html' AS path, regexp_split_to_array(html, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM pages WHERE html IS NOT NULL), each AS (SELECT path, unnest(range(1, len(ls) + 1))::INTEGER AS line_no, unnest(ls) AS line FROM parts) SELECT path, line_no, line FROM each WHERE regexp_matches(line, '<(h[1-6]|title)($|[^\p{L}\p{N}_])')",
         "list_files": f"WITH {FILES_SQL}, first AS (SELECT path FROM files ORDER BY {order} LIMIT 120) SELECT string_agg(path, chr(10) ORDER BY {order}) || CASE WHEN count(*) >= 120 THEN chr(10) || '... output truncated' ELSE '' END AS output FROM first",
         "tree_lines": f"""WITH {FILES_SQL}, p AS (SELECT path, string_split(path, '/') AS p FROM files),
@@ -507,7 +553,7 @@ def oracle_sql() -> dict[str, str]:
         "replace_once": f"""WITH {FILES_SQL}, counted AS (SELECT path, coalesce(content, '') AS c, (length(c) - length(replace(c, ' the ', ''))) // 5 AS n FROM files)
             SELECT path, n = 1 AS ok, CASE WHEN n = 0 THEN 'old text not found; inspect the file before retrying.' WHEN n > 1 THEN 'old text occurs ' || n || ' times; provide a more specific snippet.' END AS error,
                    CASE WHEN n = 1 THEN replace(c, ' the ', ' THE ') ELSE c END AS content FROM counted""",
-        "command_rules": f"SELECT conv_id, turn, {_list_sql(_COMMANDS)}[(conv_id + turn) % {len(_COMMANDS)} + 1] AS command, [{', '.join('NULL' if v is None else repr(v) for v in _VERDICTS)}][(conv_id + turn) % {len(_COMMANDS)} + 1] AS verdict FROM conversations",
+        "command_rules": f"SELECT conv_id, turn, {_list_sql(_COMMANDS)}[length(text) % {len(_COMMANDS)} + 1] AS command, [{', '.join('NULL' if v is None else repr(v) for v in _VERDICTS)}][length(text) % {len(_COMMANDS)} + 1] AS verdict FROM conversations",
         "shell_tokens": f"SELECT page_id, {any_of(chr(104) + 'tml', policy.SHELL_TOKENS)} AS has_token, {any_of('lower(html)', policy.DANGEROUS)} AS has_dangerous FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)",
         "tool_calls": TOOL_CALLS_SQL,
         "trace_events": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time, user_id::VARCHAR AS run_id, event_type AS event FROM events",
@@ -515,5 +561,5 @@ def oracle_sql() -> dict[str, str]:
         "symbols_ast": """SELECT doc_id || '.py' AS path, s.ord, s.kind, CASE s.name WHEN 'C' THEN 'C' || doc_id WHEN 'f' THEN 'f' || doc_id ELSE s.name END AS name, s.line
             FROM documents, (VALUES (0, 'class', 'C', 1), (1, 'function', 'f', 7), (2, 'function', 'inner', 2)) AS s(ord, kind, name, line) WHERE doc_id % 5 <> 0""",
         **_more_sql(),
-        "tool_notes": f"SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN '{policy.EDITED_NOTE}' WHEN event_id % 3 = 1 AND event_id % 2 = 1 THEN '{policy.FAILED_NOTE}' END AS note FROM events",
+        "tool_notes": f"SELECT event_id, CASE WHEN length(props) % 3 = 0 AND length(event_type) % 2 = 0 THEN '{policy.EDITED_NOTE}' WHEN length(props) % 3 = 1 AND length(event_type) % 2 = 1 THEN '{policy.FAILED_NOTE}' END AS note FROM events",
     }

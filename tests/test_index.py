@@ -1,0 +1,186 @@
+"""The trigram index, retrieval for many queries and the snapshot of one scan, held against the plain operators."""
+
+from __future__ import annotations
+
+import random
+import shutil
+
+import pytest
+
+from lodestone.operators import files as files_ops
+from lodestone.operators import many, trigrams
+from lodestone.operators.many import retrieve_many
+from lodestone.operators.retrieve import retrieve, retrieval_notes
+from lodestone.operators.symbols import symbol_report
+from lodestone.plans.repo_index import NO_QUERY, SECTIONS, snapshot
+
+FILES = "path string, content string"
+
+
+def corpus(n: int = 120) -> list[tuple]:
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "retrieval", "the", "of", "def", "class", "été", "中文", "x1", "42", "ÉCOLE", "K", "İs", "async"]
+    rows = []
+    for i in range(n):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 12))]
+        rows.append((f"{rng.choice(('src', 'doc', 'été'))}/{rng.choice(('a', 'b'))}/{i}{rng.choice(('.py', '.md', '.bin', '.txt'))}", "\n".join(lines)))
+    rows += [("src/rare.py", "async def needle_here(x):\n    return 'Zyzzyva'\n"), ("doc/none.md", None), ("doc/empty.md", ""), ("doc/two.md", "ab"), ("doc/rare.md", "zyzzyva needle_here\n"), ("doc/twice.md", "same"), ("doc/twice.md", "other")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def files(spark):
+    return spark.createDataFrame(corpus(), FILES).cache()
+
+
+@pytest.fixture(scope="module")
+def built(files, tmp_path_factory):
+    trigrams.PART_FILES, kept = 16, trigrams.PART_FILES
+    try:
+        where = str(tmp_path_factory.mktemp("index") / "t")
+        return trigrams.build(files, where), where
+    finally:
+        trigrams.PART_FILES = kept
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+PATTERNS = ["Zyzzyva", "(?i)ZYZZYVA", "needle_here|nothing_at_all", r"\bthe\b.*42", "été", "(?i)École", "中文", "ab$", "^$", r"\w+ \w+", "needle.*nowhere", "absent_text", "x", "(alpha|be)ta gam+a", "(?i)k", "(?:async def)+"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_the_index_finds_what_the_scan_finds(files, built, pattern):
+    assert rows(built[0].grep(pattern)) == rows(files_ops.grep(files, pattern))
+
+
+@pytest.mark.parametrize("query", ["zyzzyva", "needle_here rare", "the of", "42 alpha alpha", "Nothing_There", "", "src", "中文 été"])
+def test_the_index_retrieves_what_the_scan_retrieves(files, built, query):
+    assert rows(built[0].retrieve(query, 5)) == rows(retrieve(files, query, 5))
+
+
+def test_the_index_holds_all_files_in_parts(files, built):
+    stored = built[0].files
+    assert rows(stored.select("path", "content")) == rows(files)
+    assert stored.select("part").distinct().count() > 4 and stored.select("fid").distinct().count() == files.count()
+
+
+def test_only_parts_that_can_hit_are_opened(spark, built, tmp_path):
+    """Parts without a candidate may as well be gone."""
+    where = str(tmp_path / "copy")
+    shutil.copytree(built[1], where)
+    index = trigrams.TrigramIndex(spark, where)
+    need = trigrams.R.required("Zyzzyva")
+    parts = {r.part for r in index.candidates(need).collect()}
+    folders = list((tmp_path / "copy" / "files").glob("part=*"))
+    gone = [p for p in folders if int(p.name.removeprefix("part=")) not in parts]
+    assert len(gone) >= len(folders) - 2 > 2
+    for p in gone:
+        for file in p.glob("*.parquet"):
+            file.write_bytes(b"no parquet")
+    assert rows(index.grep("Zyzzyva")) == [("src/rare.py", 2, "    return 'Zyzzyva'")]
+    assert [r.path for r in index.retrieve("zyzzyva").orderBy("path").collect()] == ["doc/rare.md", "src/rare.py"]
+
+
+def test_trigrams_across_windows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "WINDOW_CHARS", 5)
+    text = "abcdefghijklmnopqrstuvwxyz \U0001f600éß"
+    index = trigrams.build(spark.createDataFrame([("p.txt", text)], FILES), str(tmp_path / "t"))
+    grams = {r.gram for r in spark.read.parquet(f"{index.where}/postings").collect()}
+    assert grams == set(trigrams.trigrams_of("p.txt\n" + text))
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    index = trigrams.build(spark.createDataFrame([], FILES), str(tmp_path / "t"))
+    assert index.grep("abc").count() == 0 and index.retrieve("abc").count() == 0
+
+
+def test_many_queries_are_each_like_one(spark, files):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "The", "of", "42", "zyzzyva", "needle_here", "中文", "rare", "def", "src", "a", "e", "x1", "nothing"]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))) for i in range(60)] + [(100, ""), (101, None), (102, "unheard_of"), (103, "?!")]
+    got = retrieve_many(files, spark.createDataFrame(asked, "query_id long, query string"), 4, 30)
+    found = {}
+    for r in got.where("path <> 'doc/twice.md'").orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.path, round(r.score, 6), r.excerpt))
+    for i, query in asked[:60:6]:
+        want = [(r.path, round(r.score, 6), r.excerpt) for r in retrieve(files, query, 4, 30).collect() if r.path != "doc/twice.md"]
+        assert found.get(i, []) == want, query
+    assert not {100, 101, 102, 103} & set(found)
+
+
+def test_a_hundred_queries_in_passes(spark, files, monkeypatch):
+    asked = spark.createDataFrame([(f"q{i}", w) for i, w in enumerate(["alpha", "beta of", "42", "zyzzyva"] * 5)], "query_id string, query string")
+    once = rows(retrieve_many(files, asked, 3, None))
+    monkeypatch.setattr(many, "PASS_QUERIES", 6)
+    assert rows(retrieve_many(files, asked, 3, None)) == once and len(once) == 60 - 5
+
+
+def test_a_task_passes_on_k_rows_a_query(spark, files):
+    asked = [(i, w) for i, w in enumerate(["alpha", "beta", "the of"])]
+    passed = many._best_of(files.repartition(3), asked, "long", 2)
+    assert passed.count() == 3 * 3 * 2
+    assert retrieve_many(files.where("false"), spark.createDataFrame(asked, "query_id long, query string")).count() == 0
+    assert retrieve_many(files, spark.createDataFrame([], "query_id long, query string")).count() == 0
+
+
+def test_counts_of_overlapping_occurrences():
+    scorer = many.Scorer([["aa", "ana", "1", "٣"]])
+    named = {scorer.terms[i]: n for i, n in scorer.counts("aaaa banana aaa 111 ٣a٣").items()}
+    assert named == {"aa": 3, "ana": 1, "1": 3, "٣": 2}
+    assert many.Scorer([["f", "def"]]).definitions("def def f async  def f class f(f)") == {1: 3, 0: 1}
+
+
+PROJECT = [("AGENT.md", "rules"), ("CLAUDE.md", "more"), ("b.py", "class B:\n    def inner(self): pass\n\ndef late(): pass\n"), ("a.py", "async def a(): pass\n"), ("bad.py", "def ("), ("x/y/z.txt", "needle the\n"), ("x/w.md", "  \n"), ("x.bin", "needle"), ("n.md", None)]
+
+
+def plain_sections(files, query, top_k, max_files):
+    """The sections by their own operators, a scan or more each."""
+    text = lambda df: df.first().output
+    return {
+        "tree": text(files_ops.tree_report(files, max_files)),
+        "symbols": text(symbol_report(files)),
+        "notes": text(retrieval_notes(files, query, top_k)) if query is not None else NO_QUERY,
+        "rules": text(files_ops.rules_report(files)),
+        "previews": text(files_ops.preview_report(files, max_files)),
+    }
+
+
+@pytest.mark.parametrize("query", ["needle the", None, "", "unheard_of"])
+@pytest.mark.parametrize("left_out", [(), ("AGENT.md",), ("AGENT.md", "CLAUDE.md")])
+def test_a_snapshot_is_its_sections(spark, query, left_out):
+    df = spark.createDataFrame([r for r in PROJECT if r[0] not in left_out], FILES).repartition(3)
+    got = {r.section: r.output for r in snapshot(df, query, 2, 4).collect()}
+    assert got == plain_sections(df, query, 2, 4)
+
+
+def test_a_snapshot_of_many_files(spark, files):
+    df = files.where("path not like '%twice%'")
+    got = snapshot(df, "alpha the", 3, 10).orderBy("ord").collect()
+    assert [r.section for r in got] == list(SECTIONS)
+    assert {r.section: r.output for r in got} == plain_sections(df, "alpha the", 3, 10)
+    empty = {r.section: r.output for r in snapshot(df.where("false"), "x").collect()}
+    assert empty == plain_sections(df.where("false"), "x", 8, 80)
+
+
+def test_unreadable_rules(spark):
+    df = spark.createDataFrame([("AGENT.md", None), ("CLAUDE.md", None)], FILES)
+    assert {r.section: r.output for r in snapshot(df).collect()}["rules"] == files_ops.RULES_UNREADABLE
+
+
+def test_a_snapshot_scans_once(spark, tmp_path):
+    spark.createDataFrame(PROJECT, FILES).write.parquet(str(tmp_path / "p"))
+    plan = snapshot(spark.read.parquet(str(tmp_path / "p")), "needle")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_bounded_accumulators_keep_the_first():
+    from lodestone.plans.one_pass import Least
+
+    rng = random.Random(1)
+    all_rows = [(float(rng.randint(0, 3)), f"p{rng.randint(0, 50)}", i, "t") for i in range(500)]
+    own = Least(7)
+    for r in all_rows:
+        own.add(*r)
+    assert own.first() == sorted(all_rows)[:7] and len(own.rows) <= 28

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import policy
 from lodestone.plans import cli
 from lodestone.plans import tools as tools_module
-from lodestone.plans.tools import RepoTools, ToolRegistry, ToolResult
+from lodestone.plans.tools import Blocked, RepoTools, ToolRegistry, ToolResult
 
 from .test_files import write
 
@@ -95,10 +96,50 @@ def test_no_link_leads_out_of_the_root(tools, tmp_path_factory):
         result = run(name, {"path": path, **more})
         assert result.blocked and result.reason == f"Refusing to follow symlink path: {path}", (name, path)
     assert sorted(p.name for p in outside.rglob("*")) == ["sub"] and "evil.txt" not in {p.name for p in root.iterdir()}
-    assert tools[0]._saved("link/../evil.txt", "x") == "Path escapes repository root: link/../evil.txt"
+    with pytest.raises(Blocked, match="^Path escapes repository root: link/../evil.txt$"):
+        tools[0]._save("link/../evil.txt", "x")
+    # A folder that became a link after it was resolved is not followed.
+    (root / "late").symlink_to(outside)
+    with pytest.raises(Blocked):
+        tools[0]._save("late/x.txt", "x")
     assert run("read_file", {"path": "d/../calc.py"}).ok and run("read_file", {"path": f"{root}/calc.py"}).ok
 
 
+def test_a_plan_can_refuse(spark):
+    def refuse(arguments):
+        raise Blocked(f"not {arguments['what']}")
+
+    own = ToolRegistry(no=("never", refuse))
+    assert own.run("no", {"what": "this"}) == ToolResult(False, "not this", True, "not this")
+    assert own.run("no", {}) == ToolResult(False, "Tool error: KeyError: 'what'")
+
+
+def test_every_failure_is_a_result(tools):
+    run, root = tools[0].run, tools[1]
+    for path in ("calc.py/x.txt", "calc.py/y/x.txt", "nul\0.txt", "a" * 300):
+        result = run("write_file", {"path": path, "content": "x"})
+        assert not result.ok and result.output.startswith("Tool error: ") and policy.EDITED_NOTE not in result.output, path
+    (root / "ro").mkdir()
+    (root / "ro").chmod(0o555)
+    if not os.access(root / "ro", os.W_OK):
+        assert run("write_file", {"path": "ro/x.txt", "content": "x"}).output.startswith("Tool error: PermissionError")
+    (root / "ro").chmod(0o755)
+    assert not run("read_file", {"path": "nul\0.txt"}).ok
+
+
+def test_why_a_file_cannot_be_read(tools, monkeypatch):
+    real = os.open
+
+    def denied(path, *a, **b):
+        if str(path).endswith("calc.py"):
+            raise PermissionError(13, "Permission denied", path)
+        return real(path, *a, **b)
+
+    monkeypatch.setattr(tools_module.os, "open", denied)
+    for name, more in (("read_file", {}), ("replace_in_file", {"old": "a", "new": "b"})):
+        assert tools[0].run(name, {"path": "calc.py", **more}).output.startswith("File could not be read: [Errno 13] Permission denied")
+
+
 def test_calls_read_what_they_are_about(spark, tools, monkeypatch):
     seen = []
     real = tools_module.scan_entries
