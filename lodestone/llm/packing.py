@@ -9,14 +9,14 @@ Sum-of-Squares Algorithm for Bin Packing", 2006); ties go to the fullest.  The
 numbers of open windows are kept in one array over the levels, so a placement
 is one expression over that array, whatever number of windows is open.
 
-A task packs the rows it reads, as they come, so nothing is shuffled and no key
-can be hot.  It holds the pieces of its open windows only, ``OPEN_WINDOWS`` at
-most.  What is open when there are more, or when the task ends, is closed: its
-pieces, from the fullest window to the emptiest, are laid end to end and cut
-anew at every window, and what is left at the very end is cut at powers of two,
-as a window that is one needs no padding.  So no window is padded, and only
-pieces of windows that did not fill up are cut, next to documents longer than
-a window.
+A window that lacks ``SPARE`` ids at most counts as full; what it lacks is all the
+padding there is.  A task packs the rows it reads, as they come, so nothing is
+shuffled and no key can be hot.  It holds the pieces of its open windows only,
+``OPEN_WINDOWS`` at most.  What is open when there are more, or when the task ends,
+is closed: its pieces, from the fullest window to the emptiest, are laid end to
+end and cut anew at every window, and what is left at the very end is cut at
+powers of two, as a window that is one needs no padding.  So only pieces of
+windows that did not fill up are cut, next to documents longer than a window.
 
 Ids are those of the tokenizer for the whole text.  Where the tokenizer treats the
 parts between white space each by itself, a task encodes each distinct part once
@@ -47,6 +47,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 4096
 END_ID = 2
+#: Ids that a window may lack and yet counts as full: its padding.
+SPARE = 16
 OPEN_WINDOWS = 2048
 CACHED = 1_000_000
 #: Longer parts are encoded but not kept.
@@ -191,6 +193,7 @@ class Packer:
 
     window: int = WINDOW
     most_open: int = OPEN_WINDOWS
+    spare: int = SPARE
     counts: np.ndarray = field(init=False)
     open: dict[int, list[list[Piece]]] = field(default_factory=dict)
     n_open: int = 0
@@ -204,7 +207,7 @@ class Packer:
         levels = self.window - size + 1
         # (n + 1)^2 - n^2 where the piece comes to, (n - 1)^2 - n^2 where it leaves; full and new windows are no level.
         change = 2 * counts[size : size + levels] + 1
-        change[-1] = 0
+        change[-1 - self.spare :] = 0
         change[1:] += 1 - 2 * counts[1:levels]
         impossible = counts[:levels] == 0
         impossible[0] = False
@@ -222,7 +225,7 @@ class Packer:
             self.n_open -= 1
         own.append(piece)
         level += len(piece)
-        if level == self.window:
+        if level >= self.window - self.spare:
             yield own
             return
         self.open.setdefault(level, []).append(own)
@@ -232,7 +235,7 @@ class Packer:
             yield from self.close()
 
     def close(self) -> Iterator[list[Piece]]:
-        """Closes all open windows; each that is yielded is full or has a power of two of ids."""
+        """Closes all open windows anew; each that is yielded has the window's size or a power of two of ids."""
         held: list[Piece] = [p for level in sorted(self.open, reverse=True) for own in self.open[level] for p in own]
         total = sum(map(len, held))
         sizes = [self.window] * (total // self.window) + [1 << b for b in range(self.window.bit_length() - 1, -1, -1) if total % self.window >> b & 1]
@@ -270,12 +273,12 @@ def of_bytes(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         at, done = stop, int(sizes[stop - 1])
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, most_open: int = OPEN_WINDOWS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, most_open: int = OPEN_WINDOWS, spare: int = SPARE) -> DataFrame:
     """A row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     names = [part.split()[0] for part in _OUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer, end_id), Packer(window, most_open)
+        encode, packer = encoder(tokenizer, end_id), Packer(window, most_open, spare)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
 

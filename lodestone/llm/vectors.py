@@ -31,8 +31,13 @@ def quantised(vector: Column) -> Column:
 
 
 def usable(rows: DataFrame, *more: Column, vector: str = "embedding") -> DataFrame:
-    """``more`` and ``x``, the quantised vector, of the rows with a finite vector."""
-    return rows.where(is_finite(F.col(vector))).select(*more, quantised(F.col(vector)).alias("x"))
+    """``more`` and ``x``, the quantised vector, of the rows with a finite vector; shorter ones are filled up with zeros."""
+    own = rows.where(is_finite(F.col(vector)))
+    least, most = own.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    x = quantised(F.col(vector))
+    if least != most:
+        x = F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size(vector)))
+    return own.select(*more, x.alias("x"))
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
