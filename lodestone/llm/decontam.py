@@ -27,7 +27,8 @@ bound is exact and passes over nearly all of a corpus.
 
 Texts run through in pieces of ``PIECE_WORDS`` words that overlap by the largest
 window, so memory does not grow with a text.  A benchmark of more than
-``PART_CHARS`` characters is searched for in parts, each against all rows; the
+``PART_CHARS`` characters or ``PART_ITEMS`` items (of about 15 KB of index each) is
+searched for in parts, each against all rows; the
 driver builds the index of one part after the other and holds none, and a task
 holds one part at a time for each part's step.
 
@@ -59,7 +60,7 @@ RADIUS = 23
 BLOCKS = 6
 #: What sums of floats may be off.
 SLACK = 1e-6
-PART_CHARS = 1_000_000
+PART_CHARS, PART_ITEMS = 1_000_000, 8192
 PIECE_WORDS = 1 << 15
 
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -253,7 +254,7 @@ def _matches(probes: Probes, texts: list[str | None]) -> dict[tuple[int, int], t
 def benchmark_parts(benchmark: DataFrame) -> list[Broadcast]:
     """The benchmark as broadcast probes, in parts of about PART_CHARS characters, built one after the other."""
     size = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    n_parts = 1 + (size.chars or 0) // PART_CHARS
+    n_parts = 1 + max((size.chars or 0) // PART_CHARS, size.n // PART_ITEMS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

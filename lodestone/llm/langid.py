@@ -6,11 +6,11 @@ match from where the last one ended; the language that needs the fewest phrases,
 times log2 of the length of its reference over the number of characters, wins
 (Ziv and Merhav's cross parsing).  Ties go to the first language by name.
 
-The reference is fitted on a bounded sample: of each language the ``SAMPLE_ROWS``
-rows that come first by hash of the id, of any length, are cut into pieces of
-``PIECE_CHARS`` characters, and the ``SAMPLE_PIECES`` pieces that come first by
-hash are its reference.  Every prediction reads the whole text, and every language
-that has a label is learnt.  The automata of ``GROUP`` languages are one table;
+The reference is fitted on a bounded sample of labelled rows: the whole texts of
+the ``SAMPLE_ROWS`` rows of each language that come first by hash of the id, of those
+with ``SAMPLE_CHARS`` characters at most; of a language that has only longer ones,
+its shortest row.  Every prediction reads the whole text, and every language that
+has a label is learnt.  The automata of ``GROUP`` languages are one table;
 with more languages each row passes one group after the other and keeps its best.
 
 Texts are lower-cased, and what is neither letter nor mark becomes one space.  A
@@ -46,9 +46,8 @@ from lodestone.llm.common import doc_bucket, materialize
 
 UNKNOWN = "und"
 FOLDS = 5
-SAMPLE_ROWS = 100
-SAMPLE_PIECES = 100
-PIECE_CHARS = 240
+SAMPLE_ROWS = 16
+SAMPLE_CHARS = 3000
 #: Languages whose automata share a table.
 GROUP = 32
 #: Places that are tried for a state of several symbols.
@@ -253,29 +252,27 @@ class Parser:
                 yield self.languages[i], float(own[i]), float(own[more[0]]) if more else float("inf")
 
 
-def sample_pieces(labelled: DataFrame) -> DataFrame:
-    """(lang, nth, piece): the sample of each language, from rows (doc_id, text, lang)."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+def sample_rows(labelled: DataFrame) -> DataFrame:
+    """(lang, nth, text): the sample of each language, from rows (doc_id, text, lang)."""
+    size = F.length("text")
+    order = Window.partitionBy("lang").orderBy(F.when(size > SAMPLE_CHARS, size).asc_nulls_first(), F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     usable = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = usable.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_ROWS)
-    numbers = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE_CHARS).cast("int"))
-    pieces = rows.select("lang", "nth", F.explode(numbers).alias("at"), "text").select("lang", "nth", "at", F.substr("text", F.col("at") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece"))
-    chosen = pieces.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("nth", "at"), "nth", "at")))
-    return chosen.where(F.col("n") <= SAMPLE_PIECES).select("lang", F.col("n").alias("nth"), "piece")
+    numbered = usable.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS)
+    return numbered.where((size <= SAMPLE_CHARS) | (F.col("nth") == 1)).select("lang", "nth", "text")
 
 
 def references(rows: DataFrame) -> dict[str, str]:
-    """Language -> reference text, of rows of :func:`sample_pieces`."""
+    """Language -> reference text, of rows of :func:`sample_rows`."""
     parts: dict[str, list[tuple[int, str]]] = {}
     for row in rows.collect():
-        parts.setdefault(row.lang, []).append((row.nth, normalized(row.piece)))
+        parts.setdefault(row.lang, []).append((row.nth, normalized(row.text)))
     texts = {language: "\n".join(part for _, part in sorted(own) if part) for language, own in parts.items()}
     return {language: text for language, text in texts.items() if text}
 
 
 def parsers(labelled: DataFrame) -> list[Broadcast]:
     """The parsers of all languages, a group of GROUP after the other; the driver holds one at a time."""
-    sample = materialize(sample_pieces(labelled), "langid-sample")
+    sample = materialize(sample_rows(labelled), "langid-sample")
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     groups = (references(sample.where(F.col("lang").isin(languages[at : at + GROUP]))) for at in range(0, len(languages), GROUP))
     return [labelled.sparkSession.sparkContext.broadcast(Parser.build(found)) for found in groups if found]

@@ -12,14 +12,15 @@ A text is scored by windows of ``WINDOW_CHARS`` characters, each half over the
 one before, and its score is the highest: chance hits add up over a window only,
 not over a long text.
 
-The classifier is fitted on a bounded sample, the ``SAMPLE_ROWS`` labelled rows,
-of any length, that come first by hash of the id; of each the window with the
+The classifier is fitted on a bounded sample, the ``SAMPLE_ROWS`` labelled ids
+that come first by hash, with one row of any length each (of rows with one id the
+first by hash of the text); of each the window with the
 highest sum of ratios is the training row.  Counts and features of the sample are
 made by Spark tasks, and the driver fits a few thousand weights.  Every score
 reads the whole text, in one pass of an Aho-Corasick automaton over the features.
 
-Defined results: null and empty texts get the score of no features; labels that
-are null or contradict each other for one id teach nothing; with fewer than two
+Defined results: null and empty texts get the score of no features; labels other
+than 0 and 1 count as none, and those that contradict each other for one id teach nothing; with fewer than two
 classes to learn from every score is the share of toxic rows (0 without rows);
 repeated rows score alike; an empty table gives an empty result.  Only
 ``doc_id`` and ``text`` are read; ids pick training rows and are no feature.
@@ -116,10 +117,13 @@ def _windows(finder, text: str | None) -> list[list[int]]:
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the bounded sample; contradicting labels are left out."""
-    agreed = labels.where("toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("hi")).where("toxic = hi")
+    agreed = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("hi")).where("toxic = hi")
     # The ids of the sample come first, so that only its texts are joined.
-    chosen = docs.select("doc_id").join(agreed, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select("doc_id", "toxic").distinct()
-    return docs.select("doc_id", "text").join(F.broadcast(materialize(chosen, "toxicity-ids")), "doc_id").select("text", "toxic")
+    labelled = docs.select("doc_id").join(agreed, "doc_id").select("doc_id", "toxic").distinct()
+    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(materialize(chosen, "toxicity-ids")), "doc_id")
+    # One row an id, however many share it.
+    return rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
 def gram_ratios(sample: DataFrame, n_toxic: int, n_other: int) -> DataFrame:

@@ -57,7 +57,7 @@ def test_phrases_equal_a_plain_parse_of_the_whole_text(monkeypatch, segment):
 def test_predictions_equal_a_plain_parse(spark, spoken, monkeypatch):
     """Sampling aside, the whole operator; also with a table for each language."""
     learnt = spoken.where(~langid.held_out())
-    found = langid.references(langid.sample_pieces(learnt))
+    found = langid.references(langid.sample_rows(learnt))
     docs = spoken.where("doc_id % 5 = 0").select("doc_id", "text")
     want = {r.doc_id: brute_identify(found, r.text) for r in docs.collect()}
     for size in (32, 1):
@@ -126,7 +126,7 @@ def test_predictions_do_not_read_labels(spark, spoken):
 
 
 def test_whole_texts_are_read(spark, spoken):
-    parser = langid.Parser.build(langid.references(langid.sample_pieces(spoken)))
+    parser = langid.Parser.build(langid.references(langid.sample_rows(spoken)))
     mixed = speech(1, 400, TONGUES["aa"]) + " " + speech(2, 40_000, TONGUES["bb"])
     assert [p[0] for p in parser.best([langid.normalized(mixed)])] == ["bb"]
 

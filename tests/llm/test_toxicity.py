@@ -148,3 +148,13 @@ def test_messy_rows_and_empty_tables(messy, no_docs, labels, trained):
     none = toxicity.train(messy, labels.where("toxic is null"))
     assert none.weights == {} and {r.score for r in toxicity.score_toxicity(messy, none).collect()} == {0.0}
     assert 0 <= toxicity.score_toxicity(messy, toxicity.train(messy, labels)).agg(F.max("score")).first()[0] <= 1
+
+
+def test_repeated_training_rows_take_one_place_each(spark, monkeypatch):
+    """One id on most rows is one row of the sample, and labels other than 0 and 1 are none."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    docs = spark.createDataFrame([(1, f"copy {i % 3}") for i in range(3000)] + [(i, f"text {i}") for i in range(2, 60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(2, 7), (3, 0)] + [(50, 2), (None, 1)], "doc_id long, toxic int")
+    rows = [tuple(r) for r in toxicity.training_sample(docs, labels).collect()]
+    assert len(rows) == len(set(rows)) == 20 and {t for _, t in rows} == {0, 1}
+    assert sum(text.startswith("copy") for text, _ in rows) <= 1 and "text 3" not in {text for text, _ in rows}
