@@ -15,6 +15,8 @@ from lodestone.operators.retrieve import joined, positive
 # How many rows a report shows, and its messages.
 LIST_ROWS, GREP_ROWS, TREE_FILES, PREVIEW_CHARS, READ_CHARS = 120, 80, 80, 1200, 12_000
 RULE_FILES = ("AGENT.md", "CLAUDE.md")
+#: Files of the first batch of a search that stops early, and of the largest.
+FIRST_FILES, MOST_FILES = 64, 4096
 NO_RULES = "No project-specific AGENT.md or CLAUDE.md found. Follow safe minimal-change defaults."
 UNREADABLE = "File could not be read: "
 RULES_UNREADABLE = "Project rules file exists but could not be read. Follow safe minimal-change defaults."
@@ -67,9 +69,42 @@ def grep(files: DataFrame, pattern: str) -> DataFrame:
     return each.where(R.searched(F.col("line"), pattern)).select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
-def grep_report(files: DataFrame, pattern: str, base: str = ".", cap: int = GREP_ROWS) -> DataFrame:
-    hits = grep(visible(files, base), pattern).select(parts(F.col("path")).alias("p"), "line_no", "path", "line")
-    return _capped(hits, ["p", "line_no"], F.format_string("%s:%d: %s", "path", "line_no", "line"), cap, "... matches truncated", "No matches found.")
+def first_hits(files: DataFrame, pattern: str, cap: int, names: DataFrame | None = None) -> list:
+    """The first rows (p, line_no, path, line) of :func:`grep` in order of the components of paths, ``cap`` at most.
+
+    Files are searched in batches in that order, each larger than the one before,
+    until there are enough rows: a report of a few lines reads a few files, where
+    most have a hit.  What follows ``MOST_FILES`` files is searched at once.  ``names`` has
+    the paths, where reading ``files`` for them would read contents too.
+    """
+    order = parts(F.col("path"))
+    left = (files if names is None else names).where(is_text_file(F.col("path"))).select(order.alias("p"), "path")
+    found, after, size = [], None, FIRST_FILES
+
+    def hits(some: DataFrame) -> list:
+        return grep(some, pattern).select(order.alias("p"), "line_no", "path", "line").orderBy("p", "line_no").limit(cap - len(found)).collect()
+
+    while len(found) < cap:
+        rest = left if after is None else left.where(F.col("p") > after)
+        if size > MOST_FILES:
+            return found + hits(files if after is None else files.where(order > after))
+        batch = rest.orderBy("p").limit(size).collect()
+        if not batch:
+            break
+        found += hits(files.where(F.col("path").isin(*{r.path for r in batch})))
+        after = F.array(*[F.lit(x) for x in batch[-1].p])
+        if len(batch) < size:
+            break
+        size *= 4
+    return found
+
+
+def grep_report(files: DataFrame, pattern: str, base: str = ".", cap: int = GREP_ROWS, names: DataFrame | None = None) -> DataFrame:
+    """The first lines that match, as one text; see :func:`first_hits`."""
+    checked_pattern(pattern)
+    rows = first_hits(visible(files, base), pattern, cap, None if names is None else visible(names, base))
+    few = files.sparkSession.createDataFrame([tuple(r) for r in rows], "p array<string>, line_no int, path string, line string")
+    return joined(few, ["p", "line_no"], F.format_string("%s:%d: %s", "path", "line_no", "line"), "\n", "No matches found.", cap, "... matches truncated")
 
 
 def previews(files: DataFrame, chars: int = PREVIEW_CHARS) -> DataFrame:

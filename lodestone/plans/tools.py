@@ -144,7 +144,7 @@ def read_plans(spark: SparkSession, root: str) -> dict[str, Plan]:
 
     def grep(arguments: dict[str, Any]) -> DataFrame:
         pattern, base = _checked(files_ops.checked_pattern, arguments.get("pattern")), found(arguments)
-        return files_ops.grep_report(rows(base), pattern, base)
+        return files_ops.grep_report(rows(base), pattern, base, names=rows(base, contents=False))
 
     def retrieve_context(arguments: dict[str, Any]) -> DataFrame:
         query = arguments.get("query")

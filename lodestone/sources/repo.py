@@ -8,18 +8,21 @@ row with null content, and so is a file that cannot be read.
 
 A scan may begin at a folder or file below the root (``base``), and leave
 contents out (``contents=False``), so that a question about one path or about
-names alone reads no more than that.
+names alone reads no more than that.  Conditions on ``path`` (equality, ``IN``, what it
+begins or ends with or contains) are pushed into the source: a plain ``where``
+enters no folder and opens no file that they leave out.
 """
 
 from __future__ import annotations
 
 import contextlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 
 from lodestone.functions.paths import IGNORED_DIRS
 from lodestone.functions.text import decoded
@@ -47,9 +50,57 @@ def _entries(folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
     return below, [e for e in entries if not e.is_dir(follow_symlinks=False) and e.name not in IGNORED_DIRS]
 
 
+@dataclass
+class _Paths:
+    """What pushed conditions say about paths: those wanted (None: any), and texts that they begin with, end with or contain."""
+
+    wanted: frozenset[str] | None = None
+    starts: list[str] = field(default_factory=list)
+    ends: list[str] = field(default_factory=list)
+    parts: list[str] = field(default_factory=list)
+
+    def takes(self, condition: Filter) -> bool:
+        """Adds a condition, if it is one of these."""
+        if getattr(condition, "attribute", None) != ("path",):
+            return False
+        if isinstance(condition, (EqualTo, In)):
+            values = {condition.value} if isinstance(condition, EqualTo) else set(condition.value)
+            # A comparison with null is never true.
+            values = frozenset(v for v in values if v is not None)
+            self.wanted = values if self.wanted is None else self.wanted & values
+            return True
+        for kind, texts in ((StringStartsWith, self.starts), (StringEndsWith, self.ends), (StringContains, self.parts)):
+            if isinstance(condition, kind):
+                texts.append(condition.value)
+                return True
+        return False
+
+    def keep(self, path: str) -> bool:
+        return (self.wanted is None or path in self.wanted) and all(map(path.startswith, self.starts)) and all(map(path.endswith, self.ends)) and all(t in path for t in self.parts)
+
+    def enter(self, folder: str) -> bool:
+        """Whether a path below a folder can be kept; the root is ``.``."""
+        below = "" if folder == "." else folder + "/"
+        return (self.wanted is None or any(p.startswith(below) for p in self.wanted)) and all(s.startswith(below) or below.startswith(s) for s in self.starts)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, root: str, base: str, contents: bool) -> None:
         self.root, self.start, self.contents = root, os.path.normpath(os.path.join(root, base)), contents
+        self.paths = _Paths()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes conditions on paths; the others are left to Spark."""
+        for condition in filters:
+            if not self.paths.takes(condition):
+                yield condition
+
+    def _name(self, path: str) -> str:
+        return os.path.relpath(path, self.root).replace(os.sep, "/")
+
+    def _below(self, folder: str) -> list[str]:
+        """The folders in a folder that can hold a path that is kept."""
+        return [e.path for e in _entries(folder)[0] if self.paths.enter(self._name(e.path))]
 
     def partitions(self) -> list[_Folder]:
         if not os.path.isdir(self.start) or os.path.islink(self.start):
@@ -57,11 +108,13 @@ class _Reader(DataSourceReader):
         shallow, level = [], [self.start]
         while level and len(shallow) + len(level) < ENOUGH_FOLDERS:
             shallow += level
-            level = [e.path for folder in level for e in _entries(folder)[0]]
+            level = [below for folder in level for below in self._below(folder)]
         return [_Folder(p, False) for p in shallow] + [_Folder(p, True) for p in level]
 
     def _row(self, path: str) -> Iterator[tuple]:
-        name = os.path.relpath(path, self.root).replace(os.sep, "/")
+        name = self._name(path)
+        if not self.paths.keep(name):
+            return
         if os.path.islink(path):
             yield name, None, True
         elif os.path.isfile(path):
@@ -77,10 +130,10 @@ class _Reader(DataSourceReader):
             return
         todo = [partition.path]
         while todo:
-            folders, files = _entries(todo.pop())
+            folder = todo.pop()
             if partition.deep:
-                todo += [e.path for e in folders]
-            for entry in files:
+                todo += self._below(folder)
+            for entry in _entries(folder)[1]:
                 yield from self._row(entry.path)
 
 
@@ -106,6 +159,8 @@ def checked_root(root: str) -> str:
 def scan_entries(spark: SparkSession, root: str, base: str = ".", contents: bool = True) -> DataFrame:
     """All rows of the source at or below ``base``, links included, with contents as text."""
     spark.dataSource.register(RepoFiles)
+    # Off by default, and needed by a source that takes conditions.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("repo_files").option("base", base).option("contents", str(contents).lower())
     return reader.load(checked_root(root)).withColumn("content", decoded(F.col("content")))
 

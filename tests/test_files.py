@@ -55,6 +55,58 @@ def repo(tmp_path_factory):
     return root
 
 
+def test_conditions_reach_the_source(spark, repo, monkeypatch):
+    """A plain condition on paths opens no other file and enters no other folder."""
+    import builtins
+
+    from pyspark.sql.datasource import EqualTo, In, IsNotNull, StringContains, StringEndsWith, StringStartsWith
+
+    from lodestone.sources import repo as source
+
+    def read(*conditions):
+        reader = source._Reader(str(repo), ".", True)
+        left, opened, entered = list(reader.pushFilters(list(conditions))), [], []
+        real_open, real_entries = builtins.open, source._entries
+        monkeypatch.setattr(builtins, "open", lambda p, *a, **b: opened.append(str(p)) or real_open(p, *a, **b))
+        monkeypatch.setattr(source, "_entries", lambda folder: entered.append(folder) or real_entries(folder))
+        rows = sorted(r[0] for p in reader.partitions() for r in reader.read(p))
+        monkeypatch.undo()
+        return left, rows, sorted(p.removeprefix(f"{repo}/") for p in opened), {p.removeprefix(str(repo)) for p in entered}
+
+    at = ("path",)
+    assert read(EqualTo(at, "calc.py")) == ([], ["calc.py"], ["calc.py"], {""})
+    assert read(In(at, ("tests/test_calc.py", None, "no.py"))) == ([], ["tests/test_calc.py"], ["tests/test_calc.py"], {"", "/tests"})
+    assert read(StringStartsWith(at, "tests/t"))[1:] == (["tests/test_calc.py"], ["tests/test_calc.py"], {"", "/tests"})
+    left, rows, opened, _ = read(StringEndsWith(at, ".py"), StringContains(at, "calc"), IsNotNull(at), EqualTo(("is_symlink",), False))
+    assert len(left) == 2 and rows == opened == ["calc.py", "tests/test_calc.py"]
+    assert read(EqualTo(at, None))[1] == [] and read(EqualTo(at, "a"), EqualTo(at, "b"))[1] == []
+
+    scan = scan_repo(spark, str(repo))
+    assert [r.path for r in scan.where("path = 'calc.py'").collect()] == ["calc.py"]
+    assert sorted(r.path for r in scan.where("path like '%.py'").collect()) == ["calc.py", "pkg/__init__.py", "tests/test_calc.py"]
+    assert [r.path for r in scan.where("path like 'tests/%' and content like '%minus%'").collect()] == ["tests/test_calc.py"]
+    assert sorted(r.path for r in scan.where("path in ('calc.py', 'AGENT.md') or path = 'bad.txt'").collect()) == ["AGENT.md", "bad.txt", "calc.py"]
+
+
+def test_a_search_stops_early(spark, monkeypatch):
+    """Files behind those that fill the report are not read."""
+    monkeypatch.setattr(files_ops, "FIRST_FILES", 3)
+    monkeypatch.setattr(files_ops, "MOST_FILES", 12)
+    rows = [(f"d{i:02}/f.md", "no\nneedle\nneedle" if i % 2 else "no") for i in range(40)] + [("d00-x.md", "needle"), ("d01/f.md", "needle again")]
+    files = spark.createDataFrame(rows, FILES)
+    plain = [r for _, r in sorted((r.path.split("/"), (r.path, r.line_no)) for r in files_ops.grep(files, "needle").collect())]
+    for cap in (1, 4, 5, 9, 39, 80):
+        assert [(r.path, r.line_no) for r in files_ops.first_hits(files, "needle", cap)] == plain[:cap]
+    late = F.when(F.col("path") > "d03", F.raise_error(F.lit("read"))).otherwise(F.col("content"))
+    guarded = files.withColumn("content", late)
+    assert [r.path for r in files_ops.first_hits(guarded, "needle", 4, files.select("path"))] == [r[0] for r in plain[:4]]
+    with pytest.raises(Exception, match="read"):
+        files_ops.first_hits(guarded, "needle", 20, files.select("path"))
+    assert files_ops.first_hits(files, "nothing", 5) == []
+    report = files_ops.grep_report(files, "needle", cap=2).first().output
+    assert report == "d00-x.md:1: needle\nd01/f.md:1: needle again\n... matches truncated" or report.endswith("... matches truncated")
+
+
 def test_scan(spark, repo):
     rows = {r.path: r.content for r in scan_repo(spark, str(repo)).collect()}
     assert sorted(rows) == [".hidden/x.txt", "AGENT.md", "_under/y.md", "bad.txt", "calc.py", "credentials.json", "pkg/__init__.py", "tests/test_calc.py"]

@@ -147,7 +147,7 @@ def test_calls_read_what_they_are_about(spark, tools, monkeypatch):
     run = tools[0].run
     assert run("read_file", {"path": "calc.py"}).ok and run("finish").ok and run("list_files", {"path": "d"}).output == "d/x.txt"
     assert run("grep", {"pattern": "needle", "path": "d/x.txt"}).output.startswith("d/x.txt:1: needle")
-    assert seen == [("calc.py", True), ("d", False), ("d/x.txt", True)]
+    assert seen == [("calc.py", True), ("d", False), ("d/x.txt", True), ("d/x.txt", False)]
 
 
 def test_arguments_that_are_no_json(tools):
