@@ -20,7 +20,9 @@ from lodestone.operators import files as files_ops
 from lodestone.operators.many import retrieve_many
 from lodestone.operators.retrieve import retrieval_notes, retrieve, score_files
 from lodestone.operators.symbols import symbol_report, symbols
+from lodestone.plans import table_functions
 from lodestone.plans.repo_index import NO_QUERY, SECTIONS, as_context, snapshot
+from lodestone.sources.repo import scan_repo, write_tree
 from lodestone.sources.scratch import scratch_folder
 
 QUERY = "the retrieval of 42 The"
@@ -353,6 +355,30 @@ def file_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit.apply_replacements(files, edits)
 
 
+def written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the parts after the edits, written as a tree and scanned again."""
+    files = _parts(spark, sf_dir)
+    old = F.when(F.col("p_size") % 5 == 1, F.lit("d")).otherwise(F.lit("widget"))
+    edits = files.select("path", old.alias("old"), F.col("p_brand").alias("new"))
+    root = scratch_folder(spark, "tree")
+    write_tree(edit.updated_files(files, edit.apply_replacements(files, edits)), root.removeprefix("file:"))
+    return scan_repo(spark, root.removeprefix("file:"))
+
+
+def sql_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found by the table function of SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT path, line_no, line FROM grep_files(TABLE({files}), {pattern}) WHERE error IS NULL", files=_files(spark, sf_dir), pattern=RARE_PATTERN)
+
+
+def sql_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best two documents of each language, each language being a partition of the table."""
+    table_functions.register(spark)
+    files = _files(spark, sf_dir).withColumn("lang", F.split("path", "/")[1])
+    found = spark.sql("SELECT * FROM best_files(TABLE({files}) PARTITION BY (lang), {query}, 2)", files=files, query=QUERY)
+    return found.select("path", "rank", F.round("score", 6).alias("score"))
+
+
 def file_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One write a part: changed, unchanged and new files, and contents that are null."""
     files = _parts(spark, sf_dir)
@@ -494,7 +520,7 @@ def _more_sql() -> dict[str, str]:
 
 
 _BUILDERS = (
-    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
+    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, sql_grep, sql_best_files, written_tree, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
     preview, path_rules, replace_once, unified_diff, command_rules, shell_tokens, tool_calls, trace_events, task_texts, symbols_ast, tool_notes,
     repo_snapshot, repo_context, notes_report, rules_report, symbols_report, definition_scores, one_line_diffs, file_replacements, file_writes,
     document_commands, document_tool_calls, task_checks, settings_rows, run_states, tool_records,
@@ -540,6 +566,9 @@ def oracle_sql() -> dict[str, str]:
         "index_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
         "index_retrieve": f"WITH {_score_sql(terms=(('secret_token', 1), ('password', 2), ('retrieval', 1)))} SELECT path, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, path LIMIT 20",
         "retrieve_table": RETRIEVE_TABLE_SQL,
+        "sql_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
+        "sql_best_files": f"WITH {_score_sql()}, ranked AS (SELECT path, round(score, 9) AS score, row_number() OVER (PARTITION BY string_split(path, '/')[2] ORDER BY round(score, 9) DESC, path)::INTEGER AS rank FROM scored WHERE score > 0) SELECT path, rank, round(score, 6) AS score FROM ranked WHERE rank <= 2",
+        "written_tree": f"WITH {PARTS_SQL}, e AS (SELECT path, content, p_brand, CASE WHEN p_size % 5 = 1 THEN 'd' ELSE 'widget' END AS old FROM parts) SELECT path, CASE WHEN (length(content) - length(replace(content, old, ''))) // length(old) = 1 THEN replace(content, old, p_brand) ELSE content END AS content FROM e",
         "html_tag_grep": r"WITH parts AS (SELECT page_id || '.html' AS path, regexp_split_to_array(html, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM pages WHERE html IS NOT NULL), each AS (SELECT path, unnest(range(1, len(ls) + 1))::INTEGER AS line_no, unnest(ls) AS line FROM parts) SELECT path, line_no, line FROM each WHERE regexp_matches(line, '<(h[1-6]|title)($|[^\p{L}\p{N}_])')",
         "list_files": f"WITH {FILES_SQL}, first AS (SELECT path FROM files ORDER BY {order} LIMIT 120) SELECT string_agg(path, chr(10) ORDER BY {order}) || CASE WHEN count(*) >= 120 THEN chr(10) || '... output truncated' ELSE '' END AS output FROM first",
         "tree_lines": f"""WITH {FILES_SQL}, p AS (SELECT path, string_split(path, '/') AS p FROM files),

@@ -8,7 +8,7 @@ row with null content, and so is a file that cannot be read.
 
 A scan may begin at a folder or file below the root (``base``), and leave
 contents out (``contents=False``), so that a question about one path or about
-names alone reads no more than that.  Conditions on ``path`` (equality, ``IN``, what it
+names alone reads no more than that.  :func:`write_tree` is the way back.  Conditions on ``path`` (equality, ``IN``, what it
 begins or ends with or contains) are pushed into the source: a plain ``where``
 enters no folder and opens no file that they leave out.
 """
@@ -17,12 +17,17 @@ from __future__ import annotations
 
 import contextlib
 import os
+import shutil
+import time
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from lodestone.functions.paths import IGNORED_DIRS
 from lodestone.functions.text import decoded
@@ -137,6 +142,84 @@ class _Reader(DataSourceReader):
                 yield from self._row(entry.path)
 
 
+@dataclass
+class _Staged(WriterCommitMessage):
+    """The folder that an attempt of a task has filled."""
+
+    folder: str
+
+
+def _checked_target(path: str | None) -> list[str]:
+    """The components of a path that a tree can hold."""
+    steps = (path or "").split("/")
+    if any(s in ("", ".", "..") or "\0" in s for s in steps):
+        raise ValueError(f"Not a path within a tree: {path!r}")
+    return steps
+
+
+class _Writer(DataSourceWriter):
+    """Writes a new tree: tasks fill folders of their own beside it, and the tree appears as a whole or not at all."""
+
+    def __init__(self, root: str, columns: list[str]) -> None:
+        self.root, self.columns = os.path.abspath(root), columns
+        if not {"path", "content"} <= set(columns):
+            raise ValueError("A file tree is written from path and content.")
+        if os.path.lexists(self.root):
+            raise ValueError(f"A file tree is written to a new place; this one is taken: {self.root}")
+        self.staging = f"{self.root}.staging-{uuid.uuid4().hex}"
+        # Tasks fill folders in this one and do not make it: one that runs on after the end has no place any more.
+        os.makedirs(self.staging)
+
+    def write(self, iterator: Iterator[Row]) -> _Staged:
+        folder = os.path.join(self.staging, f"attempt-{TaskContext.get().taskAttemptId()}")
+        os.mkdir(folder)
+        path_at, content_at = self.columns.index("path"), self.columns.index("content")
+        for row in iterator:
+            steps, content = _checked_target(row[path_at]), row[content_at]
+            if content is None:
+                raise ValueError(f"A file without content cannot be written: {row[path_at]}")
+            for i in range(1, len(steps)):
+                with contextlib.suppress(FileExistsError):
+                    os.mkdir(os.path.join(folder, *steps[:i]))
+            # A path that comes twice fails here, or when the tree is put together.
+            with open(os.path.join(folder, *steps), "xb") as file:
+                file.write(content.encode() if isinstance(content, str) else content)
+        return _Staged(folder)
+
+    def commit(self, messages: list[_Staged | None]) -> None:
+        tree = os.path.join(self.staging, "tree")
+        os.makedirs(tree)
+        try:
+            for staged in filter(None, messages):
+                self._move(staged.folder, tree)
+            os.makedirs(os.path.dirname(self.root), exist_ok=True)
+            os.rename(tree, self.root)
+        finally:
+            self.abort(messages)
+
+    def _move(self, folder: str, into: str) -> None:
+        """Whole folders where the tree has none of that name yet, else what is in them."""
+        for entry in os.scandir(folder):
+            target = os.path.join(into, entry.name)
+            if not os.path.lexists(target):
+                os.rename(entry.path, target)
+            elif entry.is_dir(follow_symlinks=False) and os.path.isdir(target):
+                self._move(entry.path, target)
+            else:
+                raise ValueError(f"Two files have this path: {os.path.relpath(target, os.path.join(self.staging, 'tree'))}")
+
+    def abort(self, messages: list[_Staged | None]) -> None:
+        """Removes what tasks have written; renamed first, so that those that still run find no place."""
+        gone = f"{self.staging}.gone"
+        with contextlib.suppress(OSError):
+            os.rename(self.staging, gone)
+        for _ in range(50):
+            shutil.rmtree(gone, ignore_errors=True)
+            if not os.path.lexists(gone):
+                return
+            time.sleep(0.1)
+
+
 class RepoFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -145,6 +228,9 @@ class RepoFiles(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], schema.names)
+
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], self.options.get("base", "."), self.options.get("contents", "true") == "true")
 
@@ -165,6 +251,16 @@ def scan_entries(spark: SparkSession, root: str, base: str = ".", contents: bool
     return reader.load(checked_root(root)).withColumn("content", decoded(F.col("content")))
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes files (path, content) as a new tree at ``root``, a folder that driver and executors share.
+
+    The tree appears when all files are written; a failing task, a path that comes
+    twice or leads out of the tree, and a file without content leave nothing.
+    """
+    files.sparkSession.dataSource.register(RepoFiles)
+    files.select("path", "content").write.format("repo_files").mode("append").save(root)
+
+
 def scan_repo(spark: SparkSession, root: str, skip: Column | None = None) -> DataFrame:
     """(path, content) of the regular files; ``skip`` is a condition on ``path`` that leaves files out."""
     rows = scan_entries(spark, root).where(~F.col("is_symlink"))
