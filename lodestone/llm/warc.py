@@ -13,7 +13,9 @@ one piece is digested at once.  The chunks of larger payloads are brought
 together by record id in order of their numbers and run through one incremental
 digest a record; no payload is put together in memory.  Archives from elsewhere
 are read as well: header names in any case, one or many gzip members a file,
-blocks with or without an HTTP head, large records in one segment; records that
+blocks with or without an HTTP head (one that ends within ``HEAD_BYTES``, at an empty
+line of either kind), large records in one segment; a revisit of a record that is
+not there stays, with the reason; records that
 are no response, resource or revisit are passed over, and pages without an
 ``X-Page-ID`` header have a null id.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -50,6 +53,8 @@ RECORD_END = "\r\n\r\n"
 INFLATE_BYTES = 1 << 18
 #: Bytes of a block that are read at once: a segment and its HTTP head.
 PIECE_BYTES = 2 * SEGMENT_BYTES
+#: Bytes in which the head of an HTTP message has to end.
+HEAD_BYTES = 1 << 16
 #: Bits of a chunk number for the piece within its segment.
 PIECE_BITS = 32
 #: Rows of a batch of whole files, and of a batch of chunks.
@@ -57,6 +62,7 @@ FILE_BATCH, CHUNK_BATCH = 1, 128
 #: The archives carry no clock, so that reruns agree.
 DATE = "1970-01-01T00:00:00Z"
 
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -210,10 +216,17 @@ def _payload_pieces(headers: dict[str, str], block: Iterator[bytes]) -> Iterator
     head = b""
     for piece in block:
         head += piece
-        if (stop := head.find(b"\r\n\r\n")) >= 0:
-            if rest := head[stop + 4 :]:
+        if found := _BLANK_LINE.search(head):
+            if rest := head[found.end() :]:
                 yield rest
             yield from block
+            return
+        if len(head) > HEAD_BYTES:
+            break
+    # No head ends within the bound: all of it is payload.
+    for at in range(0, len(head), PIECE_BYTES):
+        yield head[at : at + PIECE_BYTES]
+    yield from block
 
 
 def _chunk_rows(data: bytes) -> Iterator[tuple]:
@@ -289,15 +302,20 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """One row a record of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to, problem.
+
+    A revisit whose response was not read has no digest and says so in ``problem``.
+    """
     chunks = read_chunks(spark, path)
     whole = chunks.where("chunk_no = 0 and record_type = 'response'").select("record_id", "page_id", "n_bytes", "digest")
     responses = whole.union(digest_chunks(chunks))
     targets = responses.groupBy("record_id").agg(F.first("page_id").alias("target_page"), F.first("n_bytes").alias("n_bytes"), F.first("digest").alias("digest"))
-    revisits = chunks.where("record_type = 'revisit'").select(F.col("refers_to_record").alias("record_id"), "page_id").join(targets, "record_id")
+    revisits = chunks.where("record_type = 'revisit'").select(F.col("refers_to_record").alias("record_id"), "page_id").join(targets, "record_id", "left")
     none = F.lit(None).cast("long")
-    out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return responses.select("page_id", "n_bytes", "digest", F.lit("response"), none).toDF(*out).union(revisits.select("page_id", "n_bytes", "digest", F.lit("revisit"), "target_page").toDF(*out))
+    out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+    problem = F.when(F.col("record_id").isNull(), F.lit("It names no record that it refers to.")).when(F.col("digest").isNull(), F.lit("The record it refers to is not in this archive."))
+    own = responses.select("page_id", "n_bytes", "digest", F.lit("response"), none, F.lit(None).cast("string")).toDF(*out)
+    return own.union(revisits.select("page_id", "n_bytes", "digest", F.lit("revisit"), "target_page", problem).toDF(*out))
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
@@ -305,4 +323,4 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_warc(pages, path)
-    return read_pages(spark, path)
+    return read_pages(spark, path).drop("problem")

@@ -97,6 +97,27 @@ def test_archives_from_elsewhere(spark, tmp_path):
     assert chunks.where("chunk_no > 0").count() == 1 + len(big) // warc.PIECE_BYTES and chunks.agg(F.max("n_bytes")).first()[0] <= warc.PIECE_BYTES
 
 
+def test_nothing_of_an_archive_is_lost(spark, tmp_path):
+    """Revisits of records that are elsewhere, heads with bare newlines, and blocks whose head never ends."""
+
+    def record(kind: str, name: str, block: bytes, *more: str) -> bytes:
+        head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{name}>", *more, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http, endless = "Content-Type: application/http; msgtype=response", b"no head " * 40_000
+    found = [
+        record("response", "a", b"HTTP/1.1 200 OK\nA: b\n\nbody\r\n\r\nmore", http, "X-Page-ID: 1"), record("response", "b", endless, http, "X-Page-ID: 2"), record("response", "c", b"short", http, "X-Page-ID: 3"),
+        record("revisit", "d", b"", "X-Page-ID: 4", "WARC-Refers-To: <urn:x:a>"), record("revisit", "e", b"", "X-Page-ID: 5"), record("revisit", "f", b"", "X-Page-ID: 6", "WARC-Refers-To: <urn:x:zz>"),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(found))
+    got = {r.page_id: (r.payload_digest, r.record_type, r.refers_to, r.problem) for r in warc.read_pages(spark, str(tmp_path)).collect()}
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+    assert got == {
+        1: (digest(b"body\r\n\r\nmore"), "response", None, None), 2: (digest(endless), "response", None, None), 3: (digest(b"short"), "response", None, None),
+        4: (digest(b"body\r\n\r\nmore"), "revisit", 1, None), 5: (None, "revisit", None, "It names no record that it refers to."), 6: (None, "revisit", None, "The record it refers to is not in this archive."),
+    }
+
+
 def test_extra_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://a/", "x" * 200)], PAGES)
     clashing = df.select("*", *[F.lit(1).alias(c) for c in ("digest", "p", "i", "size", "body", "revisit", "record_id", "first_id")])
