@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.paths import is_ignored, is_protected, is_text_file, path_verdict
-from lodestone.operators import edit, policy, records, trigrams
+from lodestone.operators import chunks, edit, policy, records, trigrams
 from lodestone.operators import files as files_ops
 from lodestone.operators.many import retrieve_many
 from lodestone.operators.retrieve import retrieval_notes, retrieve, score_files
@@ -355,6 +355,16 @@ def file_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit.apply_replacements(files, edits)
 
 
+def chunk_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that begin with four words, of documents that are cut every 500 characters."""
+    return chunks.grep(chunks.chunked(_files(spark, sf_dir), 500), r"^\w+ \w+ \w+ \w+\b")
+
+
+def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents that are cut every 500 characters."""
+    return chunks.score(chunks.chunked(_files(spark, sf_dir), 500), QUERY).select("path", F.round("score", 6).alias("score"))
+
+
 def written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the parts after the edits, written as a tree and scanned again."""
     files = _parts(spark, sf_dir)
@@ -520,7 +530,7 @@ def _more_sql() -> dict[str, str]:
 
 
 _BUILDERS = (
-    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, sql_grep, sql_best_files, written_tree, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
+    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, sql_grep, sql_best_files, chunk_grep, chunk_scores, written_tree, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
     preview, path_rules, replace_once, unified_diff, command_rules, shell_tokens, tool_calls, trace_events, task_texts, symbols_ast, tool_notes,
     repo_snapshot, repo_context, notes_report, rules_report, symbols_report, definition_scores, one_line_diffs, file_replacements, file_writes,
     document_commands, document_tool_calls, task_checks, settings_rows, run_states, tool_records,
@@ -566,6 +576,8 @@ def oracle_sql() -> dict[str, str]:
         "index_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
         "index_retrieve": f"WITH {_score_sql(terms=(('secret_token', 1), ('password', 2), ('retrieval', 1)))} SELECT path, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, path LIMIT 20",
         "retrieve_table": RETRIEVE_TABLE_SQL,
+        "chunk_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '^[{WORD}]+ [{WORD}]+ [{WORD}]+ [{WORD}]+')) SELECT path, line_no, line FROM hits",
+        "chunk_scores": f"WITH {_score_sql()} SELECT path, round(score, 6) AS score FROM scored",
         "sql_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
         "sql_best_files": f"WITH {_score_sql()}, ranked AS (SELECT path, round(score, 9) AS score, row_number() OVER (PARTITION BY string_split(path, '/')[2] ORDER BY round(score, 9) DESC, path)::INTEGER AS rank FROM scored WHERE score > 0) SELECT path, rank, round(score, 6) AS score FROM ranked WHERE rank <= 2",
         "written_tree": f"WITH {PARTS_SQL}, e AS (SELECT path, content, p_brand, CASE WHEN p_size % 5 = 1 THEN 'd' ELSE 'widget' END AS old FROM parts) SELECT path, CASE WHEN (length(content) - length(replace(content, old, ''))) // length(old) = 1 THEN replace(content, old, p_brand) ELSE content END AS content FROM e",

@@ -33,6 +33,7 @@ from lodestone.functions.paths import IGNORED_DIRS
 from lodestone.functions.text import decoded
 
 SCHEMA = "path string, content binary, is_symlink boolean"
+CHUNK_SCHEMA = "path string, part int, content string, is_symlink boolean"
 #: Folders that are listed when a read is planned; deeper ones are listed in tasks.
 ENOUGH_FOLDERS = 64
 
@@ -142,6 +143,34 @@ class _Reader(DataSourceReader):
                 yield from self._row(entry.path)
 
 
+class _ChunkReader(_Reader):
+    """Texts in parts of so many characters; a task holds one part."""
+
+    def __init__(self, root: str, base: str, chars: int) -> None:
+        super().__init__(root, base, True)
+        self.chars = chars
+
+    def _row(self, path: str) -> Iterator[tuple]:
+        name = self._name(path)
+        if not self.paths.keep(name):
+            return
+        if os.path.islink(path):
+            yield name, 0, None, True
+        elif os.path.isfile(path):
+            part = 0
+            try:
+                # Decodes and translates line ends across the cuts.
+                with open(path, encoding="utf-8", errors="replace") as file:
+                    while text := file.read(self.chars):
+                        yield name, part, text, False
+                        part += 1
+                if not part:
+                    yield name, 0, "", False
+            except OSError:
+                if not part:
+                    yield name, 0, None, False
+
+
 @dataclass
 class _Staged(WriterCommitMessage):
     """The folder that an attempt of a task has filled."""
@@ -226,12 +255,15 @@ class RepoFiles(DataSource):
         return "repo_files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return CHUNK_SCHEMA if int(self.options.get("chunk_chars", "0")) else SCHEMA
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], schema.names)
 
     def reader(self, schema) -> DataSourceReader:
+        chunk_chars = int(self.options.get("chunk_chars", "0"))
+        if chunk_chars:
+            return _ChunkReader(self.options["path"], self.options.get("base", "."), chunk_chars)
         return _Reader(self.options["path"], self.options.get("base", "."), self.options.get("contents", "true") == "true")
 
 
@@ -251,6 +283,16 @@ def scan_entries(spark: SparkSession, root: str, base: str = ".", contents: bool
     return reader.load(checked_root(root)).withColumn("content", decoded(F.col("content")))
 
 
+def scan_chunks(spark: SparkSession, root: str, chars: int, base: str = ".") -> DataFrame:
+    """(path, part, content) of the regular files, each in parts of ``chars`` characters."""
+    if chars < 1:
+        raise ValueError("A part has one character or more.")
+    spark.dataSource.register(RepoFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("repo_files").option("base", base).option("chunk_chars", str(chars)).load(checked_root(root))
+    return rows.where(~F.col("is_symlink")).select("path", "part", "content")
+
+
 def write_tree(files: DataFrame, root: str) -> None:
     """Writes files (path, content) as a new tree at ``root``, a folder that driver and executors share.
 
