@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.paths import is_ignored, is_protected, is_text_file, path_verdict
-from lodestone.operators import chunks, edit, policy, records, trigrams
+from lodestone.operators import chunks, edit, links, policy, records, trigrams
 from lodestone.operators import files as files_ops
 from lodestone.operators.many import retrieve_many
 from lodestone.operators.retrieve import retrieval_notes, retrieve, score_files
@@ -23,7 +23,7 @@ from lodestone.operators.symbols import symbol_report, symbols
 from lodestone.plans import table_functions
 from lodestone.plans.repo_index import NO_QUERY, SECTIONS, as_context, snapshot
 from lodestone.sources.repo import scan_repo, write_tree
-from lodestone.sources.scratch import scratch_folder
+from lodestone.sources.scratch import scratch_folder, written
 
 QUERY = "the retrieval of 42 The"
 PATTERN = r"\bthe\b.*\."
@@ -365,6 +365,14 @@ def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.score(chunks.chunked(_files(spark, sf_dir), 500), QUERY).select("path", F.round("score", 6).alias("score"))
 
 
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where chains of links between the documents of a source lead: those of an odd length are links to the document with half the id."""
+    docs = _table(spark, sf_dir, "documents")
+    target = F.concat(F.lit("./x/../../d/"), F.floor(F.col("doc_id") / 2).cast("string"))
+    made = docs.where(F.length("text") % 3 > 0).select(F.lit("all").alias("repo"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), target.alias("target"))
+    return links.resolved(made, written)
+
+
 def written_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the parts after the edits, written as a tree and scanned again."""
     files = _parts(spark, sf_dir)
@@ -530,7 +538,7 @@ def _more_sql() -> dict[str, str]:
 
 
 _BUILDERS = (
-    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, sql_grep, sql_best_files, chunk_grep, chunk_scores, written_tree, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
+    retrieve_topk, score_all, tokenize_count, substring_count, grep_lines, grep_words, index_grep, index_retrieve, retrieve_table, sql_grep, sql_best_files, chunk_grep, chunk_scores, link_targets, written_tree, grep_report, html_tag_grep, list_files, tree_lines, tree_report, read_truncated,
     preview, path_rules, replace_once, unified_diff, command_rules, shell_tokens, tool_calls, trace_events, task_texts, symbols_ast, tool_notes,
     repo_snapshot, repo_context, notes_report, rules_report, symbols_report, definition_scores, one_line_diffs, file_replacements, file_writes,
     document_commands, document_tool_calls, task_checks, settings_rows, run_states, tool_records,
@@ -576,6 +584,10 @@ def oracle_sql() -> dict[str, str]:
         "index_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
         "index_retrieve": f"WITH {_score_sql(terms=(('secret_token', 1), ('password', 2), ('retrieval', 1)))} SELECT path, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, path LIMIT 20",
         "retrieve_table": RETRIEVE_TABLE_SQL,
+        "link_targets": """WITH RECURSIVE l AS (SELECT doc_id, doc_id // 2 AS target FROM documents WHERE length(text) % 3 > 0),
+            walk AS (SELECT doc_id, target, 1 AS n FROM l UNION ALL SELECT walk.doc_id, l.target, n + 1 FROM walk JOIN l ON walk.target = l.doc_id WHERE n < 100),
+            ends AS (SELECT doc_id, arg_max(target, n) AS target, max(n) AS n FROM walk GROUP BY doc_id)
+            SELECT 'all' AS repo, 'd/' || doc_id AS path, CASE WHEN n = 100 THEN 'loop' ELSE 'inside' END AS status, CASE WHEN n < 100 THEN 'd/' || target END AS final FROM ends""",
         "chunk_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '^[{WORD}]+ [{WORD}]+ [{WORD}]+ [{WORD}]+')) SELECT path, line_no, line FROM hits",
         "chunk_scores": f"WITH {_score_sql()} SELECT path, round(score, 6) AS score FROM scored",
         "sql_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",

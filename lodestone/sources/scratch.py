@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
@@ -22,3 +22,10 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder and read back, which cuts its lineage."""
+    folder = scratch_folder(df.sparkSession, "written")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
