@@ -94,8 +94,8 @@ def grep_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_ops.grep(_files(spark, sf_dir), r"^(?P<first>\w+) \w+ \w+ \w+\b")
 
 
-RARE_PATTERN = r"(?i)\bpassword\b.*[:=]"
-RARE_QUERY = "secret_token password retrieval Password"
+RARE_PATTERN = r"(?i)\blicense\b|\w@mail\d"
+RARE_QUERY = "license mail5 reserved License"
 
 
 def index_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -581,8 +581,8 @@ def oracle_sql() -> dict[str, str]:
         "grep_lines": f"WITH {LINES_SQL} SELECT path, line_no, line FROM hits",
         "grep_report": f"WITH {LINES_SQL}, first AS (SELECT * FROM hits ORDER BY {order}, line_no LIMIT 80) SELECT string_agg(path || ':' || line_no || ': ' || line, chr(10) ORDER BY {order}, line_no) || CASE WHEN count(*) >= 80 THEN chr(10) || '... matches truncated' ELSE '' END AS output FROM first",
         "grep_words": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '^[{WORD}]+ [{WORD}]+ [{WORD}]+ [{WORD}]+')) SELECT path, line_no, line FROM hits",
-        "index_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
-        "index_retrieve": f"WITH {_score_sql(terms=(('secret_token', 1), ('password', 2), ('retrieval', 1)))} SELECT path, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, path LIMIT 20",
+        "index_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])license($|[^{WORD}])|[{WORD}]@mail\\p{{Nd}}')) SELECT path, line_no, line FROM hits",
+        "index_retrieve": f"WITH {_score_sql(terms=(('license', 2), ('mail5', 1), ('reserved', 1)))} SELECT path, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, path LIMIT 20",
         "retrieve_table": RETRIEVE_TABLE_SQL,
         "link_targets": """WITH RECURSIVE l AS (SELECT doc_id, doc_id // 2 AS target FROM documents WHERE length(text) % 3 > 0),
             walk AS (SELECT doc_id, target, 1 AS n FROM l UNION ALL SELECT walk.doc_id, l.target, n + 1 FROM walk JOIN l ON walk.target = l.doc_id WHERE n < 100),
@@ -590,7 +590,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'all' AS repo, 'd/' || doc_id AS path, CASE WHEN n = 100 THEN 'loop' ELSE 'inside' END AS status, CASE WHEN n < 100 THEN 'd/' || target END AS final FROM ends""",
         "chunk_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '^[{WORD}]+ [{WORD}]+ [{WORD}]+ [{WORD}]+')) SELECT path, line_no, line FROM hits",
         "chunk_scores": f"WITH {_score_sql()} SELECT path, round(score, 6) AS score FROM scored",
-        "sql_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])password([:=]|[^{WORD}].*[:=])')) SELECT path, line_no, line FROM hits",
+        "sql_grep": f"WITH {LINES_SQL.rpartition('hits AS')[0]} hits AS (SELECT path, line_no::INTEGER AS line_no, line FROM each WHERE regexp_matches(line, '(?i)(^|[^{WORD}])license($|[^{WORD}])|[{WORD}]@mail\\p{{Nd}}')) SELECT path, line_no, line FROM hits",
         "sql_best_files": f"WITH {_score_sql()}, ranked AS (SELECT path, round(score, 9) AS score, row_number() OVER (PARTITION BY string_split(path, '/')[2] ORDER BY round(score, 9) DESC, path)::INTEGER AS rank FROM scored WHERE score > 0) SELECT path, rank, round(score, 6) AS score FROM ranked WHERE rank <= 2",
         "written_tree": f"WITH {PARTS_SQL}, e AS (SELECT path, content, p_brand, CASE WHEN p_size % 5 = 1 THEN 'd' ELSE 'widget' END AS old FROM parts) SELECT path, CASE WHEN (length(content) - length(replace(content, old, ''))) // length(old) = 1 THEN replace(content, old, p_brand) ELSE content END AS content FROM e",
         "html_tag_grep": r"WITH parts AS (SELECT page_id || '.html' AS path, regexp_split_to_array(html, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM pages WHERE html IS NOT NULL), each AS (SELECT path, unnest(range(1, len(ls) + 1))::INTEGER AS line_no, unnest(ls) AS line FROM parts) SELECT path, line_no, line FROM each WHERE regexp_matches(line, '<(h[1-6]|title)($|[^\p{L}\p{N}_])')",
