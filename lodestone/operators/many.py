@@ -77,6 +77,8 @@ class Scorer:
 
     def counts(self, lowered: str) -> dict[int, int]:
         out: dict[int, int] = {}
+        if not self.terms:
+            return out
         for run, times in Counter(_RUN.findall(lowered)).items():
             for term, n in self.in_run(run):
                 out[term] = out.get(term, 0) + times * n

@@ -6,9 +6,14 @@
     SELECT path, line_no, line FROM grep_files(TABLE(files), '^class ') WHERE error IS NULL
     SELECT * FROM file_symbols(TABLE(files))
     SELECT * FROM best_files(TABLE(files) PARTITION BY (repo), 'parse config', 5)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank
+                   FROM file_scores(TABLE(files), 'parse config')) WHERE rank <= 5
 
 ``best_files`` ranks the files of each partition by themselves and holds the best of
-one partition only.  A call that cannot be answered, such as one with a pattern
+one partition only; all texts of a partition go to one task, so it is for many small
+partitions.  ``file_scores`` takes the texts where they are and passes on the other
+columns with the score, of which a task sends the best of each partition, so it is for
+partitions of any size.  A call that cannot be answered, such as one with a pattern
 that is no regular expression, gives rows that say why in ``error``.
 """
 
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lodestone.functions.paths import TEXT_SUFFIXES
@@ -86,6 +91,30 @@ class FileSymbols:
                 yield path, i, kind, name, line
 
 
+class FileScores:
+    """The columns of each text file that a query hits, without its content; score, error."""
+
+    @staticmethod
+    def analyze(files: AnalyzeArgument, query: AnalyzeArgument) -> AnalyzeResult:
+        _checked_files(files)
+        kept = [f for f in files.dataType.fields if f.name != "content"]
+        if taken := {"score", "error"} & {f.name.lower() for f in kept}:
+            raise ValueError(f"The table has a column of the result's name: {min(taken)}.")
+        return AnalyzeResult(StructType([StructField(f.name, f.dataType) for f in kept]).add("score", DoubleType()).add("error", StringType()))
+
+    def __init__(self) -> None:
+        self.scorer = None
+
+    def eval(self, files: Row, query: str) -> Iterator[tuple]:
+        if self.scorer is None:
+            self.scorer = Scorer([query_terms(query)])
+        path, content = files["path"], files["content"]
+        if path is not None and content is not None and _suffix(path).lower() in TEXT_SUFFIXES:
+            score = float(self.scorer.scores([path], [content])[0, 0])
+            if score > 0:
+                yield *(files[name] for name in files.__fields__ if name != "content"), score, None
+
+
 class BestFiles:
     """path, rank, score, error: the best files of a partition for a query."""
 
@@ -128,7 +157,7 @@ class BestFiles:
 
 
 #: Name of a function in SQL -> its class.
-FUNCTIONS = {"grep_files": GrepFiles, "file_symbols": FileSymbols, "best_files": BestFiles}
+FUNCTIONS = {"grep_files": GrepFiles, "file_symbols": FileSymbols, "file_scores": FileScores, "best_files": BestFiles}
 
 
 def register(spark: SparkSession) -> None:

@@ -390,10 +390,11 @@ def sql_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best two documents of each language, each language being a partition of the table."""
+    """The best two documents of each language: scores come from the table function, and a task sends two a language."""
     table_functions.register(spark)
     files = _files(spark, sf_dir).withColumn("lang", F.split("path", "/")[1])
-    found = spark.sql("SELECT * FROM best_files(TABLE({files}) PARTITION BY (lang), {query}, 2)", files=files, query=QUERY)
+    ranked = "SELECT path, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, path) AS rank FROM file_scores(TABLE({files}), {query})"
+    found = spark.sql(f"SELECT * FROM ({ranked}) WHERE rank <= 2", files=files, query=QUERY)
     return found.select("path", "rank", F.round("score", 6).alias("score"))
 
 

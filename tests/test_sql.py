@@ -7,8 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries
 from lodestone.operators import files as files_ops
-from lodestone.operators.retrieve import retrieve
+from lodestone.operators.retrieve import retrieve, score_files
 from lodestone.operators.symbols import symbols
 from lodestone.plans import table_functions
 from lodestone.sources.repo import scan_repo, write_tree
@@ -48,6 +49,28 @@ def test_the_best_files_of_each_partition(spark, files):
     assert [r.path for r in one] == [r.path for r in retrieve(files, "needle the", 3).collect()]
 
 
+def test_scores_in_sql(spark, files):
+    got = spark.sql("SELECT * FROM file_scores(TABLE({files}), 'needle The')", files=files)
+    assert got.columns == ["repo", "path", "score", "error"]
+    want = score_files(files, "needle The").where("score > 0").select("repo", "path", F.round("score", 9), F.lit(None))
+    assert rows(got.select("repo", "path", F.round("score", 9), "error")) == rows(want)
+    assert rows(spark.sql("SELECT * FROM file_scores(TABLE({files}), '?')", files=files)) == []
+    with pytest.raises(Exception, match="a column of the result's name: score"):
+        spark.sql("SELECT * FROM file_scores(TABLE({files}), 'x')", files=files.withColumn("Score", F.lit(1))).collect()
+
+
+def test_best_files_of_large_partitions_send_no_texts(spark, tmp_path):
+    """All but the best two of a partition stay in the tasks that read them."""
+    text = F.concat(F.repeat(F.lit("the "), (F.col("id") % 7 + 1).cast("int")), F.repeat(F.lit("x"), 5000))
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.sql_best_files(spark, str(tmp_path))
+    assert [r.path for r in found.orderBy("rank").collect()] == ["s/en/342.md", "s/en/242.md"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning")[1]
+    assert "Partial" in below and "WindowGroupLimit" in below and plan.count("Exchange ") == 1
+
+
 def test_errors_are_rows(spark, files):
     for pattern, said in (("[", "Invalid regex: "), ("", "grep requires a non-empty pattern.")):
         got = spark.sql("SELECT * FROM grep_files(TABLE({files}), {p})", files=files, p=pattern).collect()
