@@ -22,6 +22,8 @@ from lodestone.functions.text import let
 MOST_PARTS = 4096
 #: Passes through links that any tree allows.
 LEAST_PASSES = 40
+#: Tables of links are joined by shuffles: as files they are far smaller than as rows, which a broadcast sends through the driver.
+SHUFFLED = "merge"
 _EMPTY = "array<string>"
 
 
@@ -43,12 +45,10 @@ def _places(done: Column, left: Column) -> Column:
 def _first_links(walks: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
     """(key, i, path): the first place i on the way of each walk (key, repo, done, left) that is a link."""
     each = walks.select(*key, "repo", F.posexplode(_places(F.col("done"), F.col("left"))).alias("i", "p"))
+    # A way out of the tree is the end of it: from there on no place has a path.
     on = each.where("p.named and p.at is not null").select(*key, "repo", "i", F.col("p.at").alias("path"))
-    met = on.join(links.select("repo", "path"), ["repo", "path"])
-    # A way out of the tree before that is the end of it.
-    outs = each.where("p.at is null").groupBy(*key).agg(F.min("i").alias("out_at"))
-    first = met.groupBy(*key).agg(F.min(F.struct("i", "path")).alias("m")).select(*key, "m.i", "m.path")
-    return first.join(outs, key, "left").where("out_at is null or i < out_at").drop("out_at")
+    met = on.join(links.select("repo", "path").hint(SHUFFLED), ["repo", "path"])
+    return met.groupBy(*key).agg(F.min(F.struct("i", "path")).alias("m")).select(*key, "m.i", "m.path")
 
 
 def stands_on(paths: DataFrame, links: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def stands_on(paths: DataFrame, links: DataFrame) -> DataFrame:
     own = paths.select("repo", "path").distinct()
     walks = own.select("repo", F.col("path").alias("asked"), F.array().cast(_EMPTY).alias("done"), parts(F.col("path")).alias("left"))
     found = _first_links(walks, links, ["repo", "asked"])
-    return own.join(found.select("repo", F.col("asked").alias("path"), F.col("path").alias("link")), ["repo", "path"], "left")
+    return own.join(found.select("repo", F.col("asked").alias("path"), F.col("path").alias("link")).hint(SHUFFLED), ["repo", "path"], "left")
 
 
 def resolved(links: DataFrame, materialize: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -75,13 +75,13 @@ def resolved(links: DataFrame, materialize: Callable[[DataFrame], DataFrame]) ->
     below = F.concat("target", F.lit("/")).startswith(F.concat(F.rtrim("root", F.lit("/")), F.lit("/")))
     inner = F.substr("target", F.length(F.rtrim("root", F.lit("/"))) + 2)
     above = F.slice(parts(F.col("path")), F.lit(1), F.size(parts(F.col("path"))) - 1)
-    state = rows.select(
-        "repo", "path", F.when(absolute, F.array().cast(_EMPTY)).otherwise(above).alias("done"),
+    sizes = materialize(rows.groupBy("repo").agg((F.count("*") * 2 + LEAST_PASSES).alias("most")))
+    state = rows.join(sizes, "repo").select(
+        "repo", "path", "most", F.when(absolute, F.array().cast(_EMPTY)).otherwise(above).alias("done"),
         F.when(absolute, parts(inner)).otherwise(parts(F.col("target"))).alias("left"),
         F.when(absolute & ~F.coalesce(below, F.lit(False)), "outside").otherwise("open").alias("status"), F.lit(1).cast("long").alias("passes"),
     )
     state = materialize(state)
-    sizes = materialize(rows.groupBy("repo").agg((F.count("*") * 2 + LEAST_PASSES).alias("most")))
     while True:
         open_ = state.where("status = 'open'")
         if open_.isEmpty():
@@ -89,7 +89,9 @@ def resolved(links: DataFrame, materialize: Callable[[DataFrame], DataFrame]) ->
         # What is done holds no link, so the walk goes on from there.
         met = _first_links(open_.select("repo", "path", "done", "left").withColumnRenamed("path", "own"), state, ["repo", "own"])
         there = state.select("repo", F.col("path").alias("met"), F.col("done").alias("there"), F.col("left").alias("ahead"), F.col("status").alias("their_status"), F.col("passes").alias("their_passes"))
-        joined = state.join(met.select("repo", F.col("own").alias("path"), "i", F.col("path").alias("met")), ["repo", "path"], "left").join(there, ["repo", "met"], "left").join(sizes, "repo")
+        # Rows that met no link take no part in the search for it: they all have the same key, null.
+        walked = met.select("repo", F.col("own").alias("path"), "i", F.col("path").alias("met")).join(there.hint(SHUFFLED), ["repo", "met"])
+        joined = state.join(walked.hint(SHUFFLED), ["repo", "path"], "left")
         rest = F.slice("left", F.col("i") + 2, F.greatest(F.size("left") - F.col("i") - 1, F.lit(0)))
         last = F.element_at(_places(F.col("done"), F.col("left")), -1)["at"]
         ended = F.when(F.size("left") == 0, F.array_join("done", "/")).otherwise(last)
@@ -105,6 +107,6 @@ def resolved(links: DataFrame, materialize: Callable[[DataFrame], DataFrame]) ->
         )
         done = F.when(stays, F.col("done")).when(F.col("met").isNull(), F.when(ended == "", F.array().cast(_EMPTY)).otherwise(parts(ended))).otherwise(F.col("there"))
         left = F.when(stays, F.col("left")).when(F.col("met").isNull(), F.array().cast(_EMPTY)).otherwise(longer)
-        state = materialize(joined.select("repo", "path", done.alias("done"), left.alias("left"), status.alias("status"), F.when(stays | F.col("met").isNull(), F.col("passes")).otherwise(passes).alias("passes")))
+        state = materialize(joined.select("repo", "path", "most", done.alias("done"), left.alias("left"), status.alias("status"), F.when(stays | F.col("met").isNull(), F.col("passes")).otherwise(passes).alias("passes")))
     final = F.when(F.col("status") == "inside", F.when(F.size("done") == 0, ".").otherwise(F.array_join("done", "/")))
     return state.select("repo", "path", "status", final.alias("final"))

@@ -77,6 +77,22 @@ def test_long_chains_take_few_rounds(spark):
     assert links.resolved(spark.createDataFrame([], LINKS), written).count() == 0
 
 
+def test_no_table_of_links_goes_through_the_driver(spark):
+    """All rounds join by shuffles; only the number of links of each tree may be sent to all tasks."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    rows = [("a", f"l{i}", f"l{i + 1}", None) for i in range(9)] + [("a", "up", "../x/../l1", None), ("a", "out", "l1/../../l2", None), ("a", "to_out", "out", None)]
+    got = {r.path: (r.status, r.final) for r in links.resolved(spark.createDataFrame(rows, LINKS), seen).collect()}
+    assert got == {f"l{i}": ("inside", "l9") for i in range(9)} | {p: ("outside", None) for p in ("up", "out", "to_out")}
+    assert len(plans) > 4 and not [p for p in plans[2:] if "Broadcast" in p]
+    stands = links.stands_on(spark.createDataFrame([("a", "l1/x")], "repo string, path string"), spark.createDataFrame(rows, LINKS))
+    assert "Broadcast" not in stands._jdf.queryExecution().executedPlan().toString()
+
+
 def test_paths_that_stand_on_a_link(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "link").symlink_to(tmp_path / "d")
