@@ -1,11 +1,11 @@
 """A substring index of a file table: which files can hold a text, by their trigrams.
 
 ``build`` writes two tables.  ``files`` has the files in ranges of paths, a folder
-for each range (``part``).  ``postings`` has a row for each trigram and part, with
+for each range (``part``).  ``postings`` has rows for each trigram and part, with
 the numbers of the files of that part whose lower-cased path or text has it; it is
 sorted by trigram, in folders by its hash (``bucket``).  Both are made by Spark
-tasks; a posting is bounded by the files of a part, a trigram that all files have
-is one row a part.
+tasks: a task finds the trigrams of the files it reads, ``WINDOW_CHARS`` characters at
+once, and gives a row for each trigram of these, so that what is shuffled are lists.
 
 A search asks what its match has to contain (:mod:`lodestone.functions.regex`),
 reads the postings of the rarest trigrams of that, and joins the files that are
@@ -17,8 +17,11 @@ than three characters tells nothing), all files are read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ from lodestone.operators.retrieve import TOP_K, retrieve
 
 #: Characters and files of a part, on average; parts of a bucket of postings.
 PART_CHARS, PART_FILES, BUCKET_PARTS = 1 << 26, 1 << 16, 4
-#: Characters of a text whose trigrams are made at once.
-WINDOW_CHARS = 1 << 16
+#: Characters whose trigrams are made at once.
+WINDOW_CHARS = 1 << 21
 #: Trigrams that are looked up of each required text: the rarest.
 LOOKED_UP = 3
 #: Parts that a filter lists; with more, all are opened.
@@ -42,14 +45,62 @@ def trigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2)))
 
 
-def _trigrams(text: Column) -> Column:
-    """The distinct trigrams of a text, in time proportional to it."""
-
-    def cut(c: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-        return F.when(F.size(c) >= 3, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
-
-    return T.let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), cut)
+def _grams_in(rows: list[int], texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct trigrams of some texts, where the list of each begins and ends, and the numbers of the texts in them, rising."""
+    sizes = np.array([len(t) for t in texts])
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    at = np.zeros(0x110000, bool)
+    at[chars] = True
+    used = np.flatnonzero(at)
+    base = len(used)
+    if len(texts) > 1 and base**3 * len(texts) >= 1 << 63:
+        raise OverflowError
+    code = (np.cumsum(at) - 1)[chars]
+    text = np.repeat(np.arange(len(texts)), sizes)
+    # One number for the three characters and the text, so that one sort brings equal ones together.
+    key = ((code[:-2] * base + code[1:-1]) * base + code[2:]) * len(texts) + text[:-2]
+    key = key[text[:-2] == text[2:]]
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+    gram, text = np.divmod(key, len(texts))
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+    own = gram[first]
+    all_ = used[np.stack([own // base**2, own // base % base, own % base], 1)].astype("<u4").tobytes().decode("utf-32-le")
+    return [all_[i : i + 3] for i in range(0, len(all_), 3)], np.r_[first, len(gram)].astype(np.int32), np.array(rows, np.int64)[text]
+
+
+def _lists(part: int, rows: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """(part, gram, rows) of some files of a part."""
+    try:
+        grams, ends, held = _grams_in(rows, texts)
+    except OverflowError:
+        # So many different characters that fewer texts fit into a number; one text always does.
+        half = len(texts) // 2
+        yield from _lists(part, rows[:half], texts[:half])
+        yield from _lists(part, rows[half:], texts[half:])
+        return
+    if grams:
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), part, np.int32)), pa.array(grams, pa.string()), lists], ["part", "gram", "rows"])
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, gram, rows) of files (part, row, low): a row for each trigram of what is read at once."""
+    held, rows, texts, chars = None, [], [], 0
+    for batch in batches:
+        for part, row, low in zip(*(c.to_pylist() if c.type != pa.string() else (v.as_py() for v in c) for c in batch.columns), strict=True):
+            # A window has the first two characters of the next one, so that no trigram is cut.
+            for start in range(0, len(low), WINDOW_CHARS):
+                window = low[start : start + WINDOW_CHARS + 2]
+                if rows and (part != held or chars + len(window) > WINDOW_CHARS):
+                    yield from _lists(held, rows, texts)
+                    rows, texts, chars = [], [], 0
+                held = part
+                rows.append(row)
+                texts.append(window)
+                chars += len(window)
+    if rows:
+        yield from _lists(held, rows, texts)
 
 
 def build(files: DataFrame, where: str) -> TrigramIndex:
@@ -62,14 +113,11 @@ def build(files: DataFrame, where: str) -> TrigramIndex:
 
     stored = files.sparkSession.read.schema("path string, content string, fid long, part int").parquet(f"{where}/files")
     low = F.lower(F.concat("path", F.lit("\n"), F.coalesce("content", F.lit(""))))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)), F.lit(WINDOW_CHARS))
-    windows = stored.select("part", F.col("fid").bitwiseAND(F.lit((1 << _ROW) - 1)).alias("row"), low.alias("low")).withColumn("at", F.explode(starts))
-    # A window has the first two characters of the next one, so that no trigram is cut.
-    each = windows.select("part", "row", F.explode(_trigrams(F.substr("low", F.col("at"), F.lit(WINDOW_CHARS + 2)))).alias("gram"))
-    postings = each.groupBy("gram", "part").agg(F.sort_array(F.collect_set("row")).alias("rows")).withColumn("n", F.size("rows").cast("long"))
+    each = stored.select("part", F.col("fid").bitwiseAND(F.lit((1 << _ROW) - 1)).alias("row"), low.alias("low"))
+    postings = each.mapInArrow(_postings_of, "part int, gram string, rows array<long>").withColumn("n", F.size("rows").cast("long"))
     n_buckets = 1 + n_parts // BUCKET_PARTS
     placed = postings.withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % n_buckets).cast("int"))
-    placed.repartitionByRange(n_buckets, "bucket", "gram", "part").sortWithinPartitions("bucket", "gram", "part").write.partitionBy("bucket").parquet(f"{where}/postings")
+    placed.repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket", "gram", "part").write.partitionBy("bucket").parquet(f"{where}/postings")
     files.sparkSession.range(1).select(F.lit(n_buckets).alias("n_buckets")).write.parquet(f"{where}/about")
     return TrigramIndex(files.sparkSession, where)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import shutil
 
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import files as files_ops
@@ -91,6 +92,30 @@ def test_trigrams_across_windows(spark, tmp_path, monkeypatch):
     assert grams == set(trigrams.trigrams_of("p.txt\n" + text))
 
 
+def test_postings_are_lists_for_what_a_task_reads(monkeypatch):
+    """A row for each trigram of a window, not for each trigram of a file, whatever the characters are."""
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "abc", "the quick brown fox été \U0001f600 " * 40] + [" ".join(rng.choice(["alpha", "beta", "中文", "42"]) for _ in range(50)) for _ in range(300)]
+    whole = pa.RecordBatch.from_arrays([pa.array([i // 100 for i in range(len(texts))], pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["part", "row", "low"])
+    want = {(i // 100, g, i) for i, t in enumerate(texts) for g in trigrams.trigrams_of(t)}
+
+    def found():
+        out = [r for b in trigrams._postings_of(iter([whole.slice(0, 130), whole.slice(130)])) for r in b.to_pylist()]
+        assert {(r["part"], r["gram"], i) for r in out for i in r["rows"]} == want and all(r["rows"] == sorted(set(r["rows"])) for r in out)
+        return out
+
+    assert len(found()) == len({(part, gram) for part, gram, _ in want}) < len(want) / 20
+    monkeypatch.setattr(trigrams, "WINDOW_CHARS", 100)
+    assert len(found()) > len(want) / 20
+
+
+def test_trigrams_of_very_many_characters():
+    """Numbers of three characters and a text that do not fit into 63 bits are made of fewer texts."""
+    texts = ["".join(map(chr, range(0xE000, 0x10FFFF)))] + [f"abc{i} \U0010abcd" for i in range(30)]
+    lists = list(trigrams._lists(0, list(range(31)), texts))
+    assert len(lists) > 1 and {(r["gram"], i) for b in lists for r in b.to_pylist() for i in r["rows"]} == {(g, i) for i, t in enumerate(texts) for g in trigrams.trigrams_of(t)}
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     index = trigrams.build(spark.createDataFrame([], FILES), str(tmp_path / "t"))
     assert index.grep("abc").count() == 0 and index.retrieve("abc").count() == 0
