@@ -32,8 +32,10 @@ from lodestone.functions.paths import is_text_file
 from lodestone.operators.retrieve import BODY, DEFINITION, EXCERPT_CHARS, PATH, TOP_K, positive
 
 PASS_QUERIES = 4096
-#: Files whose scores are made at once, and distinct runs that a task remembers.
-BATCH_FILES, KNOWN_RUNS = 128, 500_000
+#: Files whose scores are made at once, and bytes for the distinct runs that a task remembers.
+BATCH_FILES, KNOWN_BYTES = 128, 1 << 27
+#: Bytes of a remembered run besides its characters, and of each term in it.
+_RUN_BYTES, _TERM_BYTES = 250, 72
 DECIMALS = 9
 _RUN = re.compile(r"[a-z0-9_\d\u4e00-\u9fff]+")
 _DEFINED = re.compile(r"\b(?:async\s+def|def|class)\s+(?=(\w+))")
@@ -57,6 +59,7 @@ class Scorer:
         self.query = [np.array([q for q, _ in own], np.int64) for own in self.users]
         self.times = [np.array([c for _, c in own], np.float64) for own in self.users]
         self.known: dict[str, tuple] = {}
+        self.known_bytes = 0
 
     def in_run(self, run: str) -> tuple[tuple[int, int], ...]:
         """(term, occurrences that do not overlap each other)."""
@@ -70,9 +73,13 @@ class Scorer:
                     counts[term] = counts.get(term, 0) + 1
                     free[term] = last + 1
             found = tuple(counts.items())
-            if len(self.known) >= KNOWN_RUNS:
-                self.known.clear()
-            self.known[run] = found
+            size = _RUN_BYTES + len(run) + _TERM_BYTES * len(found)
+            if size <= KNOWN_BYTES // 64:  # a longer one hardly comes again
+                if self.known_bytes + size > KNOWN_BYTES:
+                    self.known.clear()
+                    self.known_bytes = 0
+                self.known[run] = found
+                self.known_bytes += size
         return found
 
     def counts(self, lowered: str) -> dict[int, int]:
@@ -130,6 +137,7 @@ def _best_of(files: DataFrame, queries: list[tuple], kind: str, top_k: int) -> D
             for at in range(0, batch.num_rows, BATCH_FILES):
                 paths, texts = (c.to_pylist() for c in batch.slice(at, BATCH_FILES).columns)
                 best.add(paths, scorer.scores(paths, texts))
+            batch = paths = texts = None  # before the next one is read
         rows = [(ids[q], path, -score) for q, own in enumerate(best.held) for score, path in own]
         if rows:
             query, path, score = zip(*rows, strict=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import shutil
+import sys
 
 import pyarrow as pa
 import pytest
@@ -150,6 +151,23 @@ def test_a_task_passes_on_k_rows_a_query(spark, files):
     assert retrieve_many(files, spark.createDataFrame([], "query_id long, query string")).count() == 0
 
 
+def test_what_a_task_remembers_is_bounded(monkeypatch):
+    """In bytes, whatever the length of the runs; counts stay what they are."""
+    texts = [" ".join(f"{'alpha' * (i % 60)}{j}{i}" for j in range(50)) for i in range(60)] + ["alpha" * 50_000]
+    paths = ["a.md"] * len(texts)
+    plain = many.Scorer([["alpha", "1", "unheard"]])
+    want = plain.scores(paths, texts)
+    monkeypatch.setattr(many, "KNOWN_BYTES", 1 << 16)
+    bounded = many.Scorer([["alpha", "1", "unheard"]])
+    assert (bounded.scores(paths, texts) == want).all()
+    held = lambda s: sum(map(sys.getsizeof, s.known)) + sum(sys.getsizeof(v) + sum(map(sys.getsizeof, v)) for v in s.known.values())
+    assert 0 < held(bounded) < 1 << 16 < held(plain) and max(map(len, bounded.known)) < 1 << 10
+
+
+def test_queries_without_terms(spark, files):
+    assert retrieve_many(files, spark.createDataFrame([(1, "?!"), (2, None)], "query_id long, query string")).count() == 0
+
+
 def test_counts_of_overlapping_occurrences():
     scorer = many.Scorer([["aa", "ana", "1", "٣"]])
     named = {scorer.terms[i]: n for i, n in scorer.counts("aaaa banana aaa 111 ٣a٣").items()}
