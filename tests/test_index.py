@@ -110,6 +110,60 @@ def test_postings_are_lists_for_what_a_task_reads(monkeypatch):
     assert len(found()) > len(want) / 20
 
 
+def test_packed_postings_are_the_lists():
+    """Whatever the order in which files are read."""
+    texts = ["", "abc", "the quick", "abcd the"] * 20 + ["abc été \U0001f600"]
+    numbers = random.Random(3).sample(range(1 << 16), len(texts) - 2) + [0, (1 << 16) - 1]
+    read = pa.RecordBatch.from_arrays([pa.array([7] * len(texts)), pa.array(numbers, pa.int32()), pa.array(texts)], ["part", "row", "low"])
+    want = {(g, i) for i, t in zip(numbers, texts, strict=True) for g in trigrams.trigrams_of(t)}
+    place = {g: divmod(50 + i, 62) for i, g in enumerate(sorted({g for g, _ in want}))}
+    packed = list(trigrams._packed(iter([read])))
+    rows = [r for b in trigrams._unpacked((b.select(["part", "gram", "rows"]) for b in packed), place) for r in b.to_pylist()]
+    assert sum(r["n"] for b in packed for r in b.to_pylist()) == len(rows) == len(want) and {r["part"] for r in rows} == {7}
+    assert {((r["word"], r["mark"].bit_length() - 1), r["row"]) for r in rows} == {(place[g], i) for g, i in want}
+
+
+def test_a_build_reads_texts_once(spark, tmp_path):
+    """And has no more files in a part than it says."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    files = spark.createDataFrame(corpus(), FILES).repartition(3).mapInArrow(counted, FILES)
+    trigrams.PART_FILES, kept = 16, trigrams.PART_FILES
+    try:
+        index = trigrams.build(files, str(tmp_path / "t"))
+    finally:
+        trigrams.PART_FILES = kept
+    assert read.value == len(corpus()) == index.files.count()
+    assert max(r["count"] for r in index.files.groupBy("part").count().collect()) <= 16
+
+
+def test_a_search_shuffles_no_texts(spark, files, built, monkeypatch):
+    """Also where nothing is small enough for a broadcast by itself, or too many files are left for one."""
+    index, need = built[0], trigrams.R.required("alpha")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda: index.holding(need)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan() and "SortMergeJoin" not in plan()
+        left = index.holding(need).count()
+        monkeypatch.setattr(trigrams, "LISTED_FILES", 10)
+        assert "Join" not in plan() and "Exchange" not in plan() and index.holding(need).count() >= left > 10
+        assert rows(index.grep("alpha")) == rows(files_ops.grep(files, "alpha"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_query_of_many_terms(files, built, monkeypatch):
+    """Whose trigrams take several words of bits."""
+    query = " ".join(f"term{chr(97 + i)}{chr(97 + j)}x" for i in range(2) for j in range(2)) + " zyzzyva needle_here alpha beta gamma retrieval async"
+    monkeypatch.setattr(trigrams, "WORD_BITS", 4)
+    assert rows(built[0].retrieve(query, 7)) == rows(retrieve(files, query, 7))
+
+
 def test_trigrams_of_very_many_characters():
     """Numbers of three characters and a text that do not fit into 63 bits are made of fewer texts."""
     texts = ["".join(map(chr, range(0xE000, 0x10FFFF)))] + [f"abc{i} \U0010abcd" for i in range(30)]
